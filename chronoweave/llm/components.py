@@ -1,0 +1,30 @@
+"""Connected components of a distributed graph by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .stage import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b), loops aside; the component is its smallest node.
+
+    Each step links all neighbours of a node to the smallest of them; the edges
+    are written to the shared folder after each and shrink to one star a
+    component in a number of steps that grows with the logarithm of its size.
+    """
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    while True:
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+        if state == mark or not state["n"]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        mark = state
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())

@@ -6,14 +6,17 @@ component.  The join is exact:
 
 1. Equal sets collapse to one node, the hash of the set.
 2. Linked sets share one of their first n-grams (n - ceil(t n) + 1 of n) in any
-   common order.  The order puts frequent n-grams last, by counts over all
-   documents, so what they share is seldom common text.  These n-grams are the
-   keys of candidate groups.
-3. A group of a few sets gives its pairs.  A larger one is sorted by size and
-   cut into tiles of bounded size; a tile compares only sizes that can link,
-   and hashed bitmap signatures first: each bit is the parity of the n-grams
-   hashed to it, so the bits in which two signatures differ are at most the
-   n-grams in which the sets differ, which bounds the overlap from above.
+   common order, and k + 1 of them when each takes k more; k grows with the size.
+   The order puts frequent n-grams last, by counts over all documents, so what
+   sets share is seldom common text.  These n-grams are the keys of candidate
+   groups.
+3. A group of some sets gives its pairs, and a pair stays that shares as many
+   keys as a linked one must.  What shares fewer there, but links, shares a key
+   of a larger group.  A larger group is sorted by size and cut into tiles of
+   bounded size; a tile compares only sizes that can link, and hashed bitmap
+   signatures first: each bit is the parity of the n-grams hashed to it, so the
+   bits in which two signatures differ are at most the n-grams in which the sets
+   differ, which bounds the overlap from above.
 4. What passes is decided by intersecting the exact sorted arrays.
 
 Of a large group, the first round tries each set with its best partner only;
@@ -43,10 +46,11 @@ from .components import components
 from .idfilter import bitmap, passes
 from .stage import cut
 
-SMALL_GROUP = 4  # sets of a group that gives all its pairs
-TILE = 256  # sets on each side of a tile
-FREQUENT = 100_000  # n-grams whose frequency the order knows
-LOCAL_FREQUENT = 4096  # of these, how many a task reports
+SMALL_GROUP = 32  # sets of a group that gives all its pairs
+TILE = 1024  # sets on each side of a tile
+FREQUENT = 200_000  # n-grams whose frequency the order knows
+LOCAL_FREQUENT = 32_768  # of these, how many a task reports of some millions that it reads
+SPARE = 50  # n-grams of a set for each key that it takes beyond the first
 
 _U = np.uint64
 
@@ -113,28 +117,46 @@ def _scan(docs: DataFrame, work, ddl: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams, by documents, with ranks from the rarest; a bounded list."""
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """What one scan tells: (kind, a, b, c), for rows 0, doc_id, size and sid; for frequent n-grams 1, hash and count."""
 
     def work(ids, raw, offsets, state):
         if ids is not None:
-            state.setdefault("all", []).append(sets_of(raw, offsets, n)[0])
-            state["held"] = state.get("held", 0) + len(state["all"][-1])
+            hashes, bounds = sets_of(raw, offsets, n)
+            state.setdefault("all", []).append(hashes)
+            state["held"] = state.get("held", 0) + len(hashes)
+            yield batch(0, ids, np.diff(bounds), set_ids(hashes, bounds))
         if state.get("held") and (ids is None or state["held"] > 4 << 20):
             hashes, counts = np.unique(np.concatenate(state.pop("all")), return_counts=True)
             state["held"] = 0
-            top = np.argsort(counts, kind="stable")[::-1][:LOCAL_FREQUENT]
-            top = top[counts[top] > 3]
-            yield pa.RecordBatch.from_pydict({"h": hashes[top].view(np.int64), "c": counts[top].astype(np.int64)})
-
-    rows = _scan(docs, work, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    hashes, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+            hashes, counts = hashes[counts > 1], counts[counts > 1]
+            top = np.argsort(-counts, kind="stable")[:LOCAL_FREQUENT]
+            yield batch(1, hashes[top].view(np.int64), counts[top], np.zeros(len(top), np.int64))
+
+    def batch(kind, a, b, c):
+        return pa.RecordBatch.from_pydict({"kind": np.full(len(b), kind, np.int32), "a": a, "b": b, "c": c})
+
+    return cut(_scan(docs, work, "kind int, a long, b long, c long"))
+
+
+def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams by documents, sorted by hash, with their counts; a list of at most FREQUENT."""
+    counted = rows.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).withColumn("level", F.floor(F.log2("b") * 16))
+    levels = sorted(((r["level"], r["n"]) for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for level, many in levels:
+        total += many
+        if total > FREQUENT:
+            break
+        least = level
+    top = counted.where(F.lit(False) if least is None else F.col("level") >= least).select("a", "b").toPandas()
+    hashes, counts = top["a"].to_numpy(np.int64).view(np.uint64), top["b"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
 def _keys(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, sid): the first n-grams of each set in the common order; a task gives equal sets once."""
+    """(key, sid, size): the first n-grams of each set in the common order; a task gives equal sets once."""
     known, counts = frequent
 
     def work(ids, raw, offsets, state):
@@ -158,10 +180,10 @@ def _keys(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.
         order = np.lexsort((hashes, rank, text))
         hashes, text = hashes[order], text[order]
         first = np.searchsorted(text, text)
-        keep = np.arange(len(text)) - first < (size - -(-percent * size // 100) + 1)[text]
-        yield pa.RecordBatch.from_pydict({"key": hashes[keep].view(np.int64), "sid": sid[text[keep]]})
+        keep = np.arange(len(text)) - first < (size - -(-percent * size // 100) + 1 + size // SPARE)[text]
+        yield pa.RecordBatch.from_pydict({"key": hashes[keep].view(np.int64), "sid": sid[text[keep]], "size": size[text[keep]].astype(np.int32)})
 
-    return _scan(docs, work, "key long, sid long")
+    return _scan(docs, work, "key long, sid long, size int")
 
 
 def _arrays(docs: DataFrame, n: int, sids: DataFrame) -> DataFrame:
@@ -291,34 +313,29 @@ def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id of the row's group."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def work(ids, raw, offsets, state):
-        if ids is not None:
-            hashes, bounds = sets_of(raw, offsets, n)
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": np.diff(bounds), "sid": set_ids(hashes, bounds)})
-
-    rows = cut(_scan(docs, work, "doc_id long, n_shingles long, sid long"))
-    found = linked_sets(docs, n, percent)
-    known = rows.where("n_shingles > 0").join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    scanned = _rows(docs, n)
+    rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("sid"))
+    found = linked_sets(docs, n, percent, _frequent(scanned))
+    known = rows.where("n_shingles > 0").join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    known = cut(known.select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("component")))
+    # written, so that the join reads both sides from exchanges of its own and can split a group with much of all rows
+    least = cut(known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     own = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.join(least, "component").select("doc_id", "n_shingles", "component_id").unionByName(own)
+    return known.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(own)
 
 
-def linked_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def linked_sets(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, component) of the sets that have a link to a different set."""
-    keys = _keys(docs, n, percent, _frequent(docs, n))
-    inside, sorted_ = W.partitionBy("key"), W.partitionBy("key").orderBy("sid")
-    groups = (
-        keys.withColumn("lowest", F.min("sid").over(inside)).withColumn("highest", F.max("sid").over(inside)).withColumn("members", F.count(F.lit(1)).over(inside))
-        .withColumn("next", F.array(*[F.lead("sid", i).over(sorted_) for i in range(1, SMALL_GROUP)]))
-        .where("lowest <> highest")
-        .withColumn("next", F.when(F.col("members") <= SMALL_GROUP, F.col("next")))
-    )
-    groups = cut(groups.select("key", "sid", "members", "next"))
-    pairs = groups.where("next is not null").select(F.col("sid").alias("a"), F.explode("next").alias("b")).where("a < b").distinct()
-    large = cut(groups.where("next is null").select("key", "sid").distinct())
-    arrays = _arrays(docs, n, groups.select("sid").distinct())
+    inside = W.partitionBy("key")
+    groups = _keys(docs, n, percent, frequent).withColumn("lowest", F.min("sid").over(inside)).withColumn("highest", F.max("sid").over(inside)).withColumn("members", F.count(F.lit(1)).over(inside))
+    groups = cut(groups.where("lowest <> highest").select("key", "sid", "size", "members"))
+    small = groups.where(F.col("members") <= SMALL_GROUP)
+    one, two = (small.select("key", F.col("sid").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
+    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    pairs = one.join(two, "key").where("a < b").where(close)
+    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("size_a", "size_b")).alias("size")).where(F.expr(f"shared >= 1 + size div {SPARE}")).select("a", "b"))
+    large = cut(groups.where(F.col("members") > SMALL_GROUP).select("key", "sid").distinct())
+    arrays = _arrays(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")))
     signed = large.join(arrays.select("sid", "size", "bits"), "sid")
     first = _tiles(signed.withColumn("component", F.col("sid")), percent, best_only=True)
     links = _verified(pairs.unionByName(first).distinct(), arrays, percent)

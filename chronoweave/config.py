@@ -1,0 +1,185 @@
+"""Validated parameter objects of the engine."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field, is_dataclass
+
+
+def _need(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
+@dataclass(frozen=True)
+class GrowConfig:
+    k: int = 3
+    combination_order_max: int = 2
+    causal_coincidence_delta: int = 500
+    budget_per_head: int = 16
+    init_reliability: float = 0.10
+    refractory_rho: int = 0
+    delay_min: int = 100
+    delay_max: int = 500
+
+
+@dataclass(frozen=True)
+class TraverseConfig:
+    horizon: int = 2000
+    beam_size: int = 8
+    length_penalty_base: float = 0.98
+
+
+@dataclass(frozen=True)
+class LearnConfig:
+    impl: str = "ema"
+    ema_alpha: float = 0.10
+    clamp_min: float = 0.02
+    clamp_max: float = 0.98
+    prune_threshold: float = 0.05
+    alpha0: float = 1.0
+    beta0: float = 1.0
+    share_negative: float = 1.0
+    respect_freeze: bool = True
+
+    def __post_init__(self) -> None:
+        _need(self.impl in ("ema", "beta"), "impl must be ema or beta")
+        _need(self.alpha0 > 0 and self.beta0 > 0, "priors must be positive")
+        _need(self.share_negative >= 0, "share_negative must not be negative")
+
+
+@dataclass(frozen=True)
+class MineConfig:
+    enabled: bool = False
+    theta: float = 5.0
+    lambda_decay: float = 0.0
+    hold_k: int = 2
+    min_weight: float = 1e-6
+    promotion_cap: int = 1
+
+
+@dataclass(frozen=True)
+class AbstractionConfig:
+    reliability: str = "min"
+    floor: float = 0.10
+    dedup: bool = True
+
+    def __post_init__(self) -> None:
+        _need(self.reliability in ("min", "mean", "geo"), "reliability must be min, mean or geo")
+
+
+@dataclass(frozen=True)
+class RewriteConfig:
+    enabled: bool = False
+    prune_threshold: float = 0.2
+    freeze_threshold: float = 0.95
+
+
+@dataclass(frozen=True)
+class GateConfig:
+    enabled: bool = False
+    mode: str = "soft"
+    points: tuple[str, ...] = ("grow", "backward")
+
+    def __post_init__(self) -> None:
+        _need(self.mode in ("soft", "hard"), "mode must be soft or hard")
+
+
+@dataclass(frozen=True)
+class PolicyConfig:
+    similarity_threshold: float = 0.5
+    freeze_strength: float = 1.0
+    mode: str = "resistance"
+    top_fraction: float = 0.2
+    cutoff: float = 0.6
+    epsilon: float = 1e-12
+
+    def __post_init__(self) -> None:
+        _need(0 <= self.similarity_threshold <= 1, "similarity_threshold must be in [0, 1]")
+        _need(self.mode in ("resistance", "immutable"), "mode must be resistance or immutable")
+        _need(0 < self.top_fraction <= 1, "top_fraction must be in (0, 1]")
+        _need(0 <= self.cutoff <= 1, "cutoff must be in [0, 1]")
+
+
+@dataclass(frozen=True)
+class EmbedConfig:
+    dim: int = 256
+    iterations: int = 2
+    normalize: bool = True
+    seed: int = 0
+    use_reliability: bool = False
+    time_resolution: float = 1.0
+
+    def __post_init__(self) -> None:
+        _need(self.dim > 0 and self.iterations >= 0 and self.time_resolution > 0, "dim and time_resolution must be positive")
+
+
+@dataclass(frozen=True)
+class CardConfig:
+    alpha0: float = 1.0
+    beta0: float = 1.0
+    level: float = 0.95
+    samples: int = 5000
+    frozen_threshold: float = 0.9
+
+    def __post_init__(self) -> None:
+        _need(self.alpha0 > 0 and self.beta0 > 0 and self.samples > 0 and 0 < self.level < 1, "priors, samples and level must be in range")
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    grow: GrowConfig = field(default_factory=GrowConfig)
+    traverse: TraverseConfig = field(default_factory=TraverseConfig)
+    learn: LearnConfig = field(default_factory=LearnConfig)
+    mine: MineConfig = field(default_factory=MineConfig)
+    abstraction: AbstractionConfig = field(default_factory=AbstractionConfig)
+    rewrite: RewriteConfig = field(default_factory=RewriteConfig)
+    gate: GateConfig = field(default_factory=GateConfig)
+
+
+def deep_merge(base: dict, over: dict) -> dict:
+    """A new mapping with the second's leaves over the first's."""
+    out = dict(base)
+    for key, value in over.items():
+        out[key] = deep_merge(out[key], value) if isinstance(value, dict) and isinstance(out.get(key), dict) else value
+    return out
+
+
+def parse_overrides(args: list[str]) -> dict:
+    """Nested values of ``key.sub=value`` arguments; true, false and numbers are converted."""
+    out: dict = {}
+    for arg in args:
+        path, eq, text = arg.partition("=")
+        if not eq:
+            continue
+        value: object = text
+        if text.lower() in ("true", "false"):
+            value = text.lower() == "true"
+        else:
+            for kind in (int, float):
+                try:
+                    value = kind(text)
+                    break
+                except ValueError:
+                    pass
+        leaf: object = value
+        for part in reversed(path.split(".")):
+            leaf = {part: leaf}
+        out = deep_merge(out, leaf)
+    return out
+
+
+def from_mapping(values: dict) -> EngineConfig:
+    """An EngineConfig from nested values; unknown keys are errors."""
+    made = {}
+    for name, part in values.items():
+        kind = EngineConfig.__dataclass_fields__[name].default_factory
+        made[name] = kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in part.items()})
+    return EngineConfig(**made)
+
+
+def fingerprint(obj: object) -> str:
+    """SHA-256 of the object's sorted, compact JSON."""
+    plain = asdict(obj) if is_dataclass(obj) else obj
+    return hashlib.sha256(json.dumps(plain, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

@@ -1,7 +1,426 @@
-"""Registered queries of the temporal hypergraph engine, and their SQL."""
+"""Registered queries of the temporal hypergraph engine, and their SQL.
+
+Events are ``events``: user_id is the neuron and the timestamp, in microseconds,
+the time.  Connectivity is a ring of four.  Delays are 60 s to 6 h, k is 3 and
+spikes within 30 minutes may cause together.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "tc_unary"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..config import GrowConfig, LearnConfig, MineConfig, PolicyConfig, TraverseConfig
+from ..functions import ids
+from ..operators import abstraction, encoders, grow, learn, metrics, mine, policy, rewrite, stats, transforms, traverse
+from ..sources import tables
+
+MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
+GROW = GrowConfig(k=3, combination_order_max=3, causal_coincidence_delta=30 * MINUTE, budget_per_head=8, delay_min=MINUTE, delay_max=6 * HOUR)
+UNARY = GrowConfig(k=3, combination_order_max=1, delay_min=MINUTE, delay_max=6 * HOUR, budget_per_head=0)
+#: a fixed window of the table's days, in microseconds: 2024-01-05 to 2024-01-15
+T0, T1 = 1_704_412_800_000_000, 1_705_276_800_000_000
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "tc_unary"
+
+EV = "ev AS (SELECT user_id AS n, epoch_us(ts) AS t, event_id, event_type, value FROM events), vx AS (SELECT DISTINCT n, t FROM ev), conn AS (SELECT p.n AS post, (p.n + o) % m.s AS pre FROM (SELECT unnest(range(0, (SELECT max(n) + 1 FROM ev))) AS n) p, (SELECT unnest([1, 2, 3, 4]) AS o), (SELECT max(n) + 1 AS s FROM ev) m)"
+NEAR = EV + f""", near AS (
+  SELECT h.n, h.t, c.pre, v.t AS pt, row_number() OVER (PARTITION BY h.n, h.t, c.pre ORDER BY v.t DESC) AS rk
+  FROM vx h JOIN conn c ON c.post = h.n JOIN vx v ON v.n = c.pre AND v.t BETWEEN h.t - {6 * HOUR} AND h.t - {MINUTE}
+), tails AS (SELECT n, t, pre, pt FROM near WHERE rk <= 3)"""
+NUMBERED = NEAR + f""", gaps AS (
+  SELECT *, CASE WHEN pt - lag(pt) OVER w > {30 * MINUTE} THEN 1 ELSE 0 END AS gap, row_number() OVER w AS idx FROM tails WINDOW w AS (PARTITION BY n, t ORDER BY pt, pre)
+), num AS (SELECT *, sum(gap) OVER (PARTITION BY n, t ORDER BY pt, pre) AS cluster FROM gaps)"""
+COMBOS = NUMBERED + """, combos AS (
+  SELECT n, t, [pre || '@' || pt] AS tail, pt AS max_t, [idx] AS idx FROM num
+  UNION ALL SELECT a.n, a.t, [a.pre || '@' || a.pt, b.pre || '@' || b.pt], greatest(a.pt, b.pt), [a.idx, b.idx] FROM num a JOIN num b ON a.n = b.n AND a.t = b.t AND a.cluster = b.cluster AND a.idx < b.idx
+  UNION ALL SELECT a.n, a.t, [a.pre || '@' || a.pt, b.pre || '@' || b.pt, c.pre || '@' || c.pt], greatest(a.pt, b.pt, c.pt), [a.idx, b.idx, c.idx]
+    FROM num a JOIN num b ON a.n = b.n AND a.t = b.t AND a.cluster = b.cluster AND a.idx < b.idx JOIN num c ON c.n = a.n AND c.t = a.t AND c.cluster = a.cluster AND b.idx < c.idx
+), edges AS (
+  SELECT n || '@' || t || '&' || array_to_string(list_sort(tail), ',') || '#' || t AS id, len(tail) AS size, row_number() OVER (PARTITION BY n, t ORDER BY len(tail), max_t DESC, idx) AS rk FROM combos
+)"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return tables.read_events(spark, d)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vertices = tables.vertices(_events(spark, d))
+    return vertices, tables.ring_connectivity(vertices)
+
+
+def _unary(spark: SparkSession, d: str) -> DataFrame:
+    """Unary edges with synthetic counts and reliabilities, for the learning queries."""
+    vertices, conn = _graph(spark, d)
+    tails = grow.lookback(vertices, vertices, conn, UNARY)
+    s, m = (F.col("pt") / 1_000_000).cast("long") % 7, (F.col("t") / 1_000_000).cast("long") % 5
+    tail = F.array(F.struct(F.col("pre").alias("n"), F.col("pt").alias("t")))
+    return tails.select(
+        ids.edge_id(F.struct("n", "t"), tail).alias("id"), F.struct("n", "t").alias("head"), tail.alias("tail"), F.lit(MINUTE).cast("long").alias("delta_min"), F.lit(6 * HOUR).cast("long").alias("delta_max"), F.lit(0).cast("long").alias("rho"),
+        ((1.0 + s) / (2.0 + s + m)).alias("reliability"), s.alias("counts_success"), m.alias("counts_miss"), F.col("t").alias("last_update_t"), F.lit("unary").alias("provenance"), F.lit(False).alias("frozen"),
+    )
+
+
+UN = NEAR + """, un AS (
+  SELECT n, t, pre, pt, n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, (pt // 1000000) % 7 AS s, (t // 1000000) % 5 AS m,
+    (1.0::DOUBLE + (pt // 1000000) % 7) / (2.0::DOUBLE + (pt // 1000000) % 7 + (t // 1000000) % 5) AS r FROM tails
+)"""
+#: synthetic paths of one edge each for learning: those of heads at even seconds
+PATHS = UN + ", paths AS (SELECT id, r * 0.98 AS score FROM un WHERE (t // 1000000) % 2 = 0), ev_share AS (SELECT id, sum(score) / (SELECT sum(score) FROM paths) AS share FROM paths GROUP BY id)"
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    return edges.where((F.col("head.t") / 1_000_000).cast("long") % 2 == 0).select(F.col("head").alias("target"), F.array("id").alias("edges"), (F.col("reliability") * 0.98).alias("score"), F.lit(1).alias("length"), F.col("id").alias("label"))
+
+
+# ---------------------------------------------------------------- transforms
+
+
+@query("time_window", f"WITH {EV} SELECT n, t, event_id FROM ev WHERE t BETWEEN {T0} AND {T1}")
+def _(spark, d):
+    return transforms.time_window(_events(spark, d), T0, T1).select("n", "t", "event_id")
+
+
+@query("neuron_filter", f"WITH {EV} SELECT n, t, event_id FROM ev WHERE n IN (1, 2, 3, 5, 8) AND n NOT IN (3)")
+def _(spark, d):
+    return transforms.neuron_filter(_events(spark, d), [1, 2, 3, 5, 8], [3]).select("n", "t", "event_id")
+
+
+@query("time_normalize", f"WITH {EV} SELECT event_id, t - (SELECT min(t) FROM ev) AS t FROM ev")
+def _(spark, d):
+    return transforms.time_normalize(_events(spark, d)).select("event_id", "t")
+
+
+@query("subsample", f"WITH {EV} SELECT n, t FROM (SELECT n, t, row_number() OVER (ORDER BY t, n) - 1 AS i FROM ev) WHERE i % 7 = 0")
+def _(spark, d):
+    return transforms.subsample(_events(spark, d), 7).select("n", "t")
+
+
+@query("chunk_bins", f"WITH {EV} SELECT (t - {T0}) // {HOUR} AS bin, count(*) AS n_events, min(t) AS first_t, max(t) AS last_t FROM ev WHERE t BETWEEN {T0} AND {T1} GROUP BY 1")
+def _(spark, d):
+    return transforms.bin_counts(_events(spark, d), T0, T1, HOUR)
+
+
+@query("sliding_windows", f"WITH {EV}, w AS (SELECT s AS start, least({T1}, s + {3 * HOUR}) AS stop FROM (SELECT unnest(range({T0}, {T1} + 1, {2 * HOUR})) AS s)) SELECT start, stop, count(t) AS n_events, min(t) AS first_t, max(t) AS last_t FROM w LEFT JOIN ev ON t BETWEEN start AND stop GROUP BY 1, 2")
+def _(spark, d):
+    return transforms.sliding_windows(_events(spark, d), 3 * HOUR, 2 * HOUR, T0, T1)
+
+
+# ---------------------------------------------------------------- encoders
+
+_COLS = "cols AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS col FROM (SELECT DISTINCT n FROM {0}))"
+
+
+@query("binner_counts", f"WITH {EV}, i AS (SELECT * FROM ev WHERE t BETWEEN {T0} AND {T1}), {_COLS.format('i')} SELECT (t - {T0}) // {HOUR} AS bin, col, n, count(*)::DOUBLE AS value FROM i JOIN cols USING (n) GROUP BY 1, 2, 3")
+def _(spark, d):
+    return encoders.binner(_events(spark, d), T0, T1, HOUR, binary=False)
+
+
+@query("latency_spikes", f"WITH {EV}, {_COLS.format('ev')} SELECT (greatest({T0}, least({T1}, f)) - {T0}) // {HOUR} AS bin, col, n, 1.0::DOUBLE AS value FROM (SELECT n, min(t) AS f FROM ev GROUP BY n) JOIN cols USING (n)")
+def _(spark, d):
+    return encoders.latency(_events(spark, d), T0, T1, HOUR)
+
+
+@query("rate_norm", f"WITH {EV}, {_COLS.format('ev')}, c AS (SELECT (t - {T0}) // {HOUR} AS bin, n, count(*)::DOUBLE AS k FROM ev WHERE t BETWEEN {T0} AND {T1} GROUP BY 1, 2) SELECT bin, col, n, round(k / max(k) OVER (PARTITION BY n), 9) AS value FROM c JOIN cols USING (n)")
+def _(spark, d):
+    return encoders.rate(_events(spark, d), T0, T1, HOUR).withColumn("value", F.round("value", 9))
+
+
+@query("rate_summary", f"WITH {EV} SELECT n, count(*) AS total FROM ev WHERE t BETWEEN {T0} AND {T1} GROUP BY n")
+def _(spark, d):
+    return encoders.rate_summary(_events(spark, d), T0, T1)
+
+
+# ---------------------------------------------------------------- growth
+
+
+@query("tc_unary", f"WITH {NEAR} SELECT n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, n, t, pre, pt FROM tails")
+def _(spark, d):
+    vertices, conn = _graph(spark, d)
+    tails = grow.lookback(vertices, vertices, conn, UNARY)
+    return tails.select(ids.edge_id(F.struct("n", "t"), F.array(F.struct(F.col("pre").alias("n"), F.col("pt").alias("t")))).alias("id"), "n", "t", "pre", "pt")
+
+
+@query("time_clusters", f"WITH {NUMBERED} SELECT n, t, pre, pt, cluster::BIGINT AS cluster, idx::BIGINT AS idx FROM num")
+def _(spark, d):
+    vertices, conn = _graph(spark, d)
+    return grow.clusters(grow.lookback(vertices, vertices, conn, GROW), 30 * MINUTE).select("n", "t", "pre", "pt", F.col("cluster").cast("long").alias("cluster"), F.col("idx").cast("long").alias("idx"))
+
+
+@query("candidates", f"WITH {COMBOS} SELECT id, CASE size WHEN 1 THEN 'unary' WHEN 2 THEN 'pair' ELSE 'triple' END AS provenance FROM edges WHERE rk <= 8")
+def _(spark, d):
+    vertices, conn = _graph(spark, d)
+    return grow.candidates(vertices, conn, GROW).select("id", "provenance")
+
+
+@query("refractory_heads", f"WITH {EV} SELECT n, t FROM (SELECT n, t, lag(t) OVER (PARTITION BY n ORDER BY t) AS p FROM vx) WHERE p IS NULL OR t - p >= {2 * HOUR}")
+def _(spark, d):
+    return grow.refractory_ok(tables.vertices(_events(spark, d)), 2 * HOUR)
+
+
+@query("admit_anti", f"WITH {NEAR}, e AS (SELECT n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, pt FROM tails) SELECT id FROM e WHERE (pt // 1000000) % 3 <> 0")
+def _(spark, d):
+    edges = _unary(spark, d)
+    known = edges.where((F.get("tail", F.lit(0))["t"] / 1_000_000).cast("long") % 3 == 0)
+    return grow.admit(known, edges).select("id")
+
+
+@query("asof_recent", f"WITH {EV} SELECT h.n, h.t, c.pre, max(v.t) AS pt FROM vx h JOIN conn c ON c.post = h.n JOIN vx v ON v.n = c.pre AND v.t >= h.t - {6 * HOUR} AND v.t < h.t - {MINUTE} GROUP BY 1, 2, 3")
+def _(spark, d):
+    vertices, conn = _graph(spark, d)
+    return grow.most_recent(vertices, conn, vertices, MINUTE, 6 * HOUR)
+
+
+@query("incident_edges", f"WITH {UN}, b AS (SELECT n, t FROM vx ORDER BY t, n LIMIT 1 OFFSET 500) SELECT 'out' AS side, id FROM un, b WHERE pre = b.n AND pt = b.t UNION ALL SELECT 'in', id FROM un, b WHERE un.n = b.n AND un.t = b.t")
+def _(spark, d):
+    edges = _unary(spark, d)
+    v = transforms.global_rank(tables.vertices(_events(spark, d)), "t", "n").where("rank = 500").first()
+    return grow.outgoing(edges, v["n"], v["t"]).select(F.lit("out").alias("side"), "id").unionByName(grow.incoming(edges, v["n"], v["t"]).select(F.lit("in").alias("side"), "id"))
+
+
+@query("snapshot", f"WITH {UN} SELECT (SELECT count(*) FROM vx) AS num_vertices, (SELECT count(*) FROM un) AS num_edges")
+def _(spark, d):
+    return grow.snapshot(tables.vertices(_events(spark, d)), _unary(spark, d))
+
+
+@query("delay_profile", f"WITH {NEAR} SELECT pre, n AS post, count(*) AS n_edges, round(avg(t - pt), 3) AS mean_delay FROM tails GROUP BY 1, 2")
+def _(spark, d):
+    vertices, conn = _graph(spark, d)
+    return grow.lookback(vertices, vertices, conn, UNARY).groupBy("pre", F.col("n").alias("post")).agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.avg(F.col("t") - F.col("pt")), 3).alias("mean_delay"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("traverse_beam", f"""WITH RECURSIVE {UN}, tg AS (SELECT DISTINCT n, t FROM ev WHERE event_type = 'purchase'), beam AS (
+  SELECT n AS tn, t AS tt, n AS vn, t AS vt, []::VARCHAR[] AS path, 1.0::DOUBLE AS score, false AS done FROM tg
+  UNION ALL SELECT tn, tt, vn, vt, path, score, done FROM (
+    SELECT *, row_number() OVER (PARTITION BY tn, tt, done ORDER BY score DESC, path) AS rk FROM (
+      SELECT b.tn, b.tt, u.pre AS vn, u.pt AS vt, list_append(b.path, u.id) AS path, b.score * u.r AS score, false AS done FROM beam b JOIN un u ON u.n = b.vn AND u.t = b.vt AND b.tt - u.pt <= {12 * HOUR} WHERE NOT b.done
+      UNION ALL SELECT b.tn, b.tt, b.vn, b.vt, b.path, b.score, true FROM beam b WHERE NOT b.done AND NOT EXISTS (SELECT 1 FROM un u WHERE u.n = b.vn AND u.t = b.vt AND b.tt - u.pt <= {12 * HOUR})
+    )
+  ) WHERE done OR rk <= 8
+) SELECT tn AS n, tt AS t, array_to_string(list_sort(path), '|') AS label, len(path) AS length, round(score * pow(0.98, len(path)), 6) AS score FROM beam WHERE done""")
+def _(spark, d):
+    events = _events(spark, d)
+    targets = events.where("event_type = 'purchase'").select("n", "t").distinct()
+    found = traverse.traverse(_unary(spark, d), tables.vertices(events), targets, TraverseConfig(horizon=12 * HOUR, beam_size=8))
+    return found.select("target.n", "target.t", "label", F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- learning
+
+
+@query("evidence_ema", f"WITH {PATHS} SELECT id, round(CASE WHEN share IS NULL THEN r ELSE greatest(0.02, least(0.98, r * 0.9 + (r + share) * 0.1)) END, 9) AS reliability, s + (share IS NOT NULL)::INT AS counts_success, m AS counts_miss FROM un LEFT JOIN ev_share USING (id)")
+def _(spark, d):
+    edges = _unary(spark, d)
+    return learn.update(edges, _paths(edges), 1, T1).select("id", F.round("reliability", 9).alias("reliability"), "counts_success", "counts_miss")
+
+
+@query("evidence_beta", f"WITH {PATHS} SELECT id, round(CASE WHEN share IS NULL THEN r ELSE (s + 1.0) / (s + m + 2.0 + share) END, 9) AS reliability, s AS counts_success, (m + CASE WHEN share IS NULL THEN 0 ELSE round_even(share, 0) END)::BIGINT AS counts_miss FROM un LEFT JOIN ev_share USING (id)")
+def _(spark, d):
+    edges = _unary(spark, d)
+    return learn.update(edges, _paths(edges), -1, T1, LearnConfig(impl="beta")).select("id", F.round("reliability", 9).alias("reliability"), "counts_success", "counts_miss")
+
+
+@query("prune", f"WITH {UN} SELECT id FROM un WHERE r >= 0.3")
+def _(spark, d):
+    return learn.prune(_unary(spark, d), 0.3).select("id")
+
+
+@query("reliability_topk", f"WITH {UN} SELECT id, round((s + 1.0) / (s + m + 2.0), 9) AS mean FROM un ORDER BY t DESC, r DESC, id LIMIT 10")
+def _(spark, d):
+    return learn.summarize(_unary(spark, d), 10).select("id", F.round("mean", 9).alias("mean"))
+
+
+@query("dpo_prune", f"WITH {UN} SELECT id FROM un WHERE (1.0 + s) / (2.0 + s + m) > 0.4")
+def _(spark, d):
+    return rewrite.apply_prune(_unary(spark, d), 0.4).select("id")
+
+
+@query("dpo_freeze", f"WITH {UN} SELECT id, (1.0 + s) / (2.0 + s + m) >= 0.7 AS frozen FROM un")
+def _(spark, d):
+    return rewrite.apply_freeze(_unary(spark, d), 0.7).select("id", "frozen")
+
+
+# ---------------------------------------------------------------- mining and abstraction
+
+_OBS = f"{EV}, obs AS (SELECT event_type AS label, t, event_id AS seq, 0.5 + (event_id % 4) / 4.0 AS w FROM ev WHERE t BETWEEN {T0} AND {T1})"
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.time_window(_events(spark, d), T0, T1).select(F.col("event_type").alias("label"), "t", F.col("event_id").alias("seq"), (F.lit(0.5) + (F.col("event_id") % 4) / 4.0).alias("weight"))
+
+
+@query("fsm_promotions", f"WITH {_OBS}, c AS (SELECT label, row_number() OVER o AS n, sum(w) OVER o AS cum FROM obs WINDOW o AS (PARTITION BY label ORDER BY t, seq ROWS UNBOUNDED PRECEDING)), f AS (SELECT label, max(n) AS total, max(cum) AS count, greatest(2, min(n) FILTER (cum >= 5.0)) AS first FROM c GROUP BY 1) SELECT label, round(count, 6) AS count, CASE WHEN first IS NULL THEN 0 ELSE (total - first) // 2 + 1 END AS promotions FROM f")
+def _(spark, d):
+    return mine.fold(_observations(spark, d), MineConfig(theta=5.0)).select("label", F.round("count", 6).alias("count"), F.col("promotions").cast("long").alias("promotions"))
+
+
+@query("fsm_decayed", f"WITH {_OBS} SELECT label, round(sum(w * exp(-{{lam}} * ((SELECT max(t) FROM obs o WHERE o.label = obs.label) - t))), 6) AS count FROM obs GROUP BY label".replace("{lam}", "1e-10"))
+def _(spark, d):
+    return mine.fold(_observations(spark, d), MineConfig(theta=5.0, lambda_decay=1e-10)).select("label", F.round("count", 6).alias("count"))
+
+
+_TWO = UN + f""", two AS (SELECT a.n, a.t, a.id AS a, b.id AS b, a.r AS ra, b.r AS rb, b.pre, b.pt FROM un a JOIN un b ON b.n = a.pre AND b.t = a.pt WHERE a.t BETWEEN {T0} AND {T0 + DAY})"""
+
+
+def _two_step(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = _unary(spark, d)
+    a, b = edges.alias("a"), edges.alias("b")
+    two = a.join(b, F.col("b.head") == F.get("a.tail", F.lit(0))).where(F.col("a.head.t").between(T0, T0 + DAY))
+    pair = F.array("a.id", "b.id")
+    return edges, two.select(F.col("a.head").alias("target"), pair.alias("edges"), F.lit(1.0).alias("score"), F.lit(2).alias("length"), ids.path_label(pair).alias("label"))
+
+
+for _kind, _sql in (("min", "least(ra, rb)"), ("mean", "(ra + rb) / 2"), ("geo", "sqrt(ra * rb)")):
+
+    @query(f"hoe_{_kind}", f"WITH {_TWO} SELECT n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, array_to_string(list_sort([a, b]), '|') AS label, t - pt AS delta_min, t - pt AS delta_max, round(greatest(0.1, least(1.0, {_sql})), 9) AS reliability FROM two")
+    def _(spark, d, kind=_kind):
+        edges, paths = _two_step(spark, d)
+        made = abstraction.higher_order(paths, edges, abstraction.AbstractionConfig(reliability=kind))
+        return made.select("id", F.col("hoe_label").alias("label"), "delta_min", "delta_max", F.round("reliability", 9).alias("reliability"))
+
+
+@query("hash_label", f"WITH {UN} SELECT id, substr(sha256('rule|' || id), 1, 16) AS rule_id FROM un")
+def _(spark, d):
+    return _unary(spark, d).select("id", F.substring(F.sha2(F.concat(F.lit("rule|"), "id"), 256), 1, 16).alias("rule_id"))
+
+
+@query("structural_labels", f"WITH {UN} SELECT id, 'HEAD:' || n || '|EDGES:[(''' || n || ''', ((''' || pre || ''', ' || round_even((t - pt) / 1000000.0, 0)::BIGINT || '),))]' AS structure FROM un WHERE t BETWEEN {T0} AND {T1}")
+def _(spark, d):
+    edges = _unary(spark, d).where(F.col("head.t").between(T0, T1))
+    return edges.select("id", ids.structural_label(F.col("head"), F.array(F.struct("head", "tail")), 1_000_000.0).alias("structure"))
+
+
+# ---------------------------------------------------------------- metrics
+
+_PRED = "p AS (SELECT label::BIGINT AS y_true, ((label + CASE WHEN vec_id % 4 = 0 THEN 1 + vec_id % 3 ELSE 0 END) % 10)::BIGINT AS y_pred FROM embeddings)"
+_CM = _PRED + ", g AS (SELECT a.i AS actual, b.i AS pred FROM (SELECT unnest(range(0, 10)) AS i) a, (SELECT unnest(range(0, 10)) AS i) b), cm AS (SELECT actual, pred, count(y_true) AS n FROM g LEFT JOIN p ON y_true = actual AND y_pred = pred GROUP BY 1, 2)"
+_CLS = _CM + ", pc AS (SELECT k AS cls, tp / (pr + 1e-12) AS precision, tp / (su + 1e-12) AS recall, su AS support FROM (SELECT i AS k, (SELECT n FROM cm WHERE actual = i AND pred = i)::DOUBLE AS tp, (SELECT sum(n) FROM cm WHERE pred = i)::DOUBLE AS pr, (SELECT sum(n) FROM cm WHERE actual = i)::BIGINT AS su FROM (SELECT unnest(range(0, 10)) AS i))), f AS (SELECT *, 2 * precision * recall / (precision + recall + 1e-12) AS f1 FROM pc)"
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    miss = F.when(F.col("vec_id") % 4 == 0, 1 + F.col("vec_id") % 3).otherwise(0)
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("y_true"), ((F.col("label") + miss) % 10).cast("long").alias("y_pred"))
+
+
+@query("confusion", f"WITH {_CM} SELECT actual, pred, n FROM cm")
+def _(spark, d):
+    return metrics.confusion(_predictions(spark, d), 10)
+
+
+@query("prf1", f"WITH {_CLS} SELECT cls, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM f")
+def _(spark, d):
+    return metrics.per_class(metrics.confusion(_predictions(spark, d), 10)).select("cls", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("macro_weighted", f"WITH {_CLS} SELECT round(sum(precision * support) / sum(support), 9) AS macro_precision, round(sum(recall * support) / sum(support), 9) AS macro_recall, round(sum(f1 * support) / sum(support), 9) AS macro_f1 FROM f")
+def _(spark, d):
+    out = metrics.macro(metrics.per_class(metrics.confusion(_predictions(spark, d), 10)), weighted=True)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("micro", f"WITH {_PRED} SELECT round(avg((y_true = y_pred)::INT), 9) AS micro_precision, round(avg((y_true = y_pred)::INT), 9) AS micro_recall, round(avg((y_true = y_pred)::INT), 9) AS micro_f1 FROM p")
+def _(spark, d):
+    out = metrics.micro(metrics.confusion(_predictions(spark, d), 10))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("accuracy", f"WITH {_PRED} SELECT round(avg((y_true = y_pred)::INT), 9) AS accuracy FROM p")
+def _(spark, d):
+    return metrics.accuracy(_predictions(spark, d)).select(F.round("accuracy", 9).alias("accuracy"))
+
+
+_SCORES = "s AS (SELECT label AS y, embedding[1:10] AS e FROM embeddings), r AS (SELECT len(list_filter(range(0, 10), lambda i: e[i + 1] > e[y + 1] OR (e[i + 1] = e[y + 1] AND i < y))) AS place FROM s)"
+
+
+@query("topk_accuracy", f"WITH {_SCORES} SELECT round(avg((place < 1)::INT), 9) AS top_1, round(avg((place < 3)::INT), 9) AS top_3, round(avg((place < 5)::INT), 9) AS top_5 FROM r")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("y_true"), F.slice("embedding", 1, 10).alias("scores"))
+    out = metrics.top_k(rows, [1, 3, 5])
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query("cosine_sim", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    both = e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")).alias("b"), "vec_id")
+    return both.select("vec_id", F.round(ids.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query("run_aggregate", "SELECT event_type AS metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    return metrics.aggregate_runs(_events(spark, d).select(F.col("event_type").alias("metric"), "value")).select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+# ---------------------------------------------------------------- statistics
+
+_TESTS = "x AS (SELECT user_id AS test_id, (1 + (user_id * 7919) % 1000) / 2000.0 AS p FROM (SELECT DISTINCT user_id FROM events))"
+
+
+@query("bh_fdr", f"WITH {_TESTS}, k AS (SELECT *, row_number() OVER (ORDER BY p, test_id) AS r, count(*) OVER () AS m FROM x) SELECT test_id, round(least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS adjusted FROM k")
+def _(spark, d):
+    tests = _events(spark, d).select(F.col("n").alias("test_id")).distinct().withColumn("p", (1 + (F.col("test_id") * 7919) % 1000) / 2000.0)
+    return stats.benjamini_hochberg(tests).select("test_id", F.round("adjusted", 9).alias("adjusted"))
+
+
+@query("cliffs_delta", "WITH a AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'y' END AS side, round(value, 1) AS value FROM events), c AS (SELECT value, count(*) FILTER (side = 'x') AS nx, count(*) FILTER (side = 'y') AS ny FROM a GROUP BY 1), r AS (SELECT *, coalesce(sum(ny) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT round(sum(nx * (2.0 * below + ny)) / (sum(nx) * sum(ny)) - 1, 9) AS cliffs_delta FROM r")
+def _(spark, d):
+    values = _events(spark, d).select(F.when(F.col("event_id") % 2 == 0, "x").otherwise("y").alias("side"), F.round("value", 1).alias("value"))
+    return stats.cliffs_delta(values).select(F.round("cliffs_delta", 9).alias("cliffs_delta"))
+
+
+@query("cohens_d", "WITH p AS (SELECT l_quantity - 25 - l_discount * 10 AS d FROM lineitem) SELECT round(avg(d) / stddev_samp(d), 6) AS cohens_d FROM p")
+def _(spark, d):
+    pairs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").alias("x"), (25 + F.col("l_discount") * 10).alias("y"))
+    return stats.cohens_d(pairs).select(F.round("cohens_d", 6).alias("cohens_d"))
+
+
+@query("stratified_folds", "SELECT vec_id AS id, label::VARCHAR AS label, (row_number() OVER (PARTITION BY label ORDER BY md5('0:' || vec_id), vec_id) - 1) % 5 AS fold FROM embeddings")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"))
+    return stats.stratified_folds(rows, 5).select("id", "label", "fold")
+
+
+@query("effect_sizes", "WITH a AS (SELECT event_type AS name, user_id % 2 AS side, avg(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2), j AS (SELECT x.name, x.n AS nx, y.n AS ny, y.mean - x.mean AS diff, 2.0 / (2 * 1.959963984540054) * sqrt(x.n) AS sx, 2.0 / (2 * 1.959963984540054) * sqrt(y.n) AS sy FROM a x JOIN a y ON x.name = y.name AND x.side = 0 AND y.side = 1), d AS (SELECT *, diff / sqrt(((nx - 1) * sx * sx + (ny - 1) * sy * sy) / (nx + ny - 2)) AS c FROM j) SELECT name, round(c, 6) AS cohen_d, round(c * (1 - 3.0 / (4 * (nx + ny - 2) - 1)), 6) AS hedges_g FROM d")
+def _(spark, d):
+    runs = _events(spark, d).groupBy(F.col("event_type").alias("name"), (F.col("n") % 2).alias("side")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("ci_lo", F.col("mean") - 1.0).withColumn("ci_hi", F.col("mean") + 1.0)
+    out = stats.effect_sizes(runs.where("side = 0"), runs.where("side = 1"))
+    return out.select("name", F.round("cohen_d", 6).alias("cohen_d"), F.round("hedges_g", 6).alias("hedges_g"))
+
+
+# ---------------------------------------------------------------- policy
+
+_TASK = "tasks AS (SELECT DISTINCT o_custkey AS task_id, l_partkey % 50 AS edge_id, 0.5 + (l_partkey % 50) / 100.0 AS reliability FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 2 = 0), new AS (SELECT DISTINCT o_custkey AS new_id, l_partkey % 50 AS edge_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 40 = 1)"
+
+
+def _tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 50).alias("edge_id"))
+    used = lines.join(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "edge_id").distinct()
+    return used.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("task_id"), "edge_id", (F.lit(0.5) + F.col("edge_id") / 100.0).alias("reliability")), used.where("o_custkey % 40 = 1").select(F.col("o_custkey").alias("new_id"), "edge_id")
+
+
+@query("jaccard_decide", f"WITH {_TASK}, st AS (SELECT task_id, edge_id FROM tasks WHERE reliability + 1e-12 >= 0.6), nt AS (SELECT task_id, count(*) AS c FROM st GROUP BY 1), nn AS (SELECT new_id, count(*) AS c FROM new GROUP BY 1), i AS (SELECT new_id, task_id, count(*) AS c FROM new JOIN st USING (edge_id) GROUP BY 1, 2), s AS (SELECT i.new_id, i.task_id, i.c::DOUBLE / (nt.c + nn.c - i.c) AS sim FROM i JOIN nt USING (task_id) JOIN nn ON nn.new_id = i.new_id), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, task_id) AS rk FROM s) WHERE rk = 1) SELECT nn.new_id, CASE WHEN sim >= 0.5 THEN 'REUSE' ELSE 'ISOLATE' END AS action, CASE WHEN sim >= 0.5 THEN task_id END AS task_id, round(coalesce(sim, 0), 9) AS similarity FROM nn LEFT JOIN b ON b.new_id = nn.new_id")
+def _(spark, d):
+    return policy.decide(*_tasks(spark, d)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("freeze_topk", f"WITH {_TASK}, s AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY reliability DESC, edge_id) AS rk, count(*) OVER (PARTITION BY task_id) AS c FROM tasks WHERE reliability + 1e-12 >= 0.6) SELECT task_id, edge_id, 0.8::DOUBLE AS strength FROM s WHERE rk <= ceil(c * 0.2)")
+def _(spark, d):
+    return policy.plan_freeze(_tasks(spark, d)[0], PolicyConfig(freeze_strength=0.8))

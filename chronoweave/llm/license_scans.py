@@ -192,8 +192,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return [(label, keyword, pattern, len(made) - i, weight) for i, (label, keyword, pattern, weight) in enumerate(made)]
 
 
-#: every rule's text contains one of these; they open the gate
-GATE = r"(?i)licen|spdx|common|cc0|cc[- ]?by|gpl|bsd|mulan|wtfpl|attribution|nasa|rail"
+#: every rule's text, lower-cased, contains one of these; they open the gate
+GATE = ("licen", "spdx", "common", "cc0", "cc-by", "cc by", "gpl", "bsd", "mulan", "wtfpl", "attribution", "nasa", "rail")
 
 
 def _lengths(texts: Column) -> Column:
@@ -212,6 +212,12 @@ def _places(text: Column, rule: Column) -> Column:
     return F.transform(start["all"], lambda p: F.struct(rule["priority"].alias("priority"), p["lo"].alias("lo"), p["hi"].alias("hi"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row, however often they are used: the generator keeps the optimizer from copying them."""
+    made = F.struct(*[x.alias(name) for name, x in columns.items()])
+    return rows.select("*", F.explode(F.array(made)).alias("__made")).select(*rows.columns, *[F.col(f"__made.{name}").alias(name) for name in columns])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -220,15 +226,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("keyword"), F.lit(c).alias("pattern"), F.lit(d).alias("priority"), F.lit(e).alias("weight")) for a, b, c, d, e in rules()])
 
     count = lambda x: F.regexp_count(x, F.lit(WORD)).cast("long")
-    rows = rows.withColumn("n_words", count(F.col("text"))).withColumn("gate", F.col("text").rlike(GATE))
-    small = F.lower("text")
-    live = F.filter(known, lambda r: F.contains(small, r["keyword"]))
-    places = F.flatten(F.transform(live, lambda r: _places(F.col("text"), r)))
-    rows = rows.withColumn("places", F.when(F.col("gate"), places))
+    rows = _once(rows, n_words=count(F.col("text")), small=F.lower("text"))
+    rows = _once(rows, gate=F.expr(" OR ".join(f"contains(small, '{x}')" for x in GATE)))
+    live = F.filter(known, lambda r: F.contains(F.col("small"), r["keyword"]))
+    found = F.flatten(F.transform(live, lambda r: _places(F.col("text"), r)))
+    hits = F.regexp_extract_all("text", F.lit(base), F.lit(0))
+    rows = _once(rows, places=F.when(F.col("gate"), found), hits=F.when(F.col("gate"), F.when(F.size(hits) > 0, hits)))
     kept = F.filter("places", lambda d: ~F.exists("places", lambda h: (h["priority"] > d["priority"]) & (h["lo"] <= d["lo"]) & (h["hi"] >= d["hi"])))
-    rows = rows.withColumn("detections", F.coalesce(kept, F.expr("cast(array() as array<struct<priority:int,lo:int,hi:int,label:string,weight:double>>)")))
-    rows = rows.withColumn("hits", F.when(F.col("gate"), F.regexp_extract_all("text", F.lit(base), F.lit(0)))).withColumn("hits", F.when(F.size("hits") > 0, F.col("hits")))
-    pieces = F.when(F.col("hits").isNotNull(), F.split("text", base))
+    kept = F.coalesce(kept, F.expr("cast(array() as array<struct<priority:int,lo:int,hi:int,label:string,weight:double>>)"))
+    rows = _once(rows, detections=kept, pieces=F.when(F.col("hits").isNotNull(), F.split("text", base)))
+    pieces = F.col("pieces")
     label = lambda h: F.coalesce(*[F.when(F.lower(F.substring(h, 1, 1)) == p[0], x) for p, x in BASE])
     base_labels = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", label))), F.expr("cast(array() as array<string>)"))
     return rows.select(

@@ -353,8 +353,20 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     Rows of one id are kept or dropped together but for exact repeats, of which one stays.
     """
     groups = similar_groups(docs, n, percent, id_col, text_col)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
+    # rows that the bitmap clears need no join, so most texts are not shuffled
+    words, at = bitmap(drop, "__drop"), docs.columns.index(id_col)
+
+    def side(listed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(at).cast(pa.int64())
+                hit = passes(words, ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(ids.is_valid())
+                yield batch.filter(pa.array(hit == listed))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return side(False).unionByName(side(True).join(drop, F.col(id_col) == F.col("__drop"), "left_anti"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

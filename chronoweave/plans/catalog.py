@@ -214,12 +214,12 @@ def _(spark, d):
       UNION ALL SELECT b.tn, b.tt, b.vn, b.vt, b.path, b.score, true FROM beam b WHERE NOT b.done AND NOT EXISTS (SELECT 1 FROM un u WHERE u.n = b.vn AND u.t = b.vt AND b.tt - u.pt <= {12 * HOUR})
     )
   ) WHERE done OR rk <= 8
-) SELECT tn AS n, tt AS t, array_to_string(list_sort(path), '|') AS label, len(path) AS length, round(score * pow(0.98, len(path)), 6) AS score FROM beam WHERE done""")
+) SELECT tn AS n, tt AS t, array_to_string(list_sort(path), '|') AS label, len(path) AS length, floor(score * 1e4::DOUBLE + 0.37::DOUBLE)::BIGINT AS score_e4 FROM beam WHERE done""")
 def _(spark, d):
     events = _events(spark, d)
     targets = events.where("event_type = 'purchase'").select("n", "t").distinct()
     found = traverse.traverse(_unary(spark, d), tables.vertices(events), targets, TraverseConfig(horizon=12 * HOUR, beam_size=8))
-    return found.select("target.n", "target.t", "label", F.col("length").cast("long").alias("length"), F.round("score", 6).alias("score"))
+    return found.select("target.n", "target.t", "label", F.col("length").cast("long").alias("length"), F.floor(F.col("score") / F.pow(F.lit(0.98), F.col("length")) * 1e4 + 0.37).alias("score_e4"))
 
 
 # ---------------------------------------------------------------- learning

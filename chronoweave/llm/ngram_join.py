@@ -126,7 +126,7 @@ def _rows(docs: DataFrame, n: int) -> DataFrame:
             state.setdefault("all", []).append(hashes)
             state["held"] = state.get("held", 0) + len(hashes)
             yield batch(0, ids, np.diff(bounds), set_ids(hashes, bounds))
-        if state.get("held") and (ids is None or state["held"] > 4 << 20):
+        if state.get("held") and (ids is None or state["held"] > 1 << 20):
             hashes, counts = np.unique(np.concatenate(state.pop("all")), return_counts=True)
             state["held"] = 0
             hashes, counts = hashes[counts > 1], counts[counts > 1]

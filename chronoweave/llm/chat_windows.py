@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .tokens import encode
 
 START, END = "###", "</turn>"
@@ -151,7 +152,7 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history_turns: in
             yield _batch([*rows, now.window()])
 
     dealt = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(tidy(run), WINDOWS)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
@@ -191,7 +192,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return windows.mapInArrow(run, DIGEST)
+    return windows.mapInArrow(tidy(run), DIGEST)
 
 
 PROBE = r"\### Assistant: </turn> ok"

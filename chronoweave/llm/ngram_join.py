@@ -44,6 +44,7 @@ from pyspark.sql import Window as W
 from . import textscan as ts
 from .components import components
 from .idfilter import bitmap, passes
+from .memory import tidy
 from .stage import cut
 
 SMALL_GROUP = 32  # sets of a group that gives all its pairs
@@ -114,7 +115,7 @@ def _scan(docs: DataFrame, work, ddl: str) -> DataFrame:
                 yield from work(batch.column(0).slice(a, b - a), raw, offsets, state)
         yield from work(None, None, None, state)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), ddl)
 
 
 def _rows(docs: DataFrame, n: int) -> DataFrame:
@@ -237,8 +238,8 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    near = sides(["size", "bits"], pairs).where(close).mapInArrow(bound, "a long, b long")
-    return cut(sides(["grams"], near).mapInArrow(decide, "a long, b long"))
+    near = sides(["size", "bits"], pairs).where(close).mapInArrow(tidy(bound), "a long, b long")
+    return cut(sides(["grams"], near).mapInArrow(tidy(decide), "a long, b long"))
 
 
 def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
@@ -307,7 +308,7 @@ def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
     # with two runs or more, a run's inner pairs are compared in a tile of its own
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda x: F.struct(F.least(x, F.col("run")).alias("lo"), F.greatest(x, F.col("run")).alias("hi"))))
     dealt = cutup.select("*", tile.alias("tile")).select("key", "tile.lo", "tile.hi", "run", "sid", "component", "size", "bits")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "sid").mapInArrow(compare, "a long, b long").distinct()
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "sid").mapInArrow(tidy(compare), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,7 +365,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
                 hit = passes(words, ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(ids.is_valid())
                 yield batch.filter(pa.array(hit == listed))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
     return side(False).unionByName(side(True).join(drop, F.col(id_col) == F.col("__drop"), "left_anti"))
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import tidy
 from .tokens import encode
 
 TIERS = (2048, 1024, 512, 256)
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tiers:
                     yield from packer.pack()
         yield from packer.pack(last=True)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES_DDL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), PIECES_DDL)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import tidy
+
 #: The zigzag order of the format, as raster positions.
 ZIGZAG = np.array([
     0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
@@ -439,7 +441,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, media binary")
 
 
 def to_tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -453,7 +455,7 @@ def to_tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 h, w = (None, None) if tensor is None else tensor.shape[:2]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([None if tensor is None else tensor.tobytes()], pa.binary())], ["doc_id", "height", "width", "rgb"])
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(tidy(run), "doc_id long, height int, width int, rgb binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -474,7 +476,7 @@ def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, DIGEST)
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(tidy(run), DIGEST)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

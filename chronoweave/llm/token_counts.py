@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .memory import tidy
 from .tokens import byte_sizes, encode
 
 RULES = ("start", "majority", "split")
@@ -88,7 +89,7 @@ def count_tokens(docs: DataFrame, sections: Callable[[np.ndarray], np.ndarray] =
                 got = {k: np.concatenate(v) for k, v in cols.items()}
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(got.pop("row")))} | got)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, section long, n_bytes long, n_tokens double, doc_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, section long, n_bytes long, n_tokens double, doc_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..config import MineConfig
 
 
-def _fold(steps: Column, cfg: MineConfig) -> Column:
+STATE = "label string, count double, last_t bigint, hold int, promotions int"
+
+
+def _fold(steps: Column, cfg: MineConfig, start: Column | None = None) -> Column:
     """The state after all of (t, weight): count decays by exp(-lambda dt) and grows by the weight; see fold()."""
-    start = F.struct(F.lit(0.0).alias("count"), F.lit(None).cast("long").alias("last_t"), F.lit(0).alias("hold"), F.lit(0).alias("promotions"))
+    if start is None:
+        start = F.struct(F.lit(0.0).alias("count"), F.lit(None).cast("long").alias("last_t"), F.lit(0).alias("hold"), F.lit(0).alias("promotions"))
 
     def step(acc: Column, x: Column) -> Column:
         age = F.greatest(F.lit(0), x["t"] - F.coalesce(acc["last_t"], x["t"]))
@@ -34,5 +38,14 @@ def fold(observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:
     return seen.groupBy("label").agg(steps.alias("steps")).select("label", _fold(F.col("steps"), cfg).alias("s")).select("label", "s.*")
 
 
+def resume(states: DataFrame, observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:
+    """fold() going on from the states of the labels so far; its rows, in the form of STATE."""
+    cfg = cfg or MineConfig()
+    steps = observations.where(F.col("weight") >= cfg.min_weight).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "weight"))).alias("steps"))
+    start = F.struct(F.coalesce("count", F.lit(0.0)).alias("count"), "last_t", F.coalesce("hold", F.lit(0)).alias("hold"), F.coalesce("promotions", F.lit(0)).alias("promotions"))
+    none = F.expr("cast(array() as array<struct<t:bigint,seq:bigint,weight:double>>)")
+    return states.join(steps, "label", "full").select("label", _fold(F.coalesce("steps", none), cfg, start).alias("s")).select("label", "s.*")
+
+
 def promoted(observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:
     return fold(observations, cfg).where("promotions > 0").select("label", "promotions")

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..config import GrowConfig, LearnConfig, MineConfig, PolicyConfig, TraverseConfig
+from ..config import CardConfig, EmbedConfig, EngineConfig, GrowConfig, LearnConfig, MineConfig, PolicyConfig, TraverseConfig
 from ..functions import ids
-from ..operators import abstraction, encoders, grow, learn, metrics, mine, policy, rewrite, stats, transforms, traverse
-from ..sources import tables
+from ..operators import abstraction, artifacts, cards, embed, encoders, grow, learn, metrics, mine, policy, rewrite, stats, transforms, traverse
+from ..sources import audit, tables
+from . import engine
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 GROW = GrowConfig(k=3, combination_order_max=3, causal_coincidence_delta=30 * MINUTE, budget_per_head=8, delay_min=MINUTE, delay_max=6 * HOUR)
@@ -424,3 +425,64 @@ def _(spark, d):
 @query("freeze_topk", f"WITH {_TASK}, s AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY reliability DESC, edge_id) AS rk, count(*) OVER (PARTITION BY task_id) AS c FROM tasks WHERE reliability + 1e-12 >= 0.6) SELECT task_id, edge_id, 0.8::DOUBLE AS strength FROM s WHERE rk <= ceil(c * 0.2)")
 def _(spark, d):
     return policy.plan_freeze(_tasks(spark, d)[0], PolicyConfig(freeze_strength=0.8))
+
+
+# ---------------------------------------------------------------- steps, cards, artifacts
+
+
+@query("fsm_resumed", ORACLE_SQL["fsm_promotions"])
+def _(spark, d):
+    rows, half, cfg = _observations(spark, d), (T0 + T1) // 2, MineConfig(theta=5.0)
+    first = mine.resume(spark.createDataFrame([], mine.STATE), rows.where(F.col("t") < half), cfg)
+    return mine.resume(first, rows.where(F.col("t") >= half), cfg).select("label", F.round("count", 6).alias("count"), F.col("promotions").cast("long").alias("promotions"))
+
+
+@query("step_counters", f"WITH {NEAR} SELECT * FROM (SELECT 'n_events' AS metric, (SELECT count(*) FROM ev) AS value UNION ALL SELECT 'n_vertices_new', (SELECT count(*) FROM vx) UNION ALL SELECT 'n_candidates', (SELECT count(*) FROM tails) UNION ALL SELECT 'n_admitted', (SELECT count(*) FROM tails))")
+def _(spark, d):
+    events = _events(spark, d)
+    got = engine.Engine(tables.ring_connectivity(tables.vertices(events)), EngineConfig(grow=UNARY)).step(engine.empty(spark), events).metrics
+    return spark.createDataFrame([(k, got[k]) for k in ("n_events", "n_vertices_new", "n_candidates", "n_admitted")], "metric string, value bigint")
+
+
+@query("rule_cards", f"WITH {_TWO}, c AS (SELECT two.*, x.s AS sa, x.m AS ma, y.s AS sb, y.m AS mb FROM two JOIN un x ON x.id = a JOIN un y ON y.id = b) SELECT substr(sha256(array_to_string(list_sort([a, b]), '|') || '|' || a || '|' || b), 1, 16) AS rule_id, round((sa + 1.0) / (sa + ma + 2.0) * ((sb + 1.0) / (sb + mb + 2.0)), 9) AS mean, CASE WHEN (sa + 1.0) / (sa + ma + 2.0) * ((sb + 1.0) / (sb + mb + 2.0)) >= 0.9 THEN 'Frozen' ELSE 'Plastic' END AS kind, true AS inside FROM c")
+def _(spark, d):
+    edges, paths = _two_step(spark, d)
+    made = cards.cards(paths, edges, CardConfig(samples=500))
+    return made.select("rule_id", F.round("mean", 9).alias("mean"), "kind", F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
+@query("beta_intervals", f"WITH {UN} SELECT id, round((s + 1.0) / (s + m + 2.0), 9) AS mean, true AS inside FROM un")
+def _(spark, d):
+    made = cards.beta_interval(_unary(spark, d), CardConfig(samples=2000))
+    return made.select("id", F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
+@query("path_embeddings")
+def _(spark, d):
+    edges, paths = _two_step(spark, d)
+    return embed.embed_paths(paths, edges, EmbedConfig(time_resolution=1_000_000.0)).select("target.n", "target.t", "label", "embedding")
+
+
+@query("audit_chain", "SELECT true AS ok, count(*) AS count, NULL::BIGINT AS bad_index FROM events")
+def _(spark, d):
+    rows = _events(spark, d).select("event_id", F.to_json(F.struct("n", "t", "event_type")).alias("body"))
+    return audit.verify(audit.chained(rows, ["event_id"]))
+
+
+@query("edge_compare", f"WITH {PATHS} SELECT false AS ok, count(*) AS n, count(share) AS n_different FROM un LEFT JOIN ev_share USING (id)")
+def _(spark, d):
+    edges = _unary(spark, d)
+    return artifacts.equal(artifacts.compare_edges(edges, learn.update(edges, _paths(edges), 1, T1), 1e-12))
+
+
+@query("reliability_series", "SELECT event_type AS run, user_id % 10 AS seq, round(avg(value), 6) AS mean, round(avg(CASE WHEN event_id % 3 = 0 THEN value ELSE value - 1 END), 6) AS lo, round(avg(CASE WHEN event_id % 3 = 0 THEN value ELSE value + 2 END), 6) AS hi, count(*) AS n_edges FROM events GROUP BY 1, 2")
+def _(spark, d):
+    bound = lambda by: F.when(F.col("event_id") % 3 != 0, F.col("value") + by)
+    rows = _events(spark, d).select(F.col("event_type").alias("run"), (F.col("n") % 10).alias("seq"), F.col("value").alias("mean"), bound(-1.0).alias("lo"), bound(2.0).alias("hi"))
+    return artifacts.reliability_series(rows).select("run", "seq", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n_edges")
+
+
+@query("latency_percentiles", "WITH k AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events) SELECT name, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) FILTER (r * 100 >= c * 50) AS p50, min(value) FILTER (r * 100 >= c * 95) AS p95 FROM k GROUP BY 1")
+def _(spark, d):
+    made = artifacts.latency(_events(spark, d).select(F.col("event_type").alias("name"), "value"))
+    return made.select("name", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "p50", "p95")

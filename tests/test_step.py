@@ -137,3 +137,16 @@ def test_artifacts(spark):
     times = spark.createDataFrame([("x", float(i)) for i in range(1, 21)], "name string, value double")
     got = artifacts.latency(times).first()
     assert (got["median"], got["p50"], got["p95"]) == (10.5, 10.0, 19.0)
+
+
+def test_streamed_bins_and_confusion(spark, tmp_path):
+    rows = [(n, t, n % 2, t % 2) for n in range(3) for t in range(0, 7200, 600)]
+    every = spark.createDataFrame(rows, "n bigint, s bigint, y_true int, y_pred int").withColumn("ts", F.timestamp_seconds("s"))
+    every.write.parquet(str(tmp_path / "in"))
+    for name, make in (("bins", lambda df: mining.bin_counts(df, "1 hour")), ("confusion", mining.confusion)):
+        stream = make(spark.readStream.schema(every.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sorted((r.n, r["count"]) for r in spark.table("bins").collect()) == [(n, 6) for n in range(3) for _ in range(2)]
+    want = every.groupBy("y_true", "y_pred").count().collect()
+    assert sorted(map(tuple, spark.table("confusion").collect())) == sorted(map(tuple, want))

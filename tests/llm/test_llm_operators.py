@@ -140,6 +140,24 @@ def test_chains_against_quadratic_search():
         assert total == pytest.approx(max(best))
 
 
+@pytest.mark.parametrize(("size", "between"), [(60, 40), (60, 100), (60, 200), (200, 200), (200, 400)])
+def test_two_passages_with_other_words_between(spark, size, between):
+    one, two = words_of(21, size), words_of(22, size)
+    texts = [words_of(30, 20) + one + words_of(31, between) + two + words_of(32, 20), words_of(33, 30) + one + words_of(34, between) + two + words_of(35, 30)]
+    found = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")).collect()
+    covered = {w for r in found for w in range(r.start_word, r.end_word)}
+    assert covered == {*range(30, 30 + size), *range(30 + size + between, 30 + 2 * size + between)}
+
+
+def test_parts_of_a_chain():
+    doc, anchor = np.arange(1000), np.arange(5000, 6000)
+    runs = np.array([[100, 125, 100], [142, 167, 142], [300, 305, 300], [400, 405, 400], [600, 655, 600]])
+    for d0, d1, a0 in runs:
+        anchor[a0 : a0 + d1 + 5 - d0] = doc[d0 : d1 + 5]
+    # 30 + 12 + 30 words pass together, though their gap is not the widest; the two short runs belong to nothing
+    assert substring_dedup.passages(doc, anchor, runs, 5, 50, 80) == [(100, 172, 100, 172, 60), (600, 660, 600, 660, 60)]
+
+
 def test_token_counts(docs, empty):
     rows = token_counts.count_tokens(docs).collect()
     total = Counter()

@@ -158,6 +158,20 @@ def test_parts_of_a_chain():
     assert substring_dedup.passages(doc, anchor, runs, 5, 50, 80) == [(100, 172, 100, 172, 60), (600, 660, 600, 660, 60)]
 
 
+def test_passages_with_changed_words(spark):
+    """Every pair of 60-word passages with one changed word in every 5 to 10 is found, wherever the changes start."""
+    rows, n = [], 0
+    for every in (5, 6, 7, 8, 10):
+        for start in range(every):
+            passage = words_of(100 + n, 60)
+            changed = [f"new{n}x{i}" if i % every == start else w for i, w in enumerate(passage)]
+            rows += [(2 * n, " ".join(words_of(300 + n, 20) + passage + words_of(400 + n, 20))), (2 * n + 1, " ".join(words_of(500 + n, 30) + changed + words_of(600 + n, 30)))]
+            n += 1
+    found = {r.doc_id: r for r in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(found) == set(range(1, 2 * n, 2))
+    assert all(r.anchor_doc == i - 1 and r.end_word - r.start_word >= 50 for i, r in found.items())
+
+
 def test_token_counts(docs, empty):
     rows = token_counts.count_tokens(docs).collect()
     total = Counter()

@@ -158,6 +158,15 @@ def test_parts_of_a_chain():
     assert substring_dedup.passages(doc, anchor, runs, 5, 50, 80) == [(100, 172, 100, 172, 60), (600, 660, 600, 660, 60)]
 
 
+def test_passage_whose_seeds_are_anchored_apart(spark):
+    passage = words_of(40, 60)
+    cuts = [0, 10, 22, 33, 45, 52, 60]
+    texts = [words_of(50 + i, 60) + passage[max(0, a - 3) : b + 3] + words_of(60 + i, 60) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    texts += [words_of(70, 80) + passage + words_of(71, 80), words_of(72, 50) + passage + words_of(73, 90)]
+    found = substring_dedup.find_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.anchor_doc, r.anchor_start) for r in found} == {(7, 50, 110, 6, 80)}
+
+
 def test_passages_with_changed_words(spark):
     """Every pair of 60-word passages with one changed word in every 5 to 10 is found, wherever the changes start."""
     rows, n = [], 0

@@ -248,6 +248,28 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty, np.zeros(16), 0.0).count() == 0
 
 
+def test_quality_threshold_leaves_own_ngrams_out(spark):
+    rng = np.random.default_rng(8)
+    clean, junk = words_of(80, 3000), words_of(81, 400)
+    text = lambda words: " ".join(rng.choice(words, 120))
+    rows = [(i, text(clean)) for i in range(80)] + [(100 + i, text(clean[:300] + junk)) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([*((i, 1) for i in range(40)), *((100 + i, 0) for i in range(10))], "doc_id bigint, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(frame, *quality_rules.fit_rule(frame, labels)).collect()}
+    assert sum(kept[i] for i in range(40, 80)) >= 38 and sum(kept[100 + i] for i in range(10, 20)) <= 1
+    good, counts = np.arange(40), quality_rules.fit_counts(frame, np.arange(40), 1 << 14)
+    left, bad = quality_rules.left_out_scores(frame, good, np.arange(100, 110), counts, 1.0)
+    one = quality_rules.fit(frame, good[1:], 1 << 14)
+    own = quality_rules.judge(frame.where("doc_id = 0"), one, 0.0).first().score
+    assert len(left) == 40 and len(bad) == 10 and np.abs(left - own).min() < 1e-6
+
+
+def test_quality_buckets_and_threshold():
+    assert [quality_rules.buckets_for(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 20]
+    assert quality_rules.best_threshold(np.array([0.1, 0.2, 0.3]), np.array([-0.3, -0.1, 0.0])) == pytest.approx(0.05)
+    assert quality_rules.best_threshold(np.array([0.1, 0.2]), np.zeros(0)) == 0.1 and quality_rules.best_threshold(np.zeros(0), np.zeros(0)) == 0.0
+
+
 def test_license_scans(docs, empty):
     rows = {r.doc_id: r for r in license_scans.scan(docs).collect()}
     r = rows[12]

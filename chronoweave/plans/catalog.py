@@ -280,10 +280,13 @@ def _(spark, d):
 _TWO = UN + f""", two AS (SELECT a.n, a.t, a.id AS a, b.id AS b, a.r AS ra, b.r AS rb, b.pre, b.pt FROM un a JOIN un b ON b.n = a.pre AND b.t = a.pt WHERE a.t BETWEEN {T0} AND {T0 + DAY})"""
 
 
-def _two_step(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _two_step(spark: SparkSession, d: str, one_day: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges and their paths of two; of the heads of one day where the query's SQL says so."""
     edges = _unary(spark, d)
     a, b = edges.alias("a"), edges.alias("b")
-    two = a.join(b, F.col("b.head") == F.get("a.tail", F.lit(0))).where(F.col("a.head.t").between(T0, T0 + DAY))
+    two = a.join(b, F.col("b.head") == F.get("a.tail", F.lit(0)))
+    if one_day:
+        two = two.where(F.col("a.head.t").between(T0, T0 + DAY))
     pair = F.array("a.id", "b.id")
     return edges, two.select(F.col("a.head").alias("target"), pair.alias("edges"), F.lit(1.0).alias("score"), F.lit(2).alias("length"), ids.path_label(pair).alias("label"))
 
@@ -447,7 +450,7 @@ def _(spark, d):
 @query("rule_cards", f"WITH {_TWO}, c AS (SELECT two.*, x.s AS sa, x.m AS ma, y.s AS sb, y.m AS mb FROM two JOIN un x ON x.id = a JOIN un y ON y.id = b) SELECT substr(sha256(array_to_string(list_sort([a, b]), '|') || '|' || a || '|' || b), 1, 16) AS rule_id, round((sa + 1.0) / (sa + ma + 2.0) * ((sb + 1.0) / (sb + mb + 2.0)), 9) AS mean, CASE WHEN (sa + 1.0) / (sa + ma + 2.0) * ((sb + 1.0) / (sb + mb + 2.0)) >= 0.9 THEN 'Frozen' ELSE 'Plastic' END AS kind, true AS inside FROM c")
 def _(spark, d):
     edges, paths = _two_step(spark, d)
-    made = cards.cards(paths, edges, CardConfig(samples=500))
+    made = cards.cards(paths, edges)
     return made.select("rule_id", F.round("mean", 9).alias("mean"), "kind", F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
 
 
@@ -459,7 +462,7 @@ def _(spark, d):
 
 @query("path_embeddings")
 def _(spark, d):
-    edges, paths = _two_step(spark, d)
+    edges, paths = _two_step(spark, d, one_day=False)
     return embed.embed_paths(paths, edges, EmbedConfig(time_resolution=1_000_000.0)).select("target.n", "target.t", "label", "embedding")
 
 

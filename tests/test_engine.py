@@ -1,13 +1,17 @@
 """Hand-computed cases of the engine."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from chronoweave.config import GrowConfig
 from chronoweave.functions.special import t_quantile, t_two_sided
 from chronoweave.operators import grow
+from chronoweave.plans import catalog
 from chronoweave.sources import tables
 
+from .conftest import TEST_DIR
+
 
 def test_candidates(spark):
     conn = tables.connectivity_of(spark, {10: [1, 2]})
@@ -26,3 +30,10 @@ def test_student_t():
 def test_entry_and_sql(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_path_embeddings_cover_every_head(spark):
+    edges = catalog._unary(spark, TEST_DIR).selectExpr("id", "head", "tail[0] AS tail").cache()
+    want = edges.alias("a").join(edges.alias("b"), F.expr("b.head = a.tail"))
+    got = catalog.QUERIES["path_embeddings"](spark, TEST_DIR).cache()
+    assert got.count() == want.count() and got.select("t").distinct().count() == want.selectExpr("a.head.t").distinct().count()

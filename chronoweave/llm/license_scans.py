@@ -80,8 +80,10 @@ NAMES: tuple[tuple[str, str, str, str], ...] = (
     ("bsd-2-clause", r"bsd-2-clause", "bsd", r"(?:two|2)[- ]clause bsd(?: licen[sc]e)?"),
     ("bsd-4-clause", r"bsd-original", "bsd", r"original bsd licen[sc]e"),
     ("bsd-3-clause", r"bsd-new", "bsd", r"(?:new|modified|revised) bsd licen[sc]e"),
-    ("bsd-2-clause", r"bsd-simplified", "bsd", r"(?:simplified|freebsd) (?:bsd )?licen[sc]e"),
-    ("bsd", r"bsd", "bsd", r"(?:berkeley software distribution|bsd)(?:[- ]style)? licen[sc]e"),
+    ("bsd-2-clause", r"bsd-simplified", "bsd", r"(?:simplified bsd|freebsd(?: bsd)?) licen[sc]e"),
+    ("bsd-2-clause", r"bsd-2-simplified", "simplified", r"simplified licen[sc]e"),
+    ("bsd", r"bsd", "bsd", r"bsd(?:[- ]style)? licen[sc]e"),
+    ("bsd", r"bsd-style", "berkeley", r"berkeley software distribution(?:[- ]style)? licen[sc]e"),
     ("mpl-2.0", r"mpl-2\.0", "mozilla", r"mozilla public licen[sc]e" + _V + r"2(?:\.0)?"),
     ("mpl-1.1", r"mpl-1\.1", "mozilla", r"mozilla public licen[sc]e" + _V + r"1\.1"),
     ("mpl-1.0", r"mpl-1\.0", "mozilla", r"mozilla public licen[sc]e" + _V + r"1(?:\.0)?"),
@@ -167,7 +169,10 @@ NAMES: tuple[tuple[str, str, str, str], ...] = (
 )
 
 _NOTICE = r"(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed) (?:under|by|according to)(?: the)?(?: terms(?: and conditions)? of(?: the)?)? "
-_KINDS = (("tag", r"spdx-license-identifier: ?\(?{spdx}", 1.0), ("notice", _NOTICE + r"(?:{name})", 0.95), ("title", r"(?:{name})", 0.8))
+_IDS = r"(?:[a-z0-9.+:-]+ (?:and|or|with) )*"
+#: a tag goes on over an expression; an identifier that ends where the pattern does comes before one that goes on
+_TAG = r"spdx-license-identifier: ?\(?(?:" + _IDS + r"({spdx})(?![a-z0-9+]|[.-][a-z0-9])|" + _IDS + r"({spdx}))"
+_KINDS = (("tag", _TAG, 1.0), ("notice", r"(" + _NOTICE + r"(?:{name}))()", 0.95), ("title", r"({name})()", 0.8))
 _GAP = r"[\s,;:.*#/|>'\"()\[\]-]{1,12}"
 
 
@@ -201,15 +206,18 @@ def _lengths(texts: Column) -> Column:
 
 
 def _places(text: Column, rule: Column) -> Column:
-    """All places of a rule as (priority, from, to, label, weight)."""
+    """All places of a rule as (priority, from, to, label, weight); a place is what the pattern's two groups hold, which ends where its match does."""
     found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    one, two = (_lengths(F.regexp_extract_all(text, rule["pattern"], F.lit(i))) for i in (1, 2))
     gaps, sizes = _lengths(F.split(text, rule["pattern"])), _lengths(found)
+    held = F.zip_with(one, two, lambda a, b: a + b)
     start = F.aggregate(
         F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size"))),
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("all")),
         lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["all"], F.array(F.struct((acc["at"] + x["gap"]).alias("lo"), (acc["at"] + x["gap"] + x["size"]).alias("hi")))).alias("all")),
     )
-    return F.transform(start["all"], lambda p: F.struct(rule["priority"].alias("priority"), p["lo"].alias("lo"), p["hi"].alias("hi"), rule["label"].alias("label"), rule["weight"].alias("weight")))
+    places = F.zip_with(start["all"], held, lambda p, n: F.struct((p["hi"] - n).alias("lo"), p["hi"].alias("hi")))
+    return F.transform(places, lambda p: F.struct(rule["priority"].alias("priority"), p["lo"].alias("lo"), p["hi"].alias("hi"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
 
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:

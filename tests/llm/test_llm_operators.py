@@ -277,3 +277,37 @@ def test_license_scans(docs, empty):
     assert rows[4].n_words == 0 and rows[4].labels == "" and rows[1].first_word is None and rows[11].n_words == 3
     assert license_scans.scan(empty).count() == 0
     assert len(license_scans.rules()) > 300 and len({x[3] for x in license_scans.rules()}) == len(license_scans.rules())
+
+
+def samples(pattern):
+    """Texts that a pattern matches: every alternative, with what may be left out left out."""
+    from itertools import product
+    from re import _parser as parser
+
+    def of(tokens):
+        parts = []
+        for op, arg in tokens:
+            name = str(op)
+            if name == "LITERAL":
+                parts.append([chr(arg)])
+            elif name == "BRANCH":
+                parts.append([x for branch in arg[1] for x in of(branch)])
+            elif name == "SUBPATTERN":
+                parts.append(of(arg[3]))
+            elif name == "MAX_REPEAT":
+                parts.append(["".join(x) for x in product(of(arg[2]), repeat=arg[0])])
+            elif name == "IN":
+                parts.append([chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "x"])
+            else:
+                raise ValueError(name)
+        return ["".join(x) for x in product(*parts)]
+
+    return of(parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_every_sample(spark):
+    for _, _, keyword, name in license_scans.NAMES:
+        assert all(keyword.split()[0] in x for x in samples(name)), name
+    texts = ["Berkeley Software Distribution license", "under a simplified licence", "SPDX-License-Identifier: (MIT OR Apache-2.0)", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND (BSD-3-Clause OR ISC)", "SPDX-License-Identifier: MIT\nthen Apache-2.0"]
+    rows = {r.doc_id: r.labels for r in license_scans.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert rows == {0: "bsd", 1: "bsd-2-clause", 2: "apache-2.0,mit", 3: "bsd-3-clause,gpl-2.0-or-later,isc", 4: "mit"}

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from . import textscan as ts
@@ -313,16 +314,21 @@ def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id of the row's group."""
+    rows, known = _known(docs, n, percent, id_col, text_col, ("doc_id", "n_shingles"))
+    # written, so that the join reads both sides from exchanges of its own and can split a group with much of all rows
+    least = cut(known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    own = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(own)
+
+
+def _known(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, sid) of all rows, and the named ones of these with the component of each row that has words."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scanned = _rows(docs, n)
     rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("sid"))
     found = linked_sets(docs, n, percent, _frequent(scanned))
     known = rows.where("n_shingles > 0").join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    known = cut(known.select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("component")))
-    # written, so that the join reads both sides from exchanges of its own and can split a group with much of all rows
-    least = cut(known.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    own = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(own)
+    return rows, cut(known.select(*names, F.coalesce("component", "sid").alias("component")))
 
 
 def linked_sets(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -351,23 +357,38 @@ def linked_sets(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarra
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, the one with the smallest id; rows without words stay.
 
-    Rows of one id are kept or dropped together but for exact repeats, of which one stays.
+    Null ids come after all others.  Of the texts of one id in a group the one
+    with the smallest set hash stays, and of exact repeats one, so it is a row
+    and not an id that is kept or dropped.
     """
-    groups = similar_groups(docs, n, percent, id_col, text_col)
-    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct())
+    _, known = _known(docs, n, percent, id_col, text_col, ("doc_id", "sid"))
+    many = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")).where("n > 1").drop("n")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sid") == F.col("first.sid"))
+    listed = known.join(cut(many), "component").groupBy(F.col("doc_id").alias("__id"), F.col("sid").alias("__set")).agg(F.first(same).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    listed = cut(listed)
     # rows that the bitmap clears need no join, so most texts are not shuffled
-    words, at = bitmap(drop, "__drop"), docs.columns.index(id_col)
+    words, at, text_at = bitmap(listed.where("__id is not null"), "__id"), docs.columns.index(id_col), docs.columns.index(text_col)
+    names = docs.columns
 
-    def side(listed: bool):
+    def side(within: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(at).cast(pa.int64())
-                hit = passes(words, ids.fill_null(0).to_numpy(zero_copy_only=False)) & np.asarray(ids.is_valid())
-                yield batch.filter(pa.array(hit == listed))
-
-        return docs.mapInArrow(tidy(run), docs.schema)
-
-    return side(False).unionByName(side(True).join(drop, F.col(id_col) == F.col("__drop"), "left_anti"))
+                hit = passes(words, ids.fill_null(0).to_numpy(zero_copy_only=False)) | np.asarray(ids.is_null())
+                batch = batch.filter(pa.array(hit == within))
+                if not within:
+                    yield batch
+                elif batch.num_rows:
+                    sets = [set_ids(*sets_of(raw, offsets, n)) for _, _, raw, offsets in ts.blocks(*ts.utf8_block(batch.column(text_at)))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sets).view(np.int64), pa.int64())], [*names, "__sid"])
+
+        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())]) if within else docs.schema)
+
+    judged = side(True).join(listed, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sid") == F.col("__set")), "left")
+    alone = judged.where("__first is null or (__first and __rows = 1)").select(*names)
+    turn = F.row_number().over(W.partitionBy("__id", "__set").orderBy(F.xxhash64(text_col), text_col))
+    repeated = judged.where("__first and __rows > 1").withColumn("__turn", turn).where("__turn = 1").select(*names)
+    return side(False).unionByName(alone).unionByName(repeated)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

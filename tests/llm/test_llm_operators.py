@@ -115,6 +115,14 @@ def test_ngram_join_matches_brute_force(spark, docs, empty, monkeypatch):
     assert 1 in kept and 2 not in kept and 4 in kept and 5 in kept and 10 in kept
 
 
+def test_keep_one_decides_by_row(spark, empty):
+    one, two, three, four = (" ".join(words_of(90 + i, 80)) for i in range(4))
+    rows = [(1, one), (1, one), (2, one), (None, one), (None, two), (None, two), (3, three), (4, three), (4, four), (5, ""), (5, ""), (None, None)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (None, two), (3, three), (4, four), (5, ""), (5, ""), (None, None)])
+    assert ngram_join.keep_one(empty).count() == 0
+
+
 def test_substring_dedup(docs, empty):
     found = substring_dedup.find_passages(docs).collect()
     spans = {(r.doc_id, r.anchor_doc): (r.start_word, r.end_word, r.anchor_start) for r in found}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .transforms import bin_index, time_window
+from .transforms import bin_index, global_rank, time_window
 
 
 def n_bins(t0: int, t1: int, width: int) -> int:
@@ -18,7 +18,7 @@ def neuron_columns(events: DataFrame, n_baseline: int = 0) -> DataFrame:
     seen = events.select("n").distinct()
     if n_baseline:
         seen = seen.unionByName(events.sparkSession.range(n_baseline).select(F.col("id").alias("n"))).distinct()
-    return seen.select("n", (F.row_number().over(W.orderBy("n")) - 1).cast("long").alias("col"))
+    return global_rank(seen, "n").select("n", F.col("rank").cast("long").alias("col"))
 
 
 def binner(events: DataFrame, t0: int, t1: int, width: int, binary: bool = True) -> DataFrame:

@@ -23,20 +23,28 @@ def refractory_ok(vertices: DataFrame, rho: int, heads: DataFrame | None = None)
 def lookback(heads: DataFrame, vertices: DataFrame, connectivity: DataFrame, cfg: GrowConfig) -> DataFrame:
     """(n, t, pre, pt): for each head and source neuron its k latest vertices in [t - delay_max, t - delay_min].
 
-    The interval join is an equi-join on the source neuron and a time bucket as
-    wide as the longest delay, of which a head looks at two at most.
+    Time is cut into buckets as wide as the interval, and a vertex stands in its
+    own and the next, so the bucket of an interval's end holds all of it.  There
+    vertices and interval ends are sorted once: each vertex carries the last ones
+    up to itself, and an end takes what the vertex before it carries.  So a busy
+    neuron costs a sort, not its heads times its vertices.
     """
-    if cfg.delay_max < cfg.delay_min:
+    if cfg.delay_max < cfg.delay_min or cfg.k <= 0:
         return heads.limit(0).select("n", "t", F.col("n").alias("pre"), F.col("t").alias("pt"))
-    width = max(1, cfg.delay_max)
+    width = max(1, cfg.delay_max - cfg.delay_min)
     bucket = lambda x: F.floor(x / width).cast("long")
-    asked = heads.join(connectivity, heads["n"] == connectivity["post"]).select("n", "t", "pre")
-    asked = asked.withColumn("bucket", F.explode(F.sequence(bucket(F.col("t") - cfg.delay_max), bucket(F.col("t") - cfg.delay_min))))
-    given = vertices.select(F.col("n").alias("pre"), F.col("t").alias("pt"), bucket(F.col("t")).alias("bucket"))
-    near = asked.join(given, ["pre", "bucket"]).where(F.col("pt").between(F.col("t") - cfg.delay_max, F.col("t") - cfg.delay_min))
-    near = near.where((F.col("n") != F.col("pre")) | (F.col("t") != F.col("pt")))
-    recent = F.row_number().over(W.partitionBy("n", "t", "pre").orderBy(F.desc("pt")))
-    return near.withColumn("rank", recent).where(F.col("rank") <= cfg.k).select("n", "t", "pre", "pt")
+    asked = heads.select("n", "t").join(connectivity, heads["n"] == connectivity["post"]).select("pre", "n", "t", (F.col("t") - cfg.delay_min).alias("at"))
+    given = vertices.select(F.col("n").alias("pre"), F.col("t").alias("at")).select("pre", "at", F.explode(F.array(bucket(F.col("at")), bucket(F.col("at")) + 1)).alias("bucket"))
+    by_time = W.partitionBy("pre", "bucket").orderBy("at")
+    itself = int(cfg.delay_min <= 0)  # a head may be its own latest vertex, which doesn't count
+    carried = F.array_compact(F.array(*[F.lag("at", i).over(by_time) for i in range(cfg.k + itself)]))
+    none = F.lit(None).cast("bigint")
+    rows = given.select("pre", "bucket", "at", F.lit(0).alias("kind"), none.alias("n"), none.alias("t"), carried.alias("recent"))
+    rows = rows.unionByName(asked.select("pre", bucket(F.col("at")).alias("bucket"), "at", F.lit(1).alias("kind"), "n", "t", F.lit(None).cast("array<bigint>").alias("recent")))
+    upto = W.partitionBy("pre", "bucket").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = rows.withColumn("recent", F.last("recent", ignorenulls=True).over(upto)).where("kind = 1")
+    inside = F.filter("recent", lambda pt: (pt >= F.col("t") - cfg.delay_max) & ((F.col("n") != F.col("pre")) | (F.col("t") != pt)))
+    return found.select("n", "t", "pre", F.explode(F.slice(inside, 1, cfg.k)).alias("pt"))
 
 
 def clusters(tails: DataFrame, delta: int) -> DataFrame:
@@ -61,13 +69,40 @@ def combinations(tails: DataFrame, cfg: GrowConfig) -> DataFrame:
     return out.withColumn("size", F.size("tail"))
 
 
+def within_budget(tails: DataFrame, cfg: GrowConfig) -> DataFrame:
+    """combinations(), cut to each head's budget: fewer tails first, then the later latest tail, then the order of tails.
+
+    A size is made only for heads whose smaller sizes leave room, so what is
+    made and not kept stays below a budget's square a head.
+    """
+    budget, head = cfg.budget_per_head, W.partitionBy("n", "t")
+    v = lambda a: F.struct(F.col(f"{a}.pre").alias("n"), F.col(f"{a}.pt").alias("t"))
+    first = lambda *by: F.row_number().over(head.orderBy(*by))
+    numbered = clusters(tails, cfg.causal_coincidence_delta).withColumn("used", F.count(F.lit(1)).over(head))
+    one = numbered.withColumn("place", first(F.desc("pt"), "idx")).where(F.col("place") <= budget)
+    out = one.alias("a").select("n", "t", F.array(v("a")).alias("tail"), F.lit(1).alias("size"))
+    if cfg.combination_order_max < 2 or cfg.causal_coincidence_delta <= 0:
+        return out
+    open_ = numbered.where(F.col("used") < budget)
+    same = lambda x, y: (F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.t") == F.col(f"{y}.t")) & (F.col(f"{x}.cluster") == F.col(f"{y}.cluster")) & (F.col(f"{x}.idx") < F.col(f"{y}.idx"))
+    two = open_.alias("a").join(open_.alias("b"), same("a", "b"))
+    two = two.select("a.n", "a.t", "a.cluster", F.col("b.idx").alias("idx"), F.array("a.idx", "b.idx").alias("places"), F.array(v("a"), v("b")).alias("tail"), F.greatest("a.pt", "b.pt").alias("latest"), "a.used")
+    two = two.withColumn("place", first(F.desc("latest"), "places")).withColumn("pairs", F.count(F.lit(1)).over(head))
+    out = out.unionByName(two.where(F.col("used") + F.col("place") <= budget).select("n", "t", "tail", F.lit(2).alias("size")))
+    if cfg.combination_order_max < 3:
+        return out
+    two = two.where(F.col("used") + F.col("pairs") < budget).select("n", "t", "cluster", "idx", "places", "tail", "latest", (F.col("used") + F.col("pairs")).alias("used"))
+    three = two.alias("a").join(open_.alias("b"), same("a", "b"))
+    three = three.select("a.n", "a.t", F.array_append("a.tail", v("b")).alias("tail"), F.array_append("a.places", F.col("b.idx")).alias("places"), F.greatest("a.latest", "b.pt").alias("latest"), "a.used")
+    three = three.withColumn("place", first(F.desc("latest"), "places")).where(F.col("used") + F.col("place") <= budget)
+    return out.unionByName(three.select("n", "t", "tail", F.lit(3).alias("size")))
+
+
 def candidates(vertices: DataFrame, connectivity: DataFrame, cfg: GrowConfig, heads: DataFrame | None = None) -> DataFrame:
     """Edges of the heads (by default all vertices), within the budget of each: fewer tails first, then later ones."""
     heads = refractory_ok(vertices, cfg.refractory_rho, heads)
-    made = combinations(lookback(heads, vertices, connectivity, cfg), cfg)
-    if cfg.budget_per_head > 0:
-        order = W.partitionBy("n", "t").orderBy("size", F.desc(F.array_max(F.transform("tail", lambda x: x["t"]))), "idx")
-        made = made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.budget_per_head)
+    tails = lookback(heads, vertices, connectivity, cfg)
+    made = within_budget(tails, cfg) if cfg.budget_per_head > 0 else combinations(tails, cfg)
     head = F.struct("n", "t")
     return made.select(
         ids.edge_id(F.struct("n", "t"), F.col("tail")).alias("id"),
@@ -102,6 +137,19 @@ def most_recent(heads: DataFrame, connectivity: DataFrame, vertices: DataFrame,
     return lookback(heads, vertices, connectivity, GrowConfig(k=1, delay_min=delay_min + 1, delay_max=delay_max))
 
 
+def get_vertex(vertices: DataFrame, n: int, t: int) -> DataFrame:
+    return vertices.where((F.col("n") == n) & (F.col("t") == t))
+
+
+def get_edge(edges: DataFrame, id: str) -> DataFrame:
+    return edges.where(F.col("id") == id)
+
+
+def remove(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those whose ids stand in gone (id)."""
+    return edges.join(gone.select("id"), "id", "left_anti").select(*edges.columns)
+
+
 def incoming(edges: DataFrame, n: int, t: int) -> DataFrame:
     return edges.where((F.col("head.n") == n) & (F.col("head.t") == t))
 

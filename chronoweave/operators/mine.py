@@ -1,50 +1,76 @@
-"""Frequent labels with decay and hysteresis."""
+"""Frequent labels with decay and hysteresis.
+
+A label's count decays by exp(-lambda dt) and grows by each observation's
+weight, in order of (t, seq); every observation adds to hold, and one with the
+count at theta or more and hold at hold_k or more promotes the label and sets
+hold, but not the count, back.  The rule is a recursion over a label's
+observations, so these are sorted by label and streamed: a task holds the state
+of one label, four numbers, however many observations it has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MineConfig
 
-
 STATE = "label string, count double, last_t bigint, hold int, promotions int"
-
-
-def _fold(steps: Column, cfg: MineConfig, start: Column | None = None) -> Column:
-    """The state after all of (t, weight): count decays by exp(-lambda dt) and grows by the weight; see fold()."""
-    if start is None:
-        start = F.struct(F.lit(0.0).alias("count"), F.lit(None).cast("long").alias("last_t"), F.lit(0).alias("hold"), F.lit(0).alias("promotions"))
-
-    def step(acc: Column, x: Column) -> Column:
-        age = F.greatest(F.lit(0), x["t"] - F.coalesce(acc["last_t"], x["t"]))
-        count = acc["count"] * F.exp(-cfg.lambda_decay * age) + x["weight"]
-        hold = acc["hold"] + 1
-        up = (count >= cfg.theta) & (hold >= cfg.hold_k)
-        return F.struct(count.alias("count"), x["t"].alias("last_t"), F.when(up, 0).otherwise(hold).alias("hold"), (acc["promotions"] + up.cast("int")).alias("promotions"))
-
-    return F.aggregate(steps, start, step)
+_SCHEMA = pa.schema([("label", pa.string()), ("count", pa.float64()), ("last_t", pa.int64()), ("hold", pa.int32()), ("promotions", pa.int32())])
+
+
+def _streamed(rows: DataFrame, cfg: MineConfig) -> DataFrame:
+    """States after rows (label, kind, t, seq, weight, hold, promotions): kind 0 is a state to go on from, kind 1 an observation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        open_, name, count, last, hold, made = False, None, 0.0, None, 0, 0
+        for batch in batches:
+            for label, kind, t, weight, h, p in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if not open_ or label != name:
+                    if open_:
+                        done.append((name, count, last, hold, made))
+                    open_, name, count, last, hold, made = True, label, 0.0, None, 0, 0
+                if not kind:
+                    count, last, hold, made = weight, t, h, p
+                    continue
+                count = count * math.exp(-cfg.lambda_decay * max(0, t - (t if last is None else last))) + weight
+                last, hold = t, hold + 1
+                if count >= cfg.theta and hold >= cfg.hold_k:
+                    hold, made = 0, made + 1
+            if len(done) > 10_000:
+                yield batch_of(done)
+                done = []
+        if open_:
+            yield batch_of([*done, (name, count, last, hold, made)])
+
+    def batch_of(states: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*states, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    sorted_ = rows.repartition("label").sortWithinPartitions("label", "kind", "t", "seq", "weight")
+    return sorted_.select("label", "kind", "t", "weight", "hold", "promotions").mapInArrow(run, STATE)
+
+
+def _observed(observations: DataFrame, cfg: MineConfig) -> DataFrame:
+    none = F.lit(None).cast("int")
+    return observations.where(F.col("weight") >= cfg.min_weight).select("label", F.lit(1).alias("kind"), "t", "seq", F.col("weight").cast("double").alias("weight"), none.alias("hold"), none.alias("promotions"))
 
 
 def fold(observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:
-    """(label, count, last_t, hold, promotions) from observations (label, t, seq, weight).
-
-    Every observation adds to hold; one with the count at theta or more and hold
-    at hold_k or more promotes the label and sets hold, but not the count, back.
-    """
+    """(label, count, last_t, hold, promotions) from observations (label, t, seq, weight)."""
     cfg = cfg or MineConfig()
-    seen = observations.where(F.col("weight") >= cfg.min_weight)
-    steps = F.array_sort(F.collect_list(F.struct("t", "seq", "weight")))
-    return seen.groupBy("label").agg(steps.alias("steps")).select("label", _fold(F.col("steps"), cfg).alias("s")).select("label", "s.*")
+    return _streamed(_observed(observations, cfg), cfg)
 
 
 def resume(states: DataFrame, observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:
     """fold() going on from the states of the labels so far; its rows, in the form of STATE."""
     cfg = cfg or MineConfig()
-    steps = observations.where(F.col("weight") >= cfg.min_weight).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "weight"))).alias("steps"))
-    start = F.struct(F.coalesce("count", F.lit(0.0)).alias("count"), "last_t", F.coalesce("hold", F.lit(0)).alias("hold"), F.coalesce("promotions", F.lit(0)).alias("promotions"))
-    none = F.expr("cast(array() as array<struct<t:bigint,seq:bigint,weight:double>>)")
-    return states.join(steps, "label", "full").select("label", _fold(F.coalesce("steps", none), cfg, start).alias("s")).select("label", "s.*")
+    before = states.select("label", F.lit(0).alias("kind"), F.col("last_t").alias("t"), F.lit(0).cast("bigint").alias("seq"), F.col("count").alias("weight"), "hold", "promotions")
+    return _streamed(before.unionByName(_observed(observations, cfg).withColumn("seq", F.col("seq").cast("bigint"))), cfg)
 
 
 def promoted(observations: DataFrame, cfg: MineConfig | None = None) -> DataFrame:

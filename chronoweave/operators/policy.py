@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from ..config import PolicyConfig
 
+TILE = 1024  # signatures, and tasks, that are compared at once
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
@@ -16,15 +18,24 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def decide(tasks: DataFrame, new: DataFrame, cfg: PolicyConfig | None = None) -> DataFrame:
-    """(new_id, action, task_id, similarity) for new signatures (new_id, edge_id) against tasks (task_id, edge_id, reliability)."""
+    """(new_id, action, task_id, similarity) for new signatures (new_id, edge_id) against tasks (task_id, edge_id, reliability).
+
+    The best task is wanted even below the threshold, so every signature asked
+    for is compared with every task: both sides are cut into runs of TILE, each
+    two runs are a task's work, and of a tile only the best of each signature
+    goes on.
+    """
     cfg = cfg or PolicyConfig()
-    strong = tasks.where(F.col("reliability") + cfg.epsilon >= cfg.cutoff).select("task_id", "edge_id").distinct()
-    new = new.select("new_id", "edge_id").distinct()
-    size_t, size_n = strong.groupBy("task_id").agg(F.count(F.lit(1)).alias("nt")), new.groupBy("new_id").agg(F.count(F.lit(1)).alias("nn"))
-    both = new.join(strong, "edge_id").groupBy("new_id", "task_id").agg(F.count(F.lit(1)).alias("i"))
-    scored = both.join(size_t, "task_id").join(size_n, "new_id").withColumn("similarity", F.col("i") / (F.col("nt") + F.col("nn") - F.col("i")))
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("similarity"), "task_id"))).where("rank = 1")
-    out = size_n.select("new_id").join(best, "new_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    strong = tasks.where(F.col("reliability") + cfg.epsilon >= cfg.cutoff).groupBy("task_id").agg(F.collect_set("edge_id").alias("t"))
+    asked = new.groupBy("new_id").agg(F.collect_set("edge_id").alias("e"))
+    across, down = (max(1, -(-x.count() // TILE)) for x in (strong, asked))
+    tile = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = strong.select("*", tile("task_id", across).alias("x"), every(down).alias("y")).join(asked.select("*", tile("new_id", down).alias("y"), every(across).alias("x")), ["x", "y"])
+    both = F.size(F.array_intersect("e", "t"))
+    scored = met.select("new_id", "task_id", (both / (F.size("e") + F.size("t") - both)).alias("similarity")).where("similarity > 0")
+    best = scored.groupBy("new_id").agg(F.min_by(F.struct("task_id", "similarity"), F.struct(-F.col("similarity"), F.col("task_id"))).alias("b"))
+    out = asked.select("new_id").join(best, "new_id", "left").select("new_id", "b.task_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
     reuse = F.col("task_id").isNotNull() & (F.col("similarity") >= cfg.similarity_threshold)
     return out.select("new_id", F.when(reuse, "REUSE").otherwise("ISOLATE").alias("action"), F.when(reuse, F.col("task_id")).alias("task_id"), "similarity")
 

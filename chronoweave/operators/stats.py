@@ -27,7 +27,8 @@ def bootstrap_ci(values: list[float], alpha: float = 0.05, n_boot: int = 10_000,
     """Percentile interval of a small sample's mean."""
     x = np.asarray(values, float)
     rng = np.random.default_rng(seed)
-    means = x[rng.integers(0, len(x), (n_boot, len(x)))].mean(1)
+    run = max(1, (1 << 22) // max(1, len(x)))  # samples that are drawn together
+    means = np.concatenate([x[rng.integers(0, len(x), (min(run, n_boot - i), len(x)))].mean(1) for i in range(0, n_boot, run)])
     return float(x.mean()), *map(float, np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)]))
 
 
@@ -43,7 +44,7 @@ def paired_ttest(pairs: DataFrame, alpha: float = 0.05) -> dict:
 def wilcoxon(pairs: DataFrame, alpha: float = 0.05) -> dict:
     """Signed ranks of x - y without zeros, ties at their mean rank; the normal approximation with tie correction."""
     d = pairs.select((F.col("x") - F.col("y")).alias("d")).where("d <> 0").groupBy(F.abs("d").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = d.withColumn("below", F.coalesce(F.sum("n").over(W.orderBy("a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
+    ranked = global_cumulative(d.select(F.col("a").alias("value"), F.lit(0).alias("nx"), F.col("n").alias("ny"), "n", "up")).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     r = ranked.agg(F.sum(F.col("rank") * F.col("up")).alias("w"), F.sum("n").alias("n"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties")).first()
     n = r["n"] or 0
     if not n:

@@ -28,25 +28,23 @@ def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: Tra
     beam = targets.select("n", "t").distinct().select(target.alias("target"), F.array(F.struct("t", "n")).alias("frontier"), F.expr("cast(array() as array<string>)").alias("edges"), F.lit(1.0).alias("score"))
     beam, done = cut(beam), []
     levels = max(1, 8 * cfg.beam_size) if cfg.beam_size > 0 else 0
-    order = W.partitionBy("target").orderBy(F.desc("score"), "edges")
+    order = W.partitionBy("target", "ends").orderBy(F.desc("score"), "edges")
     for _ in range(levels):
         at = beam.withColumn("v", F.element_at("frontier", -1))
-        open_ = at.join(usable, (F.col("v.n") == F.col("hn")) & (F.col("v.t") == F.col("ht")), "left")
+        fits = (F.col("v.n") == F.col("hn")) & (F.col("v.t") == F.col("ht"))
         if cfg.horizon > 0:
-            fits = F.coalesce(F.col("target.t") - F.get(F.col("new"), F.lit(0))["t"] <= cfg.horizon, F.lit(False))
-        else:
-            fits = F.col("edge").isNotNull()
-        # one row a state and edge; those of a state with no fitting edge end as one path
-        open_ = open_.withColumn("fits", fits).withColumn("any", F.max("fits").over(W.partitionBy("target", "edges", "frontier"))).withColumn("one", F.row_number().over(W.partitionBy("target", "edges", "frontier").orderBy("edge")))
-        step = cut(open_.where(F.col("fits") | (~F.col("any") & (F.col("one") == 1))))
-        done.append(step.where("not fits").select("target", "edges", "score"))
-        grown = step.where("fits").select(
+            fits &= F.col("target.t") - F.get(F.col("new"), F.lit(0))["t"] <= cfg.horizon
+        # a state with no fitting edge comes out of the left join once, and ends as a path
+        grown = at.join(usable, fits, "left").select(
             "target",
-            F.array_union(F.array_remove("frontier", F.col("v")), F.col("new")).alias("frontier"),
-            F.array_append("edges", F.col("edge")).alias("edges"),
-            (F.col("score") * F.col("reliability")).alias("score"),
+            F.when(F.col("edge").isNotNull(), F.array_union(F.array_remove("frontier", F.col("v")), F.col("new"))).alias("frontier"),
+            F.when(F.col("edge").isNotNull(), F.array_append("edges", F.col("edge"))).otherwise(F.col("edges")).alias("edges"),
+            (F.col("score") * F.coalesce("reliability", F.lit(1.0))).alias("score"),
+            F.col("edge").isNull().alias("ends"),
         )
-        beam = cut(grown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.beam_size).drop("rank"))
+        step = cut(grown.withColumn("rank", F.row_number().over(order)).where(F.col("ends") | (F.col("rank") <= cfg.beam_size)).drop("rank"))
+        done.append(step.where("ends").select("target", "edges", "score"))
+        beam = step.where("not ends").select("target", "frontier", "edges", "score")
         if beam.isEmpty():
             break
     if not done:

@@ -56,7 +56,7 @@ def confusion(predictions: DataFrame) -> DataFrame:
 
 
 def watchers(predicted: DataFrame, events: DataFrame, delay_min: str, delay_max: str, lateness: str = "1 hour") -> DataFrame:
-    """(edge, n, due, confirmed_at): each prediction with the first events that confirm it, or null once the watermark has passed.
+    """(edge, n, due, confirmed_at): each prediction with the events that confirm it, or null once the watermark has passed.
 
     predicted has (edge, n, due); an event of neuron n confirms it from
     due + delay_min to due + delay_max.

@@ -12,6 +12,9 @@ def _need(ok: bool, what: str) -> None:
         raise ValueError(what)
 
 
+# Defaults are fixed values: results of runs without settings depend on them.
+
+
 @dataclass(frozen=True)
 class GrowConfig:
     k: int = 3
@@ -38,6 +41,7 @@ class LearnConfig:
     clamp_min: float = 0.02
     clamp_max: float = 0.98
     prune_threshold: float = 0.05
+    decay_lambda: float = 0.0
     alpha0: float = 1.0
     beta0: float = 1.0
     share_negative: float = 1.0
@@ -74,6 +78,10 @@ class RewriteConfig:
     enabled: bool = False
     prune_threshold: float = 0.2
     freeze_threshold: float = 0.95
+    apply_ops: tuple[str, ...] = ("grow", "prune", "freeze")
+
+    def __post_init__(self) -> None:
+        _need(set(self.apply_ops) <= {"grow", "prune", "freeze"}, "apply_ops are of grow, prune and freeze")
 
 
 @dataclass(frozen=True)
@@ -127,6 +135,35 @@ class CardConfig:
         _need(self.alpha0 > 0 and self.beta0 > 0 and self.samples > 0 and 0 < self.level < 1, "priors, samples and level must be in range")
 
 
+@dataclass(frozen=True)
+class BufferConfig:
+    """Per-neuron buffers: how long events are kept after a neuron's last, looked at every so many."""
+
+    horizon: int = 500_000
+    prune_batch: int = 256
+
+    def __post_init__(self) -> None:
+        _need(self.horizon >= 0 and self.prune_batch > 0, "horizon and prune_batch must be in range")
+
+
+@dataclass(frozen=True)
+class EncoderConfig:
+    time_bin: int = 1000
+    normalize: bool = True
+
+    def __post_init__(self) -> None:
+        _need(self.time_bin > 0, "time_bin must be positive")
+
+
+@dataclass(frozen=True)
+class AuditConfig:
+    """Where a step writes its audit chain and its rule cards; nowhere unless set."""
+
+    log: str | None = None
+    cards: str | None = None
+    max_bytes: int | None = None
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     grow: GrowConfig = field(default_factory=GrowConfig)
@@ -136,6 +173,8 @@ class EngineConfig:
     abstraction: AbstractionConfig = field(default_factory=AbstractionConfig)
     rewrite: RewriteConfig = field(default_factory=RewriteConfig)
     gate: GateConfig = field(default_factory=GateConfig)
+    card: CardConfig = field(default_factory=CardConfig)
+    audit: AuditConfig = field(default_factory=AuditConfig)
 
 
 def deep_merge(base: dict, over: dict) -> dict:
@@ -170,6 +209,37 @@ def parse_overrides(args: list[str]) -> dict:
     return out
 
 
+def load_yaml(path: str) -> dict:
+    """A YAML file's mapping; an empty file is an empty one."""
+    import yaml  # not everywhere; only YAML files need it
+
+    with open(path, encoding="utf-8") as text:
+        values = yaml.safe_load(text) or {}
+    if not isinstance(values, dict):
+        raise ValueError(f"{path} doesn't hold a mapping")
+    return values
+
+
+#: The sections and keys of experiment files, and the parameters that they set.  Others are left alone.
+SECTIONS = {
+    "dch": ("grow", {x: x for x in ("k", "combination_order_max", "causal_coincidence_delta", "budget_per_head", "init_reliability", "refractory_rho", "delay_min", "delay_max")}),
+    "traversal": ("traverse", {x: x for x in ("horizon", "beam_size", "length_penalty_base")}),
+    "plasticity": ("learn", {"ema_alpha": "ema_alpha", "reliability_min": "clamp_min", "reliability_max": "clamp_max", "decay_lambda": "decay_lambda", "prune_threshold": "prune_threshold"}),
+    "fsm": ("mine", {"theta": "theta", "lambda_decay": "lambda_decay", "hold_k": "hold_k", "min_weight": "min_weight", "promotion_limit_per_step": "promotion_cap"}),
+    "scaffolding": ("mine", {"enabled": "enabled"}),
+}
+
+
+def from_experiment(values: dict) -> EngineConfig:
+    """An EngineConfig from the sections of an experiment's files; keys that set nothing here are passed over."""
+    made: dict = {}
+    for name, (part, keys) in SECTIONS.items():
+        for key, value in (values.get(name) or {}).items():
+            if key in keys:
+                made.setdefault(part, {})[keys[key]] = value
+    return from_mapping(made)
+
+
 def from_mapping(values: dict) -> EngineConfig:
     """An EngineConfig from nested values; unknown keys are errors."""
     made = {}

@@ -57,8 +57,8 @@ def posterior_mean(success: Column, miss: Column, alpha0: float = 1.0, beta0: fl
     return (success + alpha0) / (success + miss + (alpha0 + beta0))
 
 
-def structural_label(head: Column, edges: Column, time_resolution: float = 1.0) -> Column:
-    """``HEAD:n|EDGES:[...]`` of a path; edges is an array of (head, tail) structs.
+def structural_label(head: Column, edges: Column, time_resolution: float = 1.0, reliability: bool = False) -> Column:
+    """``HEAD:n|EDGES:[...]`` of a path; edges is an array of (head, tail) structs, with reliability if it is shown, in three decimals.
 
     Each edge shows its head neuron and, for each tail, the neuron and the delay
     in units of time_resolution, half to even.  Shifting all times leaves it.
@@ -67,7 +67,8 @@ def structural_label(head: Column, edges: Column, time_resolution: float = 1.0)
         pairs = F.transform(e["tail"], lambda v: F.struct(v["n"].cast("string").alias("n"), F.bround((e["head"]["t"] - v["t"]) / time_resolution).cast("bigint").alias("d")))
         tails = F.transform(F.array_sort(pairs), lambda p: F.concat(F.lit("('"), p["n"], F.lit("', "), p["d"].cast("string"), F.lit(")")))
         comma = F.when(F.size(tails) == 1, ",").otherwise("")
-        return F.concat(F.lit("('"), e["head"]["n"].cast("string"), F.lit("', ("), F.array_join(tails, ", "), comma, F.lit("))"))
+        more = F.concat(F.lit(", '"), F.format_string("%.3f", F.bround(e["reliability"], 3)), F.lit("'")) if reliability else F.lit("")
+        return F.concat(F.lit("('"), e["head"]["n"].cast("string"), F.lit("', ("), F.array_join(tails, ", "), comma, F.lit(")"), more, F.lit(")"))
 
     return F.concat(F.lit("HEAD:"), head["n"].cast("string"), F.lit("|EDGES:["), F.array_join(F.array_sort(F.transform(edges, shown)), ","), F.lit("]"))
 
@@ -77,3 +78,19 @@ def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
     return F.when((na <= eps) | (nb <= eps), 0.0).otherwise(clamp(dot(a, b) / (na * nb), -1.0, 1.0))
+
+
+#: Upper bounds of delay classes, in milliseconds.
+DELAY_BUCKETS_MS = (1, 2, 3, 5, 7, 10, 15, 20, 25, 30)
+
+
+def delay_bucket(delay_us: Column) -> Column:
+    """The least class whose bound is not below the delay, rounded up to milliseconds; the last one beyond all."""
+    ms = F.ceil(delay_us / 1000)
+    fits = F.filter(F.array(*[F.lit(b) for b in DELAY_BUCKETS_MS]), lambda b: b >= ms)
+    return F.coalesce(F.get(fits, F.lit(0)), F.lit(DELAY_BUCKETS_MS[-1]))
+
+
+def as_json(*columns: str) -> Column:
+    """A row's columns as JSON, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -46,8 +46,13 @@ def promote(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | None =
     """edges with the paths' higher-order edges: new ones inserted, known ones raised to the new reliability if above theirs."""
     made = higher_order(paths, edges, cfg).select(*edges.columns)
     raised = edge_key(made).groupBy("key_head", "key_tail").agg(F.max("reliability").alias("to"))
+    return raise_known(edges, raised, eps).unionByName(admit(edges, made))
+
+
+def raise_known(edges: DataFrame, raised: DataFrame, eps: float = 1e-6) -> DataFrame:
+    """edges, those of raised (key_head, key_tail, to) at the new reliability if it is above theirs."""
     kept = edge_key(edges).join(raised, ["key_head", "key_tail"], "left").withColumn("reliability", F.when(F.col("to") > F.col("reliability") + eps, F.col("to")).otherwise(F.col("reliability")))
-    return kept.select(*edges.columns).unionByName(admit(edges, made))
+    return kept.select(*edges.columns)
 
 
 def label_paths(paths: DataFrame, edges: DataFrame, time_resolution: float = 1.0) -> DataFrame:

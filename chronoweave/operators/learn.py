@@ -42,8 +42,12 @@ def prune(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.where(F.col("reliability") >= threshold)
 
 
+def latest(edges: DataFrame, max_edges: int = 10) -> DataFrame:
+    """The edges updated last, then the most reliable."""
+    return edges.orderBy(F.desc(F.coalesce("last_update_t", F.lit(-1))), F.desc("reliability"), "id").limit(max(0, max_edges))
+
+
 def summarize(edges: DataFrame, max_edges: int = 10, alpha0: float = 1.0, beta0: float = 1.0) -> DataFrame:
     """The latest updated edges with their posterior means."""
     mean = ids.posterior_mean(F.col("counts_success"), F.col("counts_miss"), alpha0, beta0)
-    top = edges.orderBy(F.desc(F.coalesce("last_update_t", F.lit(-1))), F.desc("reliability"), "id").limit(max_edges)
-    return top.select("id", mean.alias("mean"), (F.col("counts_success") + alpha0).alias("alpha"), (F.col("counts_miss") + beta0).alias("beta"))
+    return latest(edges, max_edges).select("id", mean.alias("mean"), (F.col("counts_success") + alpha0).alias("alpha"), (F.col("counts_miss") + beta0).alias("beta"))

@@ -23,6 +23,11 @@ def apply_grow(edges: DataFrame, vertices: DataFrame, new: DataFrame) -> DataFra
     return edges.unionByName(admit(edges, made).select(*edges.columns))
 
 
+def as_rule(new: DataFrame) -> DataFrame:
+    """New edges as the growth rule makes them: with their observed delays and its provenance."""
+    return new.withColumn("delta_min", F.lit(0).cast("long")).withColumn("delta_max", F.greatest(F.lit(0).cast("long"), F.array_max(F.transform("tail", lambda v: F.col("head.t") - v["t"])))).withColumn("provenance", F.lit("dpo:grow"))
+
+
 def apply_prune(edges: DataFrame, threshold: float = 0.2) -> DataFrame:
     """Edges whose posterior mean is above the threshold."""
     return edges.where(ids.posterior_mean(F.col("counts_success"), F.col("counts_miss")) > threshold)

@@ -9,7 +9,6 @@ log, so a failed step leaves the one before it in force.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import ids
 from ..functions.lineage import cut
-from ..operators import abstraction, grow, learn, mine, rewrite, traverse
+from ..operators import abstraction, cards, grow, learn, mine, rewrite, traverse
+from ..sources import audit, logs
 
 VERTEX = "n bigint, t bigint"
 Feasible = Callable[[Column, Column], Column]
@@ -80,12 +80,16 @@ class Engine:
         made = cut(grow.candidates(vertices, self.connectivity, cfg.grow, heads).select(*state.edges.columns))
         seen["n_candidates"] = made.count()
         made = self._gated("grow", made, self.feasible(F.col("tail"), F.col("head")), seen)
+        rules = cfg.rewrite.apply_ops if cfg.rewrite.enabled else ()
         new = cut(grow.admit(state.edges, made).select(*state.edges.columns))
+        if "grow" in rules:
+            new = cut(rewrite.as_rule(new))
         seen["n_admitted"] = new.count()
         edges = cut(state.edges.unionByName(new))
         seen |= {"n_hyperpaths": 0, "n_promoted": 0, "n_edges_updated": 0, "n_pruned": 0}
         out = Outcome(State(vertices, edges, state.labels), seen)
         if targets is None:
+            self._audited(new, None, None)
             return out
         paths = cut(traverse.traverse(edges, vertices, targets, cfg.traverse))
         if cfg.gate.enabled and "backward" in cfg.gate.points:
@@ -97,15 +101,31 @@ class Engine:
         if cfg.mine.enabled:
             edges, out.state.labels, out.promoted = self._mined(paths, edges, state.labels, now_t)
             seen["n_promoted"] = out.promoted.count()
+            if cfg.audit.cards and seen["n_promoted"]:
+                logs.append_cards(cards.cards(out.promoted.drop("label").withColumnRenamed("structure", "label"), edges, cfg.card), cfg.audit.cards)
         touched = learn.evidence(paths).join(edges.select("id"), "id", "left_semi")
         seen["n_edges_updated"] = touched.count()
         edges = cut(learn.update(edges, paths, sign, now_t, cfg.learn, freeze))
-        kept = rewrite.apply_prune(edges, cfg.rewrite.prune_threshold) if cfg.rewrite.enabled else learn.prune(edges, cfg.learn.prune_threshold)
+        self._audited(new, paths, edges.join(touched.select("id"), "id", "left_semi"))
+        before = edges.count()
+        kept = rewrite.apply_prune(edges, cfg.rewrite.prune_threshold) if "prune" in rules else learn.prune(edges, cfg.learn.prune_threshold)
+        if "prune" in rules and kept.count() == before:  # the rule took nothing, so the plain threshold has its turn
+            kept = learn.prune(edges, cfg.learn.prune_threshold)
+        if "freeze" in rules:
+            frozen = cut(rewrite.apply_freeze(kept, cfg.rewrite.freeze_threshold))
+            seen["n_frozen"] = frozen.where("frozen").count()
+            kept = frozen
         kept = cut(kept)
-        seen["n_pruned"] = edges.count() - kept.count()
+        seen["n_pruned"] = before - kept.count()
         out.state.edges, out.paths = kept, paths
         return out
 
+    def _audited(self, admitted: DataFrame, paths: DataFrame | None, updated: DataFrame | None) -> None:
+        """Write the step's records to the audit log, if there is one."""
+        if self.cfg.audit.log:
+            records = audit.step_records(admitted, paths, updated, logs.utc_now())
+            audit.AuditLog(self.cfg.audit.log, self.cfg.audit.max_bytes).rows(records.orderBy("phase", "at", "name"))
+
     def _mined(self, paths: DataFrame, edges: DataFrame, before: DataFrame, now_t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Edges with those of newly promoted labels, the label states, and the promoted paths."""
         cfg = self.cfg.mine
@@ -172,20 +192,3 @@ def run_quick(spark: SparkSession, cfg: EngineConfig | None = None, pairs: tuple
     conn = tables.connectivity_of(spark, {1: [0], 2: [0, 1]})
     events = tables.events_of(spark, list(pairs))
     return Engine(conn, cfg).step(empty(spark), events, tables.events_of(spark, [pairs[-1]])).metrics
-
-
-def main(args: list[str]) -> int:
-    """``python -m chronoweave.plans.engine key.sub=value ...``: run the quick step and print one JSON line."""
-    from ..config import fingerprint, from_mapping, parse_overrides
-
-    cfg = from_mapping(parse_overrides(args))
-    spark = SparkSession.builder.master(os.environ.get("SPARK_MASTER", "local[2]")).config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(json.dumps({"fingerprint": fingerprint(cfg), "metrics": run_quick(spark, cfg)}, sort_keys=True))
-    spark.stop()
-    return 0
-
-
-if __name__ == "__main__":
-    import sys
-
-    sys.exit(main(sys.argv[1:]))

@@ -36,10 +36,21 @@ def events_of(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame([(int(n), int(t)) for n, t in pairs], "n bigint, t bigint")
 
 
+def read_dataset(spark: SparkSession, path: str, split: str, item: str | None = None) -> DataFrame:
+    """(item, label, n, t) of recordings in Parquet below path/train or path/test: all, or one by its id."""
+    if split not in ("train", "test"):
+        raise ValueError("split is train or test")
+    rows = spark.read.parquet(f"{path.rstrip('/')}/{split}").select("item", "label", "n", "t")
+    return rows if item is None else rows.where(F.col("item") == item)
+
+
 def read_first_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The first record of each file of a path, with the file's name as ``__name``."""
+    """The first record of each file of a path, with the name of the file's folder as ``__name``; one that is no JSON object fails."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("__file", F.col("_metadata.file_path")).withColumn("__block", F.col("_metadata.file_block_start")).withColumn("__id", F.monotonically_increasing_id())
     first = lines.groupBy("__file").agg(F.min_by("value", F.struct("__block", "__id")).alias("value"))
+    # as a variant, so that anything but an object shows
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    first = first.withColumn("value", F.when(kind.startswith("OBJECT"), F.col("value")).otherwise(F.raise_error(F.concat("__file", F.lit(" doesn't begin with a JSON object"))).cast("string")))
     name = F.element_at(F.split("__file", "/"), -2).alias("__name")
     return first.select(name, F.from_json("value", schema).alias("record") if schema else F.col("value").alias("record"))
 
@@ -68,3 +79,32 @@ def layered_edges(spark: SparkSession, fan: int, layers: int, reliability: float
     head = F.struct(((F.col("layer") + 1) * fan + F.col("i")).alias("n"), ((F.col("layer") + 1) * 100).alias("t"))
     tail = F.array(F.struct((F.col("layer") * fan + F.col("j")).alias("n"), (F.col("layer") * 100).alias("t")))
     return grid.select(head.alias("head"), tail.alias("tail"), F.lit(reliability).alias("reliability"))
+
+
+def random_edges(spark: SparkSession, n_edges: int, n_neurons: int, span: int, fan: int = 2, reliability: float = 0.5, seed: int = 0) -> DataFrame:
+    """Edges of ``fan`` tails each, of neurons and times below n_neurons and span; tails are earlier than their head."""
+    draw = lambda salt, below: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), below)
+    t = (draw("t", F.lit(max(1, span - 1))) + 1).alias("t")
+    tail = F.array_distinct(F.array(*[F.struct(draw(f"n{i}", F.lit(n_neurons)).alias("n"), draw(f"t{i}", F.col("t")).alias("t")) for i in range(fan)]))
+    heads = spark.range(n_edges).select("id", draw("n", F.lit(n_neurons)).alias("n"), t)
+    return heads.select(F.struct("n", "t").alias("head"), tail.alias("tail"), F.lit(reliability).alias("reliability"))
+
+
+def fan_edges(spark: SparkSession, n_edges: int, t: int = 1000, reliability: float = 0.5) -> DataFrame:
+    """Unary edges of one head, each from a neuron of its own."""
+    tail = F.array(F.struct((F.col("id") + 1).alias("n"), F.lit(t - 100).cast("bigint").alias("t")))
+    return spark.range(n_edges).select(F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(t).cast("bigint").alias("t")).alias("head"), tail.alias("tail"), F.lit(reliability).alias("reliability"))
+
+
+#: The chance of a spike a step of the first class, and what each later class adds.
+POISSON_RATES = (0.05, 0.10)
+
+
+def poisson_batches(spark: SparkSession, n_samples: int, n_classes: int = 2, n_neurons: int = 32, n_steps: int = 20, seed: int = 0) -> DataFrame:
+    """(sample, label, n, spikes) of synthetic spike trains: a step spikes with the class's rate, drawn from the cell and the seed alone."""
+    first, more = POISSON_RATES
+    cells = spark.range(n_samples * n_neurons).select((F.col("id") / n_neurons).cast("long").alias("sample"), (F.col("id") % n_neurons).alias("n"))
+    cells = cells.withColumn("label", F.pmod(F.xxhash64("sample", F.lit(seed)), F.lit(n_classes)))
+    draw = lambda step: F.pmod(F.xxhash64("sample", "n", step, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    hits = F.size(F.filter(F.sequence(F.lit(1), F.lit(n_steps)), lambda step: draw(step) < first + more * F.col("label")))
+    return cells.select("sample", "label", "n", hits.cast("long").alias("spikes"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.config import CardConfig, EmbedConfig, EngineConfig, GateConfig, LearnConfig, MineConfig
+from chronoweave.config import AuditConfig, CardConfig, EmbedConfig, EngineConfig, GateConfig, LearnConfig, MineConfig, RewriteConfig
 from chronoweave.functions import ids
 from chronoweave.operators import artifacts, cards, embed, mine
 from chronoweave.plans import engine
@@ -114,19 +114,48 @@ def test_cards(spark):
 
 def test_audit_chain(spark, tmp_path):
     path = str(tmp_path / "log.jsonl")
-    audit.AuditLog(path).extend([("GROW", {"id": "a"}), ("EAT", {"id": "b"})])
+    one = audit.AuditLog(path).append("GROW", {"count": 2, "admitted": ["e1", "e2"]}, "2025-01-01T00:00:00Z")
+    two = audit.AuditLog(path).append("UPDATE", {"count": 1, "edges": [{"id": "e1", "reliability": 0.5}]}, "2025-01-01T00:00:01Z")
+    assert (one, two) == ("675274798b5ad344374ea96a7a22f39f8357f17186a0dcb034346389d35d7af4", "fd1f234eeca99c807bcce6affb63f3b44b8b96f5478aa28f36f18a9f91984053")
     audit.AuditLog(path).append("UPDATE", {"id": "é"})
     assert tuple(audit.verify(audit.read(spark, path)).first()) == (True, 3, None)
     lines = open(path, encoding="utf-8").read().splitlines()
-    record = json.loads(lines[1])
-    record["body"] = record["body"].replace('"b"', '"x"')
-    open(path, "w", encoding="utf-8").write("\n".join([lines[0], json.dumps(record), lines[2]]) + "\n")
+    open(path, "w", encoding="utf-8").write("\n".join([lines[0], lines[1].replace("e1", "e9"), lines[2]]) + "\n")
     assert tuple(audit.verify(audit.read(spark, path)).first()) == (False, 3, 1)
     open(path, "w", encoding="utf-8").write("\n".join([lines[0], lines[2]]) + "\n")
-    assert tuple(audit.verify(audit.read(spark, path)).first()) == (False, 2, 2)
-    rows = spark.createDataFrame([(i, f"row {i}") for i in range(50)], "k int, body string").repartition(4)
+    assert tuple(audit.verify(audit.read(spark, path)).first()) == (False, 2, 1)
+    open(path, "w", encoding="utf-8").write("\n".join([lines[0], "no record", lines[2]]) + "\n")
+    assert tuple(audit.verify(audit.read(spark, path)).first()) == (False, 3, 1)
+    rows = spark.createDataFrame([(i, "ROW", json.dumps(f"row {i}"), "t") for i in range(50)], "k int, kind string, payload string, ts string").repartition(4)
     chain = audit.chained(rows, ["k"])
-    assert tuple(audit.verify(chain).first()) == (True, 50, None)
+    assert tuple(audit.verify(chain.select("idx", "line")).first()) == (True, 50, None)
+    small = audit.AuditLog(str(tmp_path / "small.jsonl"), max_bytes=10)
+    small.append("A", {})
+    small.append("B", {})
+    assert len(list(tmp_path.glob("small.jsonl*"))) == 2 and tuple(audit.verify(audit.read(spark, str(tmp_path / "small.jsonl"))).first()) == (True, 1, None)
+
+
+def test_step_writes_the_audit_and_cards(spark, tmp_path):
+    log, made = str(tmp_path / "a" / "log.jsonl"), str(tmp_path / "cards")
+    cfg = EngineConfig(mine=MineConfig(enabled=True, theta=0.01, hold_k=1), audit=AuditConfig(log, made))
+    conn, events = tables.connectivity_of(spark, {10: [1, 2]}), tables.events_of(spark, [(1, 500), (2, 600), (10, 1000)])
+    engine.Engine(conn, cfg).step(engine.empty(spark), events, tables.events_of(spark, [(10, 1000)]))
+    assert audit.verify(audit.read(spark, log)).first().ok
+    records = [json.loads(x) for x in open(log, encoding="utf-8")]
+    assert [r["kind"] for r in records] == ["GROW", "EAT", "EAT", "EAT", "UPDATE"]
+    assert records[0]["payload"]["count"] == 3 and records[1]["payload"]["head"] == "10@1000" and records[4]["payload"]["count"] >= 3
+    card = spark.read.json(made).first()
+    assert card.type == "Plastic" and card.support == 1 and len(card.reliability_ci) == 2
+
+
+def test_rules_in_the_step(spark):
+    conn, events = tables.connectivity_of(spark, {10: [1, 2]}), tables.events_of(spark, [(1, 500), (2, 600), (10, 1000)])
+    target = tables.events_of(spark, [(10, 1000)])
+    on = engine.Engine(conn, EngineConfig(rewrite=RewriteConfig(enabled=True, prune_threshold=0.1, freeze_threshold=0.6))).step(engine.empty(spark), events, target)
+    rows = on.state.edges.collect()
+    assert {r.provenance for r in rows} == {"dpo:grow"} and all(r.frozen for r in rows) and {r.delta_max for r in rows} == {400, 500}
+    some = engine.Engine(conn, EngineConfig(rewrite=RewriteConfig(enabled=True, prune_threshold=0.9, apply_ops=("prune",)))).step(engine.empty(spark), events, target)
+    assert some.metrics["n_pruned"] == 3 and some.state.edges.count() == 0
 
 
 def test_artifacts(spark):

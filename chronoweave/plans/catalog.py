@@ -80,12 +80,13 @@ UN = NEAR + """, un AS (
   SELECT n, t, pre, pt, n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, (pt // 1000000) % 7 AS s, (t // 1000000) % 5 AS m,
     (1.0::DOUBLE + (pt // 1000000) % 7) / (2.0::DOUBLE + (pt // 1000000) % 7 + (t // 1000000) % 5) AS r FROM tails
 )"""
-#: synthetic paths of one edge each for learning: those of heads at even seconds
-PATHS = UN + ", paths AS (SELECT id, r * 0.98 AS score FROM un WHERE (t // 1000000) % 2 = 0), ev_share AS (SELECT id, sum(score) / (SELECT sum(score) FROM paths) AS share FROM paths GROUP BY id)"
+#: synthetic paths of one edge each for learning; those of heads at odd seconds have no score and are no evidence
+PATHS = UN + ", paths AS (SELECT id, CASE WHEN (t // 1000000) % 2 = 0 THEN r * 0.98 ELSE 0 END AS score FROM un), ev_share AS (SELECT id, sum(score) / (SELECT sum(score) FROM paths) AS share FROM paths WHERE score > 0 GROUP BY id)"
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    return edges.where((F.col("head.t") / 1_000_000).cast("long") % 2 == 0).select(F.col("head").alias("target"), F.array("id").alias("edges"), (F.col("reliability") * 0.98).alias("score"), F.lit(1).alias("length"), F.col("id").alias("label"))
+    score = F.when((F.col("head.t") / 1_000_000).cast("long") % 2 == 0, F.col("reliability") * 0.98).otherwise(0.0)
+    return edges.select(F.col("head").alias("target"), F.array("id").alias("edges"), score.alias("score"), F.lit(1).alias("length"), F.col("id").alias("label"))
 
 
 # ---------------------------------------------------------------- transforms
@@ -260,11 +261,11 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- mining and abstraction
 
-_OBS = f"{EV}, obs AS (SELECT event_type AS label, t, event_id AS seq, 0.5 + (event_id % 4) / 4.0 AS w FROM ev WHERE t BETWEEN {T0} AND {T1})"
+_OBS = f"{EV}, obs AS (SELECT event_type AS label, t, event_id AS seq, 0.5 + (event_id % 4) / 4.0 AS w FROM ev)"
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
-    return transforms.time_window(_events(spark, d), T0, T1).select(F.col("event_type").alias("label"), "t", F.col("event_id").alias("seq"), (F.lit(0.5) + (F.col("event_id") % 4) / 4.0).alias("weight"))
+    return _events(spark, d).select(F.col("event_type").alias("label"), "t", F.col("event_id").alias("seq"), (F.lit(0.5) + (F.col("event_id") % 4) / 4.0).alias("weight"))
 
 
 @query("fsm_promotions", f"WITH {_OBS}, c AS (SELECT label, row_number() OVER o AS n, sum(w) OVER o AS cum FROM obs WINDOW o AS (PARTITION BY label ORDER BY t, seq ROWS UNBOUNDED PRECEDING)), f AS (SELECT label, max(n) AS total, max(cum) AS count, greatest(2, min(n) FILTER (cum >= 5.0)) AS first FROM c GROUP BY 1) SELECT label, round(count, 6) AS count, CASE WHEN first IS NULL THEN 0 ELSE (total - first) // 2 + 1 END AS promotions FROM f")
@@ -277,16 +278,14 @@ def _(spark, d):
     return mine.fold(_observations(spark, d), MineConfig(theta=5.0, lambda_decay=1e-10)).select("label", F.round("count", 6).alias("count"))
 
 
-_TWO = UN + f""", two AS (SELECT a.n, a.t, a.id AS a, b.id AS b, a.r AS ra, b.r AS rb, b.pre, b.pt FROM un a JOIN un b ON b.n = a.pre AND b.t = a.pt WHERE a.t BETWEEN {T0} AND {T0 + DAY})"""
+_TWO = UN + f""", two AS (SELECT a.n, a.t, a.id AS a, b.id AS b, a.r AS ra, b.r AS rb, b.pre, b.pt FROM un a JOIN un b ON b.n = a.pre AND b.t = a.pt)"""
 
 
-def _two_step(spark: SparkSession, d: str, one_day: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Edges and their paths of two; of the heads of one day where the query's SQL says so."""
+def _two_step(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and their paths of two."""
     edges = _unary(spark, d)
     a, b = edges.alias("a"), edges.alias("b")
     two = a.join(b, F.col("b.head") == F.get("a.tail", F.lit(0)))
-    if one_day:
-        two = two.where(F.col("a.head.t").between(T0, T0 + DAY))
     pair = F.array("a.id", "b.id")
     return edges, two.select(F.col("a.head").alias("target"), pair.alias("edges"), F.lit(1.0).alias("score"), F.lit(2).alias("length"), ids.path_label(pair).alias("label"))
 
@@ -305,9 +304,9 @@ def _(spark, d):
     return _unary(spark, d).select("id", F.substring(F.sha2(F.concat(F.lit("rule|"), "id"), 256), 1, 16).alias("rule_id"))
 
 
-@query("structural_labels", f"WITH {UN} SELECT id, 'HEAD:' || n || '|EDGES:[(''' || n || ''', ((''' || pre || ''', ' || round_even((t - pt) / 1000000.0, 0)::BIGINT || '),))]' AS structure FROM un WHERE t BETWEEN {T0} AND {T1}")
+@query("structural_labels", f"WITH {UN} SELECT id, 'HEAD:' || n || '|EDGES:[(''' || n || ''', ((''' || pre || ''', ' || round_even((t - pt) / 1000000.0, 0)::BIGINT || '),))]' AS structure FROM un")
 def _(spark, d):
-    edges = _unary(spark, d).where(F.col("head.t").between(T0, T1))
+    edges = _unary(spark, d)
     return edges.select("id", ids.structural_label(F.col("head"), F.array(F.struct("head", "tail")), 1_000_000.0).alias("structure"))
 
 
@@ -350,12 +349,12 @@ def _(spark, d):
     return metrics.accuracy(_predictions(spark, d)).select(F.round("accuracy", 9).alias("accuracy"))
 
 
-_SCORES = "s AS (SELECT label AS y, embedding[1:10] AS e FROM embeddings), r AS (SELECT len(list_filter(range(0, 10), lambda i: e[i + 1] > e[y + 1] OR (e[i + 1] = e[y + 1] AND i < y))) AS place FROM s)"
+_SCORES = "s AS (SELECT label AS y, embedding AS e FROM embeddings), r AS (SELECT len(list_filter(range(0, len(e)), lambda i: e[i + 1] > e[y + 1] OR (e[i + 1] = e[y + 1] AND i < y))) AS place FROM s)"
 
 
 @query("topk_accuracy", f"WITH {_SCORES} SELECT round(avg((place < 1)::INT), 9) AS top_1, round(avg((place < 3)::INT), 9) AS top_3, round(avg((place < 5)::INT), 9) AS top_5 FROM r")
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("y_true"), F.slice("embedding", 1, 10).alias("scores"))
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("y_true"), F.col("embedding").alias("scores"))
     out = metrics.top_k(rows, [1, 3, 5])
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
@@ -411,13 +410,13 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- policy
 
-_TASK = "tasks AS (SELECT DISTINCT o_custkey AS task_id, l_partkey % 50 AS edge_id, 0.5 + (l_partkey % 50) / 100.0 AS reliability FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 2 = 0), new AS (SELECT DISTINCT o_custkey AS new_id, l_partkey % 50 AS edge_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 40 = 1)"
+_TASK = "tasks AS (SELECT DISTINCT o_custkey AS task_id, l_partkey % 50 AS edge_id, 0.5 + (l_partkey % 50) / 100.0 AS reliability FROM orders JOIN lineitem ON l_orderkey = o_orderkey), new AS (SELECT DISTINCT o_custkey AS new_id, l_partkey % 50 AS edge_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 20 = 0)"
 
 
 def _tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", (F.col("l_partkey") % 50).alias("edge_id"))
     used = lines.join(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "edge_id").distinct()
-    return used.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("task_id"), "edge_id", (F.lit(0.5) + F.col("edge_id") / 100.0).alias("reliability")), used.where("o_custkey % 40 = 1").select(F.col("o_custkey").alias("new_id"), "edge_id")
+    return used.select(F.col("o_custkey").alias("task_id"), "edge_id", (F.lit(0.5) + F.col("edge_id") / 100.0).alias("reliability")), used.where("o_custkey % 20 = 0").select(F.col("o_custkey").alias("new_id"), "edge_id")
 
 
 @query("jaccard_decide", f"WITH {_TASK}, st AS (SELECT task_id, edge_id FROM tasks WHERE reliability + 1e-12 >= 0.6), nt AS (SELECT task_id, count(*) AS c FROM st GROUP BY 1), nn AS (SELECT new_id, count(*) AS c FROM new GROUP BY 1), i AS (SELECT new_id, task_id, count(*) AS c FROM new JOIN st USING (edge_id) GROUP BY 1, 2), s AS (SELECT i.new_id, i.task_id, i.c::DOUBLE / (nt.c + nn.c - i.c) AS sim FROM i JOIN nt USING (task_id) JOIN nn ON nn.new_id = i.new_id), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY sim DESC, task_id) AS rk FROM s) WHERE rk = 1) SELECT nn.new_id, CASE WHEN sim >= 0.5 THEN 'REUSE' ELSE 'ISOLATE' END AS action, CASE WHEN sim >= 0.5 THEN task_id END AS task_id, round(coalesce(sim, 0), 9) AS similarity FROM nn LEFT JOIN b ON b.new_id = nn.new_id")
@@ -462,14 +461,27 @@ def _(spark, d):
 
 @query("path_embeddings")
 def _(spark, d):
-    edges, paths = _two_step(spark, d, one_day=False)
+    edges, paths = _two_step(spark, d)
     return embed.embed_paths(paths, edges, EmbedConfig(time_resolution=1_000_000.0)).select("target.n", "target.t", "label", "embedding")
 
 
-@query("audit_chain", "SELECT true AS ok, count(*) AS count, NULL::BIGINT AS bad_index FROM events")
+@query("audit_chain", """WITH RECURSIVE ev AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS idx, '{"first":' || min(epoch_us(ts)) || ',"last":' || max(epoch_us(ts)) || ',"n":' || user_id || ',"n_events":' || count(*) || '}' AS payload FROM events GROUP BY user_id), chain AS (
+  SELECT -1::BIGINT AS idx, NULL::VARCHAR AS hash
+  UNION ALL SELECT ev.idx, sha256(encode('{"kind":"NEURON","payload":' || payload || ',"prev_hash":' || coalesce('"' || hash || '"', 'null') || ',"ts":"2024-01-01T00:00:00Z"}') || coalesce(unhex(hash), ''::BLOB)) FROM chain JOIN ev ON ev.idx = chain.idx + 1
+) SELECT idx, hash FROM chain WHERE idx >= 0""")
 def _(spark, d):
-    rows = _events(spark, d).select("event_id", F.to_json(F.struct("n", "t", "event_type")).alias("body"))
-    return audit.verify(audit.chained(rows, ["event_id"]))
+    return audit.chained(_neuron_records(spark, d), ["n"]).select("idx", "hash")
+
+
+@query("audit_verify", "SELECT true AS ok, count(DISTINCT user_id) AS count, NULL::BIGINT AS bad_index FROM events")
+def _(spark, d):
+    return audit.verify(audit.chained(_neuron_records(spark, d), ["n"]).select("idx", "line"))
+
+
+def _neuron_records(spark: SparkSession, d: str) -> DataFrame:
+    """A record a neuron of its events, since a chain is sequential in any engine."""
+    each = _events(spark, d).groupBy("n").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n_events"))
+    return each.select("n", F.lit("NEURON").alias("kind"), F.to_json(F.struct("first", "last", "n", "n_events")).alias("payload"), F.lit("2024-01-01T00:00:00Z").alias("ts"))
 
 
 @query("edge_compare", f"WITH {PATHS} SELECT false AS ok, count(*) AS n, count(share) AS n_different FROM un LEFT JOIN ev_share USING (id)")

@@ -7,7 +7,7 @@ is packed from the longest: a window opens with its longest waiting document,
 its gap takes the longest waiting documents that fit, from its own tier or a
 shorter one, and what is still free is filled by cutting one document of the
 shortest tier that has any.  So every window is full but the last few of a
-partition, and those are cut at powers of two down to the smallest tier.
+partition, and those are cut at powers of two, so none is padded.
 Windows of one tier with similar attention cost (sum of squared piece lengths)
 then form step groups of equal token counts, so no rank of a step waits long.
 
@@ -15,7 +15,8 @@ Packing runs where the documents are read, in blocks of a bounded number of
 tokens, and needs no shuffle; what does not fill a window waits for the next
 block.  A lost task packs the same rows into the same windows when it is rerun.
 
-Cases: a null or empty text is one piece, the end mark; repeated rows are
+Cases: a null or empty text is one piece, the end mark; a text of any length is
+cut into whole windows and a rest; a null id is packed as such; repeated rows are
 packed as often as they stand, told apart by ``sequence_id`` and ``offset``; an
 empty table gives no pieces; other columns are not read.
 """
@@ -97,11 +98,9 @@ class _Packer:
                 self._fill(window, self.waiting.pop())
         if last:
             while self.tokens:
-                window = next((t for t in self.tiers if t <= self.tokens), self.tiers[0])
-                if self.tokens < window:  # the only padded window of the partition
-                    self._close(window, [(x[2], x[3], x[0]) for x in self.waiting])
-                    self.waiting = []
-                elif first := self._longest(window):
+                # what is less than the shortest tier goes to windows of its binary digits, so none is padded
+                window = next((t for t in self.tiers if t <= self.tokens), 1 << self.tokens.bit_length() - 1)
+                if first := self._longest(window):
                     self._fill(window, first)
                 else:
                     length, _, key, start = self.waiting.pop(0)

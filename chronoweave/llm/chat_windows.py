@@ -202,6 +202,3 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return read_back(format_conversations(rows.unionByName(probe)))
-
-
-#: The digests that depend on the template (formatted_chars, n_windows) are left to tests; the others are SQL's.

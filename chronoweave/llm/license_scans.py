@@ -220,6 +220,27 @@ def _places(text: Column, rule: Column) -> Column:
     return F.transform(places, lambda p: F.struct(rule["priority"].alias("priority"), p["lo"].alias("lo"), p["hi"].alias("hi"), rule["label"].alias("label"), rule["weight"].alias("weight")))
 
 
+PLACE = "struct<priority:int,lo:int,hi:int,label:string,weight:double>"
+
+
+def _unsuppressed(places: Column) -> Column:
+    """Places that lie within none of a greater priority, in one sweep from left to right.
+
+    In order of start, the longer and then the greater priority first, all that
+    hold a place come before it; of them only those that reach so far are kept
+    in view, at most one a rule.
+    """
+    turned = F.transform(places, lambda p: F.struct(p["lo"].alias("lo"), (-p["hi"]).alias("end"), (-p["priority"]).alias("order"), p.alias("p")))
+    none = F.expr(f"cast(array() as array<{PLACE}>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        view = F.filter(acc["view"], lambda h: h["hi"] >= x["lo"])
+        hidden = F.exists(view, lambda h: (h["priority"] > x["p"]["priority"]) & (h["hi"] >= x["p"]["hi"]))
+        return F.struct(F.concat(view, F.array(x["p"])).alias("view"), F.when(hidden, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["p"]))).alias("kept"))
+
+    return F.aggregate(F.array_sort(turned), F.struct(none.alias("view"), none.alias("kept")), step, lambda acc: acc["kept"])
+
+
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that are computed once a row, however often they are used: the generator keeps the optimizer from copying them."""
     made = F.struct(*[x.alias(name) for name, x in columns.items()])
@@ -240,8 +261,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = F.flatten(F.transform(live, lambda r: _places(F.col("text"), r)))
     hits = F.regexp_extract_all("text", F.lit(base), F.lit(0))
     rows = _once(rows, places=F.when(F.col("gate"), found), hits=F.when(F.col("gate"), F.when(F.size(hits) > 0, hits)))
-    kept = F.filter("places", lambda d: ~F.exists("places", lambda h: (h["priority"] > d["priority"]) & (h["lo"] <= d["lo"]) & (h["hi"] >= d["hi"])))
-    kept = F.coalesce(kept, F.expr("cast(array() as array<struct<priority:int,lo:int,hi:int,label:string,weight:double>>)"))
+    kept = _unsuppressed(F.coalesce("places", F.expr(f"cast(array() as array<{PLACE}>)")))
     rows = _once(rows, detections=kept, pieces=F.when(F.col("hits").isNotNull(), F.split("text", base)))
     pieces = F.col("pieces")
     label = lambda h: F.coalesce(*[F.when(F.lower(F.substring(h, 1, 1)) == p[0], x) for p, x in BASE])

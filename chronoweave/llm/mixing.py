@@ -14,7 +14,9 @@ rows is sorted by many tasks, and equal runs of the same rows agree.
 Cases: a null or blank text has size 0 and takes nothing; a null source is a
 source of its own, after all others; repeated rows are mixed each for itself;
 ties of the key fall back to the id and the size; sources without words have
-the target 0; an empty table gives an empty result; other columns are left out.
+the target 0; very long texts are counted and cut whole; an empty table gives an
+empty result; other columns, whatever their names, pass through mix() and are
+left out of mix_sizes().
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .stage import free_prefix
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 ROWS_A_BUCKET = 5_000
@@ -68,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, epochs:
 
 
 def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """(doc_id, skey, size, key, source_size, target, whole, taken) from rows of (doc_id, source, size).
+    """(doc_id, skey, slot, size, key, source_size, target, whole, taken) from rows of (doc_id, source, size).
 
     ``whole`` epochs of the source are taken, and of one more what the target
     leaves; ``taken`` is what both take of the row.
@@ -91,7 +95,7 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
         .withColumn("upto", F.col("before") + F.sum("size").over(inside))
         .withColumn("whole", whole)
         .withColumn("taken", F.col("whole") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("upto") + F.col("size"))))
-        .select("doc_id", "skey", "size", "key", "source_size", "target", "whole", "taken")
+        .select("doc_id", "skey", "slot", "size", "key", "source_size", "target", "whole", "taken")
     )
 
 
@@ -99,24 +103,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: docs' rows, repeated for each epoch taken; the one row where a source is cut ends after its last taken word.
 
     Texts are not shuffled: a row's share follows from its key and the place
-    where its source is cut, one small row a source.  Rows equal in id and size
-    to the row at the cut are cut alike.
+    where its source is cut, one small row a source.  Of rows equal in id and
+    size to the row at the cut, which alone are put in an order of their texts,
+    the first ones are whole and the one after them is cut.
     """
-    names = docs.columns
+    names, p = docs.columns, free_prefix(docs)
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    place = F.struct("key", "doc_id", "size")
     mixed = mix_sizes(sizes, **settings).withColumn("extra", F.col("taken") - F.col("whole") * F.col("size"))
-    cuts = mixed.groupBy("skey").agg(F.max("whole").alias("__whole"), F.max(F.when(F.col("extra") > 0, F.struct(place.alias("place"), "extra"))).alias("__cut"))
+    # equal rows stand in one slot, so this sums them without an exchange
+    places = mixed.groupBy("skey", "slot", "key", "doc_id", "size").agg(F.sum("extra").alias("extra"), F.max("whole").alias("whole"))
+    place = F.struct("key", "doc_id", "size")
+    cuts = places.groupBy("skey").agg(F.max("whole").alias(f"{p}whole"), F.max(F.when(F.col("extra") > 0, F.struct(place.alias("place"), "extra"))).alias(f"{p}cut")).withColumnRenamed("skey", f"{p}skey")
     own = F.struct(random_key(F.col(id_col)).alias("key"), F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size"))
-    rows = docs.withColumn("skey", source_key(F.col(source_col))).join(cuts, "skey").withColumn("__place", own)
-    last = F.col("__cut.place")
-    words = F.when(F.col("__place") < last, F.col("__place.size")).when(F.col("__place") == last, F.col("__cut.extra")).otherwise(0)
-    rows = rows.withColumn("__words", F.coalesce(words, F.lit(0)))
-    copies = F.when(F.col("__place.size") > 0, F.col("__whole") + (F.col("__words") > 0).cast("long")).otherwise(0).cast("int")
-    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)")))
+    rows = docs.withColumn(f"{p}skey", source_key(F.col(source_col))).join(cuts, f"{p}skey").withColumn(f"{p}place", own)
+    last, size, whole, words = F.col(f"{p}cut.place"), F.col(f"{p}place.size"), F.col(f"{p}whole"), F.col(f"{p}words")
+    at_cut = F.col(f"{p}place").eqNullSafe(last)
+    apart = rows.where(~at_cut).withColumn(f"{p}words", F.when(F.col(f"{p}place") < last, size).otherwise(F.lit(0).cast("long")))
+    turn = F.row_number().over(W.partitionBy(f"{p}skey").orderBy(F.xxhash64(text_col), text_col)) - 1
+    tied = rows.where(at_cut).withColumn(f"{p}words", F.greatest(F.lit(0).cast("long"), F.least(size, F.col(f"{p}cut.extra") - turn * size)))
+    rows = apart.unionByName(tied)
+    copies = F.when(size > 0, whole + (words > 0).cast("long")).otherwise(0).cast("int")
+    rows = rows.withColumn(f"{p}copies", copies).where(F.col(f"{p}copies") > 0).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))))
     text = F.col(text_col)
-    left = F.get(F.split(F.regexp_replace(text, "^" + SPACE, ""), SPACE, F.col("__words").cast("int") + 1), F.col("__words").cast("int"))
-    partial = (F.col("__copy") > F.col("__whole")) & (F.col("__words") < F.col("__place.size"))
+    left = F.get(F.split(F.regexp_replace(text, "^" + SPACE, ""), SPACE, words.cast("int") + 1), words.cast("int"))
+    partial = (F.col(f"{p}copy") > whole) & (words < size)
     cut = F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(F.coalesce(left, F.lit("")))))
     rows = rows.withColumn(text_col, F.when(partial, cut).otherwise(text))
     return rows.select(*names)

@@ -269,7 +269,7 @@ def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
         ends = run.min() != run.max()
         best, partner = np.full(len(held), -1.0), np.full(len(held), -1)
         for w in np.unique(width):
-            side = np.flatnonzero((width == w) | (width == 2 * w))
+            side = np.flatnonzero((width >= w) & (width <= w << wider))
             bits = np.stack([_fold(np.frombuffer(held[i][4], np.uint64), w) for i in side])
             for k, i in enumerate(side):
                 if width[i] != w:
@@ -304,6 +304,8 @@ def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
             made = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
             yield pa.RecordBatch.from_pydict({"a": made[:, 0], "b": made[:, 1]})
 
+    # sizes that link are within 100 / percent of each other, and so widths within so many doublings
+    wider = (-(-100 // percent) - 1).bit_length()
     inside = W.partitionBy("key")
     cutup = rows.withColumn("run", ((F.row_number().over(inside.orderBy("size", "sid")) - 1) / TILE).cast("int")).withColumn("runs", F.ceil(F.count(F.lit(1)).over(inside) / TILE).cast("int"))
     # with two runs or more, a run's inner pairs are compared in a tile of its own
@@ -333,6 +335,8 @@ def _known(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, na
 
 def linked_sets(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, component) of the sets that have a link to a different set."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
     inside = W.partitionBy("key")
     groups = _keys(docs, n, percent, frequent).withColumn("lowest", F.min("sid").over(inside)).withColumn("highest", F.max("sid").over(inside)).withColumn("members", F.count(F.lit(1)).over(inside))
     groups = cut(groups.where("lowest <> highest").select("key", "sid", "size", "members"))

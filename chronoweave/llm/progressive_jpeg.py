@@ -462,13 +462,15 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Digests of what each stored file holds, and features of its tensor."""
+    """Digests of what each stored file holds, and features of its tensor; null media gives nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, item in zip(batch.column(0), batch.column(1), strict=True):
-                data = item.as_py()
+                if (data := item.as_py()) is None:
+                    rows.append((name.as_py(), *[None] * 7))
+                    continue
                 picture = decode(data)
                 payload, n_bytes = load(picture)
                 rows.append((name.as_py(), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(rgb(picture))))
@@ -481,3 +483,9 @@ def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def tensor_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's file as its full-resolution RGB tensor, with the tensor's digest."""
+    tensors = to_tensors(store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return tensors.select("doc_id", "height", "width", F.length("rgb").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"))

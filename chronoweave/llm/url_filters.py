@@ -4,9 +4,10 @@ URLs that a rule decides train two variable-order Markov models, one on the
 accepted and one on the rejected ones.  Contexts go up to four characters and
 orders are interpolated by the number of distinct continuations of each context
 (Witten-Bell smoothing), down to a uniform distribution.  A URL's score is the
-mean over its characters of ``log p_accepted - log p_rejected``; the threshold
-is calibrated as the midpoint of the mean scores of the accepted and of the
-rejected URLs.  A URL without a rule is allowed at the threshold or above.
+mean over its characters of ``log p_accepted - log p_rejected``.  A share of the
+decided URLs, by hash, trains no model: the threshold is the midpoint of the mean
+scores of its accepted and of its rejected URLs, or of all decided ones where it
+lacks either.  A URL without a rule is allowed at the threshold or above.
 
 Host and path are modelled as two strings with contexts of their own, so that
 a host or a path is scored once however many URLs share it.  Counts of all
@@ -16,8 +17,9 @@ broadcast but what the planner finds small.
 Cases: a null URL or one without ``://`` has an empty host and path, which no
 rule fits, and the score 0; repeated rows each train the models and each get a
 verdict; without accepted or without rejected URLs the threshold is null and
-what no rule decides is allowed; an empty table gives an empty result; other
-columns are not read.
+what no rule decides is allowed; URLs of any length are scored whole; an empty
+table gives an empty result; other columns, whatever their names, are not read.
+Scores are sums of exact decimals, so reruns agree to the last URL.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .stage import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
 ALPHABET = 256.0
+HELD_OUT = "012"  # first hexadecimal digits of the hashes of URLs that calibrate and don't train
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -69,7 +72,8 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     same = W.partitionBy("k", "ctx")
     for x in "ar":
         levels = levels.withColumn(f"n_{x}", F.sum(x).over(same)).withColumn(f"t_{x}", F.sum((F.col(x) > 0).cast("long")).over(same))
-    joined = each.select("gram", "k", "ctx", "ch").join(levels, ["k", "ctx", "ch"])
+    # written, so that a frequent context's rows are dealt anew for the join and don't stay with its window
+    joined = each.select("gram", "k", "ctx", "ch").join(cut(levels), ["k", "ctx", "ch"])
     steps = joined.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", "a", "r", "n_a", "n_r", "t_a", "t_r"))).alias("steps"))
 
     def p(x: str) -> Column:
@@ -88,11 +92,14 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     # each distinct URL once, then each distinct host and path once
     known = urls.groupBy("host", "path").agg(F.first("said").alias("said"), F.count(F.lit(1)).alias("n"))
     fields = F.explode(F.array(F.struct(F.lit("\x01").alias("field"), F.col("host").alias("text")), F.struct(F.lit("\x02").alias("field"), F.col("path").alias("text")))).alias("part")
-    accepted, rejected = (F.when(F.col("said") == x, F.col("n")).otherwise(0) for x in ("allow", "block"))
+    held = F.substring(F.md5(F.concat_ws("\x00", "host", "path")), 1, 1).isin(*HELD_OUT)
+    known = known.withColumn("held", held)
+    accepted, rejected = (F.when((F.col("said") == x) & ~F.col("held"), F.col("n")).otherwise(0) for x in ("allow", "block"))
     parts = known.select(fields, accepted.alias("a"), rejected.alias("r")).groupBy("part").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
     spread = parts.select("part", "a", "r", F.explode(F.when(F.length("part.text") > 0, _grams(F.col("part.field"), F.col("part.text")))).alias("gram"))
-    deltas = gram_scores(spread.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
-    totals = cut(spread.select("part", "gram").join(deltas, "gram").groupBy("part").agg(F.sum("delta").alias("total")))
+    # written, so that both sides of the join have exchanges of their own and the gram that begins every path is split
+    deltas = cut(gram_scores(spread.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))).withColumn("delta", F.col("delta").cast("decimal(24,15)")))
+    totals = cut(spread.select("part", "gram").join(deltas, "gram").groupBy("part").agg(F.sum("delta").cast("double").alias("total")))
 
     def scored(rows: DataFrame) -> DataFrame:
         for field, name in (("\x01", "host"), ("\x02", "path")):
@@ -101,8 +108,11 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
         total = F.coalesce("host_total", F.lit(0.0)) + F.coalesce("path_total", F.lit(0.0))
         return rows.withColumn("score", total / F.greatest(F.lit(1), F.length("host") + F.length("path"))).drop("host_total", "path_total")
 
-    means = scored(known.where("said is not null")).agg(*[(F.sum(F.when(F.col("said") == x, F.col("score") * F.col("n"))) / F.sum(F.when(F.col("said") == x, F.col("n")))).alias(x) for x in ("allow", "block")]).first()
-    threshold = None if None in (means["allow"], means["block"]) else (means["allow"] + means["block"]) / 2
+    exact = lambda side, held: [F.sum(F.when(side & held, x)) for x in (F.col("score").cast("decimal(24,15)") * F.col("n"), F.col("n"))]
+    columns = {f"{said}_{name}": exact(F.col("said") == said, held) for said in ("allow", "block") for name, held in (("held", F.col("held")), ("all", F.lit(True)))}
+    sums = scored(known.where("said is not null")).agg(*[(x.cast("double") / n).alias(name) for name, (x, n) in columns.items()]).first()
+    means = [sums[f"{said}_held"] if None not in (sums["allow_held"], sums["block_held"]) else sums[f"{said}_all"] for said in ("allow", "block")]
+    threshold = None if None in means else sum(means) / 2
     unknown = scored(urls.where("said is null"))
     verdict = F.when(F.lit(threshold).cast("double").isNull() | (F.col("score") >= F.lit(threshold)), "allow").otherwise("block")
     decided = urls.where("said is not null").withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.col("said"))
@@ -127,10 +137,10 @@ WITH urls AS (
     WHEN ('.' || host) LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/'
     WHEN ('.' || host) LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM split_urls
 ), known AS (
-  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM ruled
+  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said, left(md5(host || chr(0) || path), 1) IN ('0', '1', '2') AS held FROM ruled
 ), parts AS (
-  SELECT field, txt, sum(CASE WHEN said = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS r
-  FROM (SELECT chr(1) AS field, host AS txt, said FROM known UNION ALL SELECT chr(2), path, said FROM known) GROUP BY 1, 2
+  SELECT field, txt, sum(CASE WHEN said = 'allow' AND NOT held THEN 1 ELSE 0 END) AS a, sum(CASE WHEN said = 'block' AND NOT held THEN 1 ELSE 0 END) AS r
+  FROM (SELECT chr(1) AS field, host AS txt, said, held FROM known UNION ALL SELECT chr(2), path, said, held FROM known) GROUP BY 1, 2
 ), spread AS (
   SELECT field, txt, a, r, substr(repeat(field, 4) || txt, i, 5) AS gram FROM (SELECT *, unnest(range(1, length(txt) + 1)) AS i FROM parts)
 ), grams AS (
@@ -154,7 +164,7 @@ WITH urls AS (
   SELECT k.*, (coalesce(h.total, 0) + coalesce(p.total, 0)) / greatest(1, length(host) + length(path)) AS score
   FROM known k LEFT JOIN totals h ON h.field = chr(1) AND h.txt = host LEFT JOIN totals p ON p.field = chr(2) AND p.txt = path
 ), bar AS (
-  SELECT (avg(score) FILTER (said = 'allow') + avg(score) FILTER (said = 'block')) / 2 AS threshold FROM scored
+  SELECT coalesce((avg(score) FILTER (said = 'allow' AND held) + avg(score) FILTER (said = 'block' AND held)) / 2, (avg(score) FILTER (said = 'allow') + avg(score) FILTER (said = 'block')) / 2) AS threshold FROM scored
 )
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN threshold IS NULL OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM scored, bar
 """

@@ -10,8 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-#: While a table is written: its shuffle files go when it is whole, as nothing reads them again, and Python gets batches of bounded bytes.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: While a table is written: its shuffle files go when it is whole, as nothing reads them again.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:

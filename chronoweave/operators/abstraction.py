@@ -49,6 +49,14 @@ def promote(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | None =
     return raise_known(edges, raised, eps).unionByName(admit(edges, made))
 
 
+def promotions(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | None = None, eps: float = 1e-6) -> DataFrame:
+    """The rows of promote() that are new or not as in edges."""
+    made = higher_order(paths, edges, cfg).select(*edges.columns)
+    raised = edge_key(made).groupBy("key_head", "key_tail").agg(F.max("reliability").alias("to"))
+    up = edge_key(edges).join(raised, ["key_head", "key_tail"]).where(F.col("to") > F.col("reliability") + eps).withColumn("reliability", F.col("to"))
+    return up.select(*edges.columns).unionByName(admit(edges, made))
+
+
 def raise_known(edges: DataFrame, raised: DataFrame, eps: float = 1e-6) -> DataFrame:
     """edges, those of raised (key_head, key_tail, to) at the new reliability if it is above theirs."""
     kept = edge_key(edges).join(raised, ["key_head", "key_tail"], "left").withColumn("reliability", F.when(F.col("to") > F.col("reliability") + eps, F.col("to")).otherwise(F.col("reliability")))

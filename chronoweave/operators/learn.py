@@ -42,6 +42,11 @@ def prune(edges: DataFrame, threshold: float) -> DataFrame:
     return edges.where(F.col("reliability") >= threshold)
 
 
+def pruned(edges: DataFrame, threshold: float) -> DataFrame:
+    """Edges that prune() takes."""
+    return edges.where(F.col("reliability") < threshold)
+
+
 def latest(edges: DataFrame, max_edges: int = 10) -> DataFrame:
     """The edges updated last, then the most reliable."""
     return edges.orderBy(F.desc(F.coalesce("last_update_t", F.lit(-1))), F.desc("reliability"), "id").limit(max(0, max_edges))

@@ -33,6 +33,11 @@ def apply_prune(edges: DataFrame, threshold: float = 0.2) -> DataFrame:
     return edges.where(ids.posterior_mean(F.col("counts_success"), F.col("counts_miss")) > threshold)
 
 
+def pruned(edges: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Edges that apply_prune() takes."""
+    return edges.where(ids.posterior_mean(F.col("counts_success"), F.col("counts_miss")) <= threshold)
+
+
 def apply_freeze(edges: DataFrame, threshold: float = 0.95) -> DataFrame:
     return edges.withColumn("frozen", F.col("frozen") | (ids.posterior_mean(F.col("counts_success"), F.col("counts_miss")) >= threshold))
 

@@ -1,9 +1,12 @@
 """The step of the engine: one batch of events through growth, search, mining, promotion and learning.
 
-State is two tables, vertices and edges, and one of label states; a step takes
-and returns them as DataFrames and a Store keeps them as versions in a folder
-that all executors share.  A version is complete once its name stands in the
-log, so a failed step leaves the one before it in force.
+State is two tables, vertices and edges, and one of label states.  A step reads
+the edges that were there and writes only what it changes: new vertices, the rows
+of new and changed edges, and the ids of those that go.  A Store keeps these
+changes as versions in a folder that all executors share and writes a whole state
+every so many, so the cost of a step follows its batch and not the graph.  A
+version is complete once its name stands in the log, so a failed step leaves the
+one before it in force.
 """
 
 from __future__ import annotations
@@ -34,10 +37,21 @@ class State:
 
 @dataclass
 class Outcome:
+    """A step's state, and what it changed: new vertices, rows of new and changed edges, ids of edges that went."""
+
     state: State
     metrics: dict[str, int] = field(default_factory=dict)
     promoted: DataFrame | None = None
     paths: DataFrame | None = None
+    fresh: DataFrame | None = None
+    changed: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
+def overlay(base: DataFrame, changed: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """base with the rows of changed in place of its own of the same ids, and without those gone."""
+    out = base.join(changed.select("id"), "id", "left_anti").select(*base.columns).unionByName(changed.select(*base.columns))
+    return out if gone is None else out.join(gone.select("id"), "id", "left_anti").select(*base.columns)
 
 
 def empty(spark: SparkSession) -> State:
@@ -72,22 +86,24 @@ class Engine:
         both only with targets.
         """
         cfg, seen = self.cfg, {}
+        base, columns = state.edges, state.edges.columns
         heads = cut(events.select("n", "t").dropDuplicates(["n", "t"]))
-        vertices = cut(state.vertices.unionByName(heads.join(state.vertices, ["n", "t"], "left_anti")))
+        fresh = cut(heads.join(state.vertices, ["n", "t"], "left_anti"))
+        vertices = state.vertices.unionByName(fresh)
         size = events.agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).first()
         now_t = size["t"] if now_t is None and size["t"] is not None else now_t or 0
         seen |= {"n_events": size["n"], "n_vertices_new": heads.count()}
-        made = cut(grow.candidates(vertices, self.connectivity, cfg.grow, heads).select(*state.edges.columns))
+        made = cut(grow.candidates(vertices, self.connectivity, cfg.grow, heads).select(*columns))
         seen["n_candidates"] = made.count()
         made = self._gated("grow", made, self.feasible(F.col("tail"), F.col("head")), seen)
         rules = cfg.rewrite.apply_ops if cfg.rewrite.enabled else ()
-        new = cut(grow.admit(state.edges, made).select(*state.edges.columns))
-        if "grow" in rules:
-            new = cut(rewrite.as_rule(new))
+        new = grow.admit(base, made).select(*columns)
+        new = cut(rewrite.as_rule(new) if "grow" in rules else new)
         seen["n_admitted"] = new.count()
-        edges = cut(state.edges.unionByName(new))
         seen |= {"n_hyperpaths": 0, "n_promoted": 0, "n_edges_updated": 0, "n_pruned": 0}
-        out = Outcome(State(vertices, edges, state.labels), seen)
+        edges = base.unionByName(new)
+        none = cut(new.select("id").limit(0))
+        out = Outcome(State(vertices, edges, state.labels), seen, fresh=fresh, changed=new, gone=none)
         if targets is None:
             self._audited(new, None, None)
             return out
@@ -98,28 +114,46 @@ class Engine:
             joined = paths.join(judged, ["target", "label"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
             paths = self._gated("backward", joined, F.col("ok"), seen).drop("ok")
         seen["n_hyperpaths"] = paths.count()
+        changed = new
         if cfg.mine.enabled:
-            edges, out.state.labels, out.promoted = self._mined(paths, edges, state.labels, now_t)
+            promoted_rows, out.state.labels, out.promoted = self._mined(paths, edges, state.labels, now_t)
             seen["n_promoted"] = out.promoted.count()
             if cfg.audit.cards and seen["n_promoted"]:
                 logs.append_cards(cards.cards(out.promoted.drop("label").withColumnRenamed("structure", "label"), edges, cfg.card), cfg.audit.cards)
-        touched = learn.evidence(paths).join(edges.select("id"), "id", "left_semi")
+            changed = overlay(changed, promoted_rows)
+            edges = overlay(base, changed)
+        touched = cut(learn.evidence(paths).select("id").join(edges.select("id"), "id", "left_semi"))
         seen["n_edges_updated"] = touched.count()
-        edges = cut(learn.update(edges, paths, sign, now_t, cfg.learn, freeze))
-        self._audited(new, paths, edges.join(touched.select("id"), "id", "left_semi"))
-        before = edges.count()
-        kept = rewrite.apply_prune(edges, cfg.rewrite.prune_threshold) if "prune" in rules else learn.prune(edges, cfg.learn.prune_threshold)
-        if "prune" in rules and kept.count() == before:  # the rule took nothing, so the plain threshold has its turn
-            kept = learn.prune(edges, cfg.learn.prune_threshold)
+        learnt = cut(learn.update(edges.join(touched, "id", "left_semi").select(*columns), paths, sign, now_t, cfg.learn, freeze))
+        self._audited(new, paths, learnt)
+        changed = cut(overlay(changed, learnt))
+        edges = overlay(base, changed)
+        gone = cut((rewrite.pruned(edges, cfg.rewrite.prune_threshold) if "prune" in rules else learn.pruned(edges, cfg.learn.prune_threshold)).select("id"))
+        if "prune" in rules and gone.isEmpty():  # the rule took nothing, so the plain threshold has its turn
+            gone = cut(learn.pruned(edges, cfg.learn.prune_threshold).select("id"))
+        seen["n_pruned"] = gone.count()
         if "freeze" in rules:
-            frozen = cut(rewrite.apply_freeze(kept, cfg.rewrite.freeze_threshold))
-            seen["n_frozen"] = frozen.where("frozen").count()
-            kept = frozen
-        kept = cut(kept)
-        seen["n_pruned"] = before - kept.count()
-        out.state.edges, out.paths = kept, paths
+            frozen = rewrite.apply_freeze(overlay(base, changed, gone).where("not frozen"), cfg.rewrite.freeze_threshold).where("frozen")
+            changed = cut(overlay(changed, cut(frozen)))
+        out.state.edges, out.paths, out.changed, out.gone = overlay(base, changed, gone), paths, changed, gone
+        if "freeze" in rules:
+            seen["n_frozen"] = out.state.edges.where("frozen").count()
         return out
 
+    def _mined(self, paths: DataFrame, edges: DataFrame, before: DataFrame, now_t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Rows of the edges that newly promoted labels make or raise, the label states, and the promoted paths."""
+        cfg = self.cfg.mine
+        shaped = cut(abstraction.label_paths(paths.where("length > 0"), edges))
+        new = shaped.select(F.col("structure").alias("label"), F.lit(now_t).cast("long").alias("t"), F.xxhash64("target", "label").alias("seq"), F.col("score").alias("weight"))
+        after = cut(mine.resume(before, new, cfg))
+        was = before.select("label", F.col("promotions").alias("was"))
+        up = after.join(was, "label", "left").where("promotions > coalesce(was, 0)").select("label", F.col("count").alias("weight"))
+        capped = up.orderBy(F.desc("weight"), "label").limit(cfg.promotion_cap)
+        # the concrete path that stands for a label: the best, then the smallest
+        best = shaped.join(capped.select(F.col("label").alias("structure")), "structure").groupBy("structure").agg(F.min_by(F.struct("target", "label", "edges", "score", "length"), F.struct(-F.col("score"), "target", "label")).alias("p"))
+        chosen = cut(best.select("p.*", "structure"))
+        return cut(abstraction.promotions(chosen.drop("structure"), edges, self.cfg.abstraction)), after, chosen
+
     def _audited(self, admitted: DataFrame, paths: DataFrame | None, updated: DataFrame | None) -> None:
         """Write the step's records to the audit log, if there is one."""
         if self.cfg.audit.log:
@@ -142,34 +176,57 @@ class Engine:
 
 
 class Store:
-    """Versions of a state in a shared folder; the folder is a path that driver and executors both reach."""
+    """Versions of a state in a shared folder; the folder is a path that driver and executors both reach.
 
-    TABLES = ("vertices", "edges", "labels")
+    A version is its step's changes; every ``whole_every`` versions, and with the
+    first, the whole edges are written, and only versions from the last of these
+    on are read.  Vertices only ever grow, so theirs are read of all versions.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, whole_every: int = 16) -> None:
+        self.spark, self.folder, self.whole_every = spark, folder.rstrip("/"), whole_every
 
-    def _done(self) -> DataFrame | None:
+    def _log(self) -> list[tuple[int, bool]]:
+        """(version, whole) of the complete versions, in order: one small row a version."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         path = hadoop.Path(f"{self.folder}/log")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.schema("version bigint, metrics string").json(f"{self.folder}/log")
+            return []
+        rows = self.spark.read.schema("version bigint, whole boolean, metrics string").json(f"{self.folder}/log").select("version", "whole").distinct().collect()
+        return sorted((r["version"], r["whole"]) for r in rows)
 
     def version(self) -> int | None:
-        done = self._done()
-        return None if done is None else done.agg(F.max("version")).first()[0]
+        log = self._log()
+        return log[-1][0] if log else None
+
+    def _read(self, versions: list[int], table: str) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/v{v}/{table}" for v in versions])
 
     def load(self) -> State:
-        version = self.version()
-        if version is None:
+        log = self._log()
+        if not log:
             return empty(self.spark)
-        return State(*(self.spark.read.parquet(f"{self.folder}/v{version}/{t}") for t in self.TABLES))
+        versions = [v for v, _ in log]
+        start = max(v for v, whole in log if whole)
+        edges = self._read([start], "edges")
+        if later := [v for v in versions if v > start]:
+            number = F.regexp_extract(F.col("_metadata.file_path"), r"/v(\d+)/(?:changed|gone)/", 1).cast("bigint").alias("v")
+            rows = self._read(later, "changed").select(F.struct(*edges.columns).alias("row"), "id", number)
+            marks = self._read(later, "gone").select(F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "id", number)
+            # of each id the latest word, and within a version its going
+            last = rows.unionByName(marks).groupBy("id").agg(F.max_by("row", F.struct("v", F.col("row").isNull())).alias("row"))
+            edges = overlay(edges, last.where("row is not null").select("row.*"), last.where("row is null").select("id"))
+        return State(self._read(versions, "vertices"), edges, self._read(versions[-1:], "labels"))
 
     def save(self, outcome: Outcome, version: int) -> None:
-        for name in self.TABLES:
-            getattr(outcome.state, name).write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
-        self.spark.createDataFrame([(version, json.dumps(outcome.metrics, sort_keys=True))], "version bigint, metrics string").coalesce(1).write.mode("append").json(f"{self.folder}/log")
+        whole = [v for v, w in self._log() if w]
+        full = not whole or version - whole[-1] >= self.whole_every
+        parts = {"vertices": outcome.fresh, "labels": outcome.state.labels, "changed": outcome.changed, "gone": outcome.gone}
+        if full:
+            parts["edges"] = outcome.state.edges
+        for name, part in parts.items():
+            part.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
+        self.spark.createDataFrame([(version, full, json.dumps(outcome.metrics, sort_keys=True))], "version bigint, whole boolean, metrics string").coalesce(1).write.mode("append").json(f"{self.folder}/log")
 
 
 def stepper(engine: Engine, store: Store, targets: Callable[[DataFrame], DataFrame] | None = None, sign: int = 1) -> Callable[[DataFrame, int], None]:

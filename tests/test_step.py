@@ -179,3 +179,39 @@ def test_streamed_bins_and_confusion(spark, tmp_path):
     assert sorted((r.n, r["count"]) for r in spark.table("bins").collect()) == [(n, 6) for n in range(3) for _ in range(2)]
     want = every.groupBy("y_true", "y_pred").count().collect()
     assert sorted(map(tuple, spark.table("confusion").collect())) == sorted(map(tuple, want))
+
+
+def test_store_keeps_changes_and_whole_states(spark, tmp_path):
+    """Steps through a store of changes end in the same state as steps in memory, whenever whole states are written."""
+    conn = tables.connectivity_of(spark, {10: [1, 2], 11: [10]})
+    batches = [[(1, 500), (2, 600), (10, 1000)], [(11, 1300)], [(1, 1500), (10, 1800)], [(2, 5000)], [(11, 2100), (10, 5400)]]
+    cfg = EngineConfig(learn=LearnConfig(impl="beta", prune_threshold=0.34), mine=MineConfig(enabled=True, theta=0.02, hold_k=1))
+    run, state = engine.Engine(conn, cfg), engine.empty(spark)
+    store = engine.Store(spark, f"file://{tmp_path}/state", whole_every=3)
+    for k, pairs in enumerate(batches):
+        events = tables.events_of(spark, pairs)
+        targets, sign = events.where("n >= 10"), 1 if k % 2 else -1
+        state = run.step(state, events, targets, sign).state
+        state = engine.State(*(spark.createDataFrame(x.collect(), x.schema) for x in (state.vertices, state.edges, state.labels)))
+        store.save(run.step(store.load(), events, targets, sign), k)
+        kept = store.load()
+        for a, b in ((state.vertices, kept.vertices), (state.edges, kept.edges), (state.labels, kept.labels)):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), k
+    assert store.version() == 4 and [whole for _, whole in store._log()] == [True, False, False, True, False]
+
+
+def test_running_stream_of_steps(spark, tmp_path):
+    """A stream of files through the step, one micro-batch each, ends as the steps one by one."""
+    batches = [[(1, 500), (2, 600), (10, 1000)], [(1, 1500), (10, 1800)]]
+    for k, pairs in enumerate(batches):
+        tables.events_of(spark, pairs).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = engine.Engine(tables.connectivity_of(spark, {10: [1, 2]}))
+    store = engine.Store(spark, f"file://{tmp_path}/state")
+    source = spark.readStream.schema("n bigint, t bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = source.writeStream.foreachBatch(engine.stepper(run, store, lambda rows: rows.where("n = 10"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = engine.empty(spark)
+    for pairs in batches:
+        events = tables.events_of(spark, pairs)
+        state = run.step(state, events, events.where("n = 10")).state
+    assert sorted(map(str, store.load().edges.collect())) == sorted(map(str, state.edges.collect())) and store.load().vertices.count() == 5

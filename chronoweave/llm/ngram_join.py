@@ -46,7 +46,7 @@ from . import textscan as ts
 from .components import components
 from .idfilter import bitmap, passes
 from .memory import tidy
-from .stage import cut
+from .stage import cut, free_prefix
 
 SMALL_GROUP = 32  # sets of a group that gives all its pairs
 TILE = 1024  # sets on each side of a tile
@@ -365,13 +365,15 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     with the smallest set hash stays, and of exact repeats one, so it is a row
     and not an id that is kept or dropped.
     """
+    own = free_prefix(docs)
+    key, key_set, stays, times, sid, turn = (own + x for x in ("id", "set", "first", "rows", "sid", "turn"))
     _, known = _known(docs, n, percent, id_col, text_col, ("doc_id", "sid"))
     many = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sid") == F.col("first.sid"))
-    listed = known.join(cut(many), "component").groupBy(F.col("doc_id").alias("__id"), F.col("sid").alias("__set")).agg(F.first(same).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    listed = known.join(cut(many), "component").groupBy(F.col("doc_id").alias(key), F.col("sid").alias(key_set)).agg(F.first(same).alias(stays), F.count(F.lit(1)).alias(times))
     listed = cut(listed)
     # rows that the bitmap clears need no join, so most texts are not shuffled
-    words, at, text_at = bitmap(listed.where("__id is not null"), "__id"), docs.columns.index(id_col), docs.columns.index(text_col)
+    words, at, text_at = bitmap(listed.where(F.col(key).isNotNull()), key), docs.columns.index(id_col), docs.columns.index(text_col)
     names = docs.columns
 
     def side(within: bool):
@@ -384,14 +386,14 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
                     yield batch
                 elif batch.num_rows:
                     sets = [set_ids(*sets_of(raw, offsets, n)) for _, _, raw, offsets in ts.blocks(*ts.utf8_block(batch.column(text_at)))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sets).view(np.int64), pa.int64())], [*names, "__sid"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sets).view(np.int64), pa.int64())], [*names, sid])
 
-        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__sid", T.LongType())]) if within else docs.schema)
+        return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(sid, T.LongType())]) if within else docs.schema)
 
-    judged = side(True).join(listed, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__sid") == F.col("__set")), "left")
-    alone = judged.where("__first is null or (__first and __rows = 1)").select(*names)
-    turn = F.row_number().over(W.partitionBy("__id", "__set").orderBy(F.xxhash64(text_col), text_col))
-    repeated = judged.where("__first and __rows > 1").withColumn("__turn", turn).where("__turn = 1").select(*names)
+    judged = side(True).join(listed, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(sid) == F.col(key_set)), "left")
+    alone = judged.where(F.col(stays).isNull() | (F.col(stays) & (F.col(times) == 1))).select(*names)
+    order = F.row_number().over(W.partitionBy(key, key_set).orderBy(F.xxhash64(text_col), text_col))
+    repeated = judged.where(F.col(stays) & (F.col(times) > 1)).withColumn(turn, order).where(F.col(turn) == 1).select(*names)
     return side(False).unionByName(alone).unionByName(repeated)
 
 

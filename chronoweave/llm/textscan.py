@@ -70,7 +70,7 @@ def utf8_block(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(raw: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut into runs of whole texts of about ``most`` bytes: (first, last + 1, bytes, offsets)."""
     first, n = 0, len(offsets) - 1
     while first < n:

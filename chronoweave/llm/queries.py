@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .centroids import OP11_SQL, op11_centroid_clustering
 from .chat_windows import PROBE, op8_chat_windows
+from .language_id import OP12_SQL, op12_language_id
 from .license_scans import op10_license_scans
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op4_ngram_join
@@ -54,6 +55,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scans": op10_license_scans,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_language_id": op12_language_id,
     "media_payloads": media_payloads,
     "media_tensors": tensor_columns,
     "chat_digests": chat_digests,
@@ -94,4 +96,4 @@ b AS (SELECT k, count(*) AS n, min(spot) AS lo, max(spot) AS hi, string_agg(DIST
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN b USING (k)
 """
 
-ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op6_mixing": OP6_SQL, "op11_centroid_clustering": OP11_SQL, "media_payloads": MEDIA_SQL, "chat_digests": CHAT_SQL, "quality_base": QUALITY_SQL, "license_base": LICENSE_SQL}
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op6_mixing": OP6_SQL, "op11_centroid_clustering": OP11_SQL, "op12_language_id": OP12_SQL, "media_payloads": MEDIA_SQL, "chat_digests": CHAT_SQL, "quality_base": QUALITY_SQL, "license_base": LICENSE_SQL}

@@ -221,7 +221,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most_la
     for part in (["lang", F.pmod("gram", F.lit(SALTS))], ["lang"]):
         totals = totals.withColumn("rank", F.row_number().over(W.partitionBy(*part).orderBy(F.desc("n"), "gram")) - 1).where(F.col("rank") < PROFILE)
     rows = totals.select("lang", "gram", "rank").limit(most_languages * PROFILE + 1).toArrow()
-    if rows.num_rows > most_languages * PROFILE:
+    if rows.num_rows > most_languages * PROFILE or len(set(rows.column("lang").to_pylist())) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     names, gram, rank = rows.column("lang").to_pylist(), rows.column("gram").to_numpy(), rows.column("rank").to_numpy()
     langs, grams = sorted(set(names)), np.unique(gram)

@@ -1,5 +1,6 @@
 """Brute-force checks and edge cases of the corpus operators."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from chronoweave.llm import chat_windows, license_scans, mixing, ngram_join, packing, progressive_jpeg, quality_rules, substring_dedup, token_counts, url_filters
+from chronoweave.llm import textscan as ts
 from chronoweave.llm.tokens import encode
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string"
@@ -272,8 +274,55 @@ def test_quality_threshold_leaves_own_ngrams_out(spark):
     assert len(left) == 40 and len(bad) == 10 and np.abs(left - own).min() < 1e-6
 
 
-def test_quality_buckets_and_threshold():
-    assert [quality_rules.buckets_for(n) for n in (0, 1 << 22, (1 << 22) + 1, 1 << 40)] == [1 << 14, 1 << 14, 1 << 15, 1 << 20]
+def test_quality_scores_by_brute_force(spark):
+    """Counts, ratios, left-out scores, threshold and verdicts by dictionaries; only an n-gram's bucket is taken from the library."""
+    sf, buckets = "/root/testdata/sf0.001", {}
+
+    def bucket(gram):
+        if gram not in buckets:
+            words = []
+            for w in gram:
+                raw = np.frombuffer(w.encode(), np.uint8)
+                words.append(ts.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+            hashed = words[0] if len(gram) == 1 else ts.grams(np.array(words), 2)[0]
+            buckets[gram] = int(hashed) % quality_rules.N_BUCKETS
+        return buckets[gram]
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    grams = {}
+    for i, text in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        grams[i] = Counter(bucket(g) for g in [*((w,) for w in words), *zip(words, words[1:])])
+    raw, target = Counter(), Counter()
+    for i, own in grams.items():
+        raw.update(own)
+        if quality.get(i) == 1:
+            target.update(own)
+    n, all_raw, all_target = quality_rules.N_BUCKETS, sum(raw.values()), sum(target.values())
+
+    def score(own, without=Counter()):
+        total, left = 0.0, all_target - sum(without.values())
+        for b, times in own.items():
+            share = (raw[b] + 1.0) / (all_raw + n)
+            total += times * (math.log((target[b] - without[b] + n * share) / (left + n)) - math.log(share))
+        return total / max(1, sum(own.values()))
+
+    rows = {r.doc_id: r for r in quality_rules.op9_quality_rules(spark, sf).collect()}
+    passing = [i for i in quality if i in rows and not rows[i].base_failed]
+    good = [score(grams[i], grams[i]) for i in passing if quality[i] == 1]
+    bad = [score(grams[i]) for i in passing if quality[i] == 0]
+    marks = sorted({round(x, 9) for x in good + bad})
+    tries = [marks[0], *((a + b) / 2 for a, b in zip(marks, marks[1:])), marks[-1] + 1e-9]
+    gain = lambda at: round(sum(x >= at for x in good) / len(good) + sum(x < at for x in bad) / len(bad), 12)
+    threshold = max(tries, key=lambda at: (gain(at), -at))
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        assert r.score == pytest.approx(score(grams[i]), abs=1e-8)
+        assert r.kept == (not r.base_failed and r.score >= threshold)
+
+
+def test_quality_threshold():
     assert quality_rules.best_threshold(np.array([0.1, 0.2, 0.3]), np.array([-0.3, -0.1, 0.0])) == pytest.approx(0.05)
     assert quality_rules.best_threshold(np.array([0.1, 0.2]), np.zeros(0)) == 0.1 and quality_rules.best_threshold(np.zeros(0), np.zeros(0)) == 0.0
 

@@ -160,20 +160,6 @@ class Engine:
             records = audit.step_records(admitted, paths, updated, logs.utc_now())
             audit.AuditLog(self.cfg.audit.log, self.cfg.audit.max_bytes).rows(records.orderBy("phase", "at", "name"))
 
-    def _mined(self, paths: DataFrame, edges: DataFrame, before: DataFrame, now_t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Edges with those of newly promoted labels, the label states, and the promoted paths."""
-        cfg = self.cfg.mine
-        shaped = cut(abstraction.label_paths(paths.where("length > 0"), edges))
-        new = shaped.select(F.col("structure").alias("label"), F.lit(now_t).cast("long").alias("t"), F.xxhash64("target", "label").alias("seq"), F.col("score").alias("weight"))
-        after = cut(mine.resume(before, new, cfg))
-        was = before.select("label", F.col("promotions").alias("was"))
-        up = after.join(was, "label", "left").where("promotions > coalesce(was, 0)").select("label", F.col("count").alias("weight"))
-        capped = up.orderBy(F.desc("weight"), "label").limit(cfg.promotion_cap)
-        # the concrete path that stands for a label: the best, then the smallest
-        best = shaped.join(capped.select(F.col("label").alias("structure")), "structure").groupBy("structure").agg(F.min_by(F.struct("target", "label", "edges", "score", "length"), F.struct(-F.col("score"), "target", "label")).alias("p"))
-        chosen = cut(best.select("p.*", "structure"))
-        return cut(abstraction.promote(chosen.drop("structure"), edges, self.cfg.abstraction)), after, chosen
-
 
 class Store:
     """Versions of a state in a shared folder; the folder is a path that driver and executors both reach.

@@ -53,6 +53,34 @@ class LearnConfig:
         _need(self.share_negative >= 0, "share_negative must not be negative")
 
 
+@dataclass(frozen=True)
+class DecayConfig:
+    """Local learning from predictions, decay and pruning; rates are per ``unit`` of time."""
+
+    unit: int = 1_000_000
+    alpha: float = 0.10
+    reliability_min: float = 0.02
+    reliability_max: float = 0.98
+    prior: float = 0.5
+    path_share: float = 0.5
+    count_keep: float = 0.98
+    stabilizer: float = 1.0
+    relax: float = 0.01
+    prune_threshold: float = 0.02
+    prune_age: int = 2_000_000
+    prune_uses: int = 3
+    idle: int = 30_000_000
+    budget_per_head: int = 256
+    age_lambda: float = 0.01
+
+    def __post_init__(self) -> None:
+        _need(self.unit > 0, "unit must be positive")
+        _need(0 < self.count_keep <= 1 and 0 <= self.relax < 1, "count_keep is a share above 0, relax one below 1")
+        _need(0 <= self.path_share <= 1 and 0 <= self.alpha <= 1, "shares lie from 0 to 1")
+        _need(self.reliability_min <= self.prior <= self.reliability_max, "the prior lies within the bounds")
+        _need(self.budget_per_head > 0, "a head's budget must be positive")
+
+
 @dataclass(frozen=True)
 class MineConfig:
     enabled: bool = False

@@ -53,15 +53,3 @@ def bin_counts(events: DataFrame, width: str, lateness: str = "1 hour") -> DataF
 def confusion(predictions: DataFrame) -> DataFrame:
     """(y_true, y_pred, n) over a stream of predictions, in complete or update mode."""
     return predictions.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-
-
-def watchers(predicted: DataFrame, events: DataFrame, delay_min: str, delay_max: str, lateness: str = "1 hour") -> DataFrame:
-    """(edge, n, due, confirmed_at): each prediction with the events that confirm it, or null once the watermark has passed.
-
-    predicted has (edge, n, due); an event of neuron n confirms it from
-    due + delay_min to due + delay_max.
-    """
-    p = predicted.withWatermark("due", lateness).alias("p")
-    e = events.withWatermark("ts", lateness).alias("e")
-    on = F.expr(f"p.n = e.n AND e.ts BETWEEN p.due + INTERVAL {delay_min} AND p.due + INTERVAL {delay_max}")
-    return p.join(e, on, "leftOuter").select("p.edge", "p.n", "p.due", F.col("e.ts").alias("confirmed_at"))

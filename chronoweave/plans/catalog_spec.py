@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecayConfig
 from ..functions import ids
-from ..operators import decay, watch
+from ..operators import decay, sketch, watch
 from .catalog import DAY, EV, HOUR, MINUTE, T1, UN, _events, _graph, _unary, query
 
 OPEN, CLOSE = 10 * MINUTE, 2 * HOUR
@@ -89,3 +89,35 @@ SELECT id, reason FROM marked WHERE reason IS NOT NULL UNION ALL SELECT id, 'bud
 def _(spark, d):
     edges, now = _frozen_some(spark, d)
     return decay.pruned(edges, now, SLOW)
+
+
+PANE, PANES, CAPACITY, SHARE = 6 * HOUR, 8, 140, 0.015
+_PANES = EV + f""", o AS (SELECT t // {PANE} AS pane, n::VARCHAR AS label, count(*) AS c FROM ev GROUP BY 1, 2)"""
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select(F.col("n").cast("string").alias("label"), "t")
+
+
+@query("sketch_bounds", f"WITH {_PANES} SELECT pane, label, c, true AS inside FROM o")
+def _(spark, d):
+    """Whether a pane's summary holds each label's true count within its bounds, over half as many labels as there are."""
+    summary = sketch.summaries(_labels(spark, d), PANE, 30)
+    counts = _labels(spark, d).groupBy(F.floor(F.col("t") / PANE).alias("pane"), "label").agg(F.count(F.lit(1)).alias("c"))
+    lows, totals = summary.where("label is not null").select("pane", "label", "low"), summary.where("label is null").select("pane", "lost", "n")
+    low = F.coalesce("low", F.lit(0))
+    inside = F.col("c").between(low, low + F.col("lost")) & (F.col("lost") * 31 <= F.col("n"))
+    return counts.join(lows, ["pane", "label"], "left").join(totals, "pane").select("pane", "label", "c", inside.alias("inside"))
+
+
+@query("frequent_labels", f"""WITH {_PANES}, w AS (SELECT unnest(range((SELECT min(pane) FROM o), (SELECT max(pane) FROM o) + 1)) AS win),
+s AS (SELECT win, label, sum(c)::BIGINT AS support FROM o JOIN w ON pane BETWEEN win - {PANES - 1} AND win GROUP BY 1, 2), t AS (SELECT win, sum(support)::BIGINT AS n FROM s GROUP BY 1),
+f AS (SELECT *, win - row_number() OVER (PARTITION BY label ORDER BY win) AS island FROM s JOIN t USING (win) WHERE support >= {SHARE / 2}::DOUBLE * n),
+m AS (SELECT *, count(*) FILTER (support >= {SHARE}::DOUBLE * n) OVER (PARTITION BY label, island ORDER BY win) AS since FROM f),
+a AS (SELECT win, label, support, n, island, row_number() OVER (PARTITION BY label, island ORDER BY win) AS nth FROM m WHERE since > 0)
+SELECT win, label, support, n, CASE nth WHEN 1 THEN 'promoted' ELSE 'active' END AS state FROM a
+UNION ALL SELECT max(win) + 1, label, NULL, NULL, 'demoted' FROM a GROUP BY label, island HAVING max(win) < (SELECT max(win) FROM f)""")
+def _(spark, d):
+    labels = _labels(spark, d)
+    summary = sketch.summaries(labels, PANE, CAPACITY)
+    return sketch.with_states(sketch.frequent(labels, summary, PANE, PANES, CAPACITY, SHARE / 2), SHARE)

@@ -34,6 +34,29 @@ class TraverseConfig:
     length_penalty_base: float = 0.98
 
 
+@dataclass(frozen=True)
+class WalkConfig:
+    """A sampled search; lambda_recent is per unit of time."""
+
+    horizon: int = 2000
+    depth: int = 12
+    branch: int = 4
+    beam_size: int = 8
+    incoming_cap: int = 16
+    temperature: float = 0.7
+    w_reliability: float = 1.0
+    w_recent: float = 0.5
+    w_rule: float = 0.5
+    w_similar: float = 0.5
+    lambda_recent: float = 1 / 100_000
+    length_penalty_base: float = 0.98
+    seed: int = 0
+
+    def __post_init__(self) -> None:
+        _need(self.temperature > 0, "temperature must be positive")
+        _need(min(self.depth, self.branch, self.beam_size, self.incoming_cap) > 0, "depth, branch, beam_size and incoming_cap must be positive")
+
+
 @dataclass(frozen=True)
 class LearnConfig:
     impl: str = "ema"

@@ -8,15 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..config import DecayConfig
 from ..functions import ids
+from ..functions.lineage import cut
+from ..functions.ranking import best
 from . import watch
 
-#: parts in which a busy head's edges are ranked before they are ranked together
-SALTS = 32
-
 
 def _fade(share: float, since: Column, unit: int) -> Column:
     """share to the power of the time since, in units; time that hasn't come counts as none."""
@@ -76,15 +74,9 @@ def learn(edges: DataFrame, local: DataFrame, now: int, cfg: DecayConfig | None
 
 
 def evicted(edges: DataFrame, keep: int, score: Column) -> DataFrame:
-    """Edges (id) beyond the best ``keep`` of each head neuron; equal scores go by id.
-
-    Ranked within parts of a neuron first, so that no task sorts all edges of a
-    busy one: what is not among the best of its part is out.
-    """
-    rows = edges.select("id", F.col("head.n").alias("n"), score.alias("score")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("n", "part").orderBy(F.desc("score"), "id")))
-    best = rows.where(F.col("rank") <= keep).withColumn("rank", F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "id")))
-    return rows.where(F.col("rank") > keep).select("id").unionByName(best.where(F.col("rank") > keep).select("id"))
+    """Edges (id) beyond the best ``keep`` of each head neuron; equal scores go by id."""
+    rows = cut(edges.select("id", F.col("head.n").alias("n"), score.alias("score")))
+    return rows.join(best(rows, ["n"], [F.desc("score"), F.col("id")], keep, "id").select("id"), "id", "left_anti").select("id")
 
 
 def pruned(edges: DataFrame, now: int, cfg: DecayConfig | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DecayConfig
+from ..config import DecayConfig, WalkConfig
 from ..functions import ids
-from ..operators import decay, sketch, watch
+from ..operators import decay, sketch, walk, watch
 from .catalog import DAY, EV, HOUR, MINUTE, T1, UN, _events, _graph, _unary, query
+from .catalog_more import MIXED, _mixed, _targets
 
 OPEN, CLOSE = 10 * MINUTE, 2 * HOUR
 #: rates an hour, so that a month of events shows them
@@ -121,3 +122,27 @@ def _(spark, d):
     labels = _labels(spark, d)
     summary = sketch.summaries(labels, PANE, CAPACITY)
     return sketch.with_states(sketch.frequent(labels, summary, PANE, PANES, CAPACITY, SHARE / 2), SHARE)
+
+
+WALK = WalkConfig(horizon=12 * HOUR, depth=12, branch=2, beam_size=4, incoming_cap=5, lambda_recent=1 / HOUR, seed=7)
+_WALK = MIXED + f""", cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, t ORDER BY r DESC, id) AS rank_in FROM en) WHERE rank_in <= 5),
+tg AS (SELECT DISTINCT n, t FROM ev WHERE event_type = 'purchase'), beam AS (
+  SELECT n AS tn, t AS tt, [{{'t': t, 'n': n}}] AS frontier, []::VARCHAR[] AS path, 1.0::DOUBLE AS score, false AS done, 0 AS depth FROM tg
+  UNION ALL SELECT tn, tt, frontier, path, score, done, depth FROM (
+    SELECT *, row_number() OVER (PARTITION BY tn, tt, done ORDER BY score DESC, path) AS rk FROM (
+      SELECT tn, tt, frontier, path, score, done, depth FROM (
+        SELECT b.tn, b.tt, list_concat(list_filter(b.frontier, lambda x: x <> b.frontier[-1]), list_filter(e.new, lambda x: x = b.frontier[-1] OR NOT list_contains(b.frontier, x))) AS frontier, list_append(b.path, e.id) AS path, b.score * e.r AS score, false AS done, b.depth + 1 AS depth,
+          row_number() OVER (PARTITION BY b.tn, b.tt, b.path ORDER BY (ln(e.r) + 0.5::DOUBLE * exp((e.t - b.tt)::DOUBLE / {HOUR})) / 0.7::DOUBLE
+            - ln(-ln((('0x' || substr(md5('7|' || b.tn || '@' || b.tt || '|' || array_to_string(b.path, ',') || '|' || e.id), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)) DESC, e.id) AS turn
+        FROM beam b JOIN cap e ON e.n = b.frontier[-1].n AND e.t = b.frontier[-1].t AND b.tt - e.first_t <= {12 * HOUR} WHERE NOT b.done AND b.depth <= 12) WHERE turn <= 2
+      UNION ALL SELECT b.tn, b.tt, b.frontier, b.path, b.score, true, b.depth FROM beam b WHERE NOT b.done AND NOT EXISTS (SELECT 1 FROM cap e WHERE e.n = b.frontier[-1].n AND e.t = b.frontier[-1].t AND b.tt - e.first_t <= {12 * HOUR})
+    )
+  ) WHERE done OR rk <= 4
+), best AS (SELECT *, array_to_string(list_sort(path), '|') AS label FROM beam WHERE done)
+SELECT tn AS n, tt AS t, label, len(path) AS length, round(score * pow(0.98::DOUBLE, len(path)), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tn, tt, label ORDER BY score DESC, path) AS rk FROM best) WHERE rk = 1"""
+
+
+@query("walk_sampled", f"WITH RECURSIVE {_WALK}")
+def _(spark, d):
+    vertices, edges = _mixed(spark, d)
+    return walk.walk(edges, vertices, _targets(spark, d), WALK).select("target.n", "target.t", "label", "length", F.round("score", 9).alias("score"))

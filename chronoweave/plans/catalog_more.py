@@ -189,28 +189,39 @@ def _(spark, d):
     return grow.remove(edges, edges.where(F.col("reliability") >= 0.5)).select("id")
 
 
-@query("critical_pairs", "SELECT * FROM (VALUES ('freeze', 'prune', true), ('grow', 'prune', false), ('prune', 'freeze', true), ('prune', 'grow', false), ('freeze', 'grow', true), ('grow', 'freeze', true)) t(a, b, joinable)")
+@query("critical_pairs", f"""WITH {UN}, c AS (SELECT id, (t // 1000000) % 3 <> 0 AS there, r FROM un),
+mt AS (SELECT id, 'grow' AS rule FROM c UNION ALL SELECT id, 'prune' FROM c WHERE there AND r <= 0.5 UNION ALL SELECT id, 'freeze' FROM c WHERE there AND r >= 0.4),
+pr AS (SELECT x.rule AS a, y.rule AS b, id FROM mt x JOIN mt y USING (id) WHERE x.rule < y.rule)
+SELECT a, b, id, NOT (a = 'grow' AND b = 'prune') AS joinable FROM pr""")
 def _(spark, d):
-    """The analysis is of rules, not of a table: three rules at one edge of 0 successes and 10 misses, as growth and pruning see it, and of 8 and 2 as freezing does."""
-    weak, strong = ("v@3", ("v@1",), 0, 10), ("v@4", ("v@2",), 8, 2)
-    rules = [rewrite.Rule("grow", "GROW", matches=(weak,)), rewrite.Rule("prune", "PRUNE", 0.2, (weak,)), rewrite.Rule("freeze", "FREEZE", 0.7, (strong,))]
-    return spark.createDataFrame([(r["a"], r["b"], r["joinable"]) for r in rewrite.critical_pairs(rules)], "a string, b string, joinable boolean")
+    """All unary candidates may grow, and two thirds of them are in the graph, where pruning and freezing overlap from 0.4 to 0.5."""
+    made = _unary(spark, d)
+    edges = made.where((F.col("head.t") / 1_000_000).cast("long") % 3 != 0)
+    rules = [rewrite.Rule("grow", "GROW"), rewrite.Rule("prune", "PRUNE", 0.5), rewrite.Rule("freeze", "FREEZE", 0.4)]
+    return rewrite.overlaps(rules, edges, made).select("a", "b", ids.edge_id(F.col("key_head"), F.col("key_tail")).alias("id"), "joinable")
 
 
-@query("termination", "SELECT * FROM (VALUES ('no growth', 'true', false), ('growth', 'unknown', false), ('bounded', 'true', true)) t(rules, ends, bounded)")
+_RULES = f"SELECT user_id || '@' || epoch_us(ts) // {24 * HOUR} AS system, CASE event_type WHEN 'signup' THEN 'GROW' WHEN 'error' THEN 'PRUNE' ELSE 'FREEZE' END AS kind, CASE WHEN user_id % 3 = 0 THEN user_id END AS max_grow FROM events"
+
+
+@query("termination", f"WITH rules AS ({_RULES}) SELECT system, CASE WHEN bool_or(kind = 'GROW') AND max(max_grow) IS NULL THEN 'unknown' ELSE 'true' END AS ends, bool_or(kind = 'GROW') AND max(max_grow) IS NOT NULL AS bounded FROM rules GROUP BY system")
 def _(spark, d):
-    growing, pruning = rewrite.Rule("g", "GROW"), rewrite.Rule("p", "PRUNE")
-    rows = [("no growth", *rewrite.terminates([pruning])), ("growth", *rewrite.terminates([growing, pruning])), ("bounded", *rewrite.terminates([growing], 10))]
-    return spark.createDataFrame([(a, str(b).lower(), c) for a, b, c in rows], "rules string, ends string, bounded boolean")
+    """A neuron's events of a day are the rules of a system, which differ in whether they grow; every third neuron's have a bound."""
+    kind = F.when(F.col("event_type") == "signup", "GROW").when(F.col("event_type") == "error", "PRUNE").otherwise("FREEZE")
+    system = F.concat(F.col("n").cast("string"), F.lit("@"), F.floor(F.col("t") / (24 * HOUR)).cast("string"))
+    rules = _events(spark, d).select(system.alias("system"), kind.alias("kind"), F.when(F.col("n") % 3 == 0, F.col("n")).alias("max_grow"))
+    return rewrite.termination(rules)
 
 
 # ---------------------------------------------------------------- sources, encoders and streams
 
 
-@query("layered_edges", "SELECT (l + 1) * 4 + i AS head_n, (l + 1) * 100 AS head_t, l * 4 + j AS tail_n, l * 100 AS tail_t FROM (SELECT unnest(range(0, 3)) AS l), (SELECT unnest(range(0, 4)) AS i), (SELECT unnest(range(0, 4)) AS j)")
+@query("layered_edges", "WITH m AS (SELECT count(DISTINCT event_type) AS fan, count(DISTINCT user_id) AS layers FROM events) SELECT (l + 1) * fan + i AS head_n, (l + 1) * 100 AS head_t, l * fan + j AS tail_n, l * 100 AS tail_t FROM m, (SELECT unnest(range((SELECT layers FROM m))) AS l), (SELECT unnest(range((SELECT fan FROM m))) AS i), (SELECT unnest(range((SELECT fan FROM m))) AS j)")
 def _(spark, d):
+    """A layer for each neuron of the table, as wide as it has types of events."""
+    size = _events(spark, d).agg(F.count_distinct("event_type").alias("fan"), F.count_distinct("n").alias("layers")).first()
     v = F.get("tail", F.lit(0))
-    return tables.layered_edges(spark, 4, 3).select(F.col("head.n").alias("head_n"), F.col("head.t").alias("head_t"), v["n"].alias("tail_n"), v["t"].alias("tail_t"))
+    return tables.layered_edges(spark, size["fan"], size["layers"]).select(F.col("head.n").alias("head_n"), F.col("head.t").alias("head_t"), v["n"].alias("tail_n"), v["t"].alias("tail_t"))
 
 
 @query("sorted_rank", f"WITH {EV} SELECT n, t, event_id, row_number() OVER (ORDER BY t, n, event_id) - 1 AS rank FROM ev")
@@ -372,12 +383,14 @@ def _(spark, d):
     return spark.createDataFrame([(round(float(got["w"]), 1), round(float(got["r"]), 6))], "w double, r double")
 
 
-@query("special_values", "SELECT * FROM (VALUES ('z05', 1.959964), ('z01', 2.575829), ('z99', 1.959964), ('median', 2.5)) t(name, value)")
+@query("special_values", "SELECT event_type AS name, round(1.959963984540054 * stddev_samp(value) / sqrt(count(value)), 6) AS z05, round(2.5758293035489004 * stddev_samp(value) / sqrt(count(value)), 6) AS z01, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def _(spark, d):
+    """Half widths of normal intervals at two levels, and linear quantiles, of each type of events."""
     from ..functions.special import z_for_alpha
 
-    rows = [("z05", z_for_alpha(0.05)), ("z01", z_for_alpha(0.01)), ("z99", z_for_alpha(0.99)), ("median", stats.quantile([1.0, 2.0, 3.0, 4.0], 0.5))]
-    return spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "name string, value double")
+    half = lambda alpha: F.round(z_for_alpha(alpha) * F.stddev_samp("value") / F.sqrt(F.count("value")), 6)
+    at = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
+    return _events(spark, d).groupBy(F.col("event_type").alias("name")).agg(half(0.05).alias("z05"), half(0.01).alias("z01"), at(0.5).alias("median"), at(0.9).alias("p90"))
 
 
 @query("resisted", f"WITH {UN} SELECT id, CASE WHEN r >= 0.7 THEN 0.25 * (1 - 0.8) ELSE 0.25 END AS scaled, CASE WHEN r >= 0.7 THEN 0.0 ELSE 0.25 END AS fixed, 'task:' || pre AS region FROM un")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecayConfig, WalkConfig
 from ..functions import ids
-from ..operators import decay, sketch, walk, watch
+from ..operators import decay, resample, sketch, walk, watch
 from .catalog import DAY, EV, HOUR, MINUTE, T1, UN, _events, _graph, _unary, query
 from .catalog_more import MIXED, _mixed, _targets
 
@@ -146,3 +146,27 @@ SELECT tn AS n, tt AS t, label, len(path) AS length, round(score * pow(0.98::DOU
 def _(spark, d):
     vertices, edges = _mixed(spark, d)
     return walk.walk(edges, vertices, _targets(spark, d), WALK).select("target.n", "target.t", "label", "length", F.round("score", 9).alias("score"))
+
+
+REPLICATES = 100
+
+
+def _mix32(x: str) -> str:
+    """SQL of resample.mixed() for an expression of type UBIGINT."""
+    a = f"(xor({x}, {x} >> 16) * 2246822507::UBIGINT) & 4294967295"
+    b = f"(xor({{0}}, {{0}} >> 13) * 3266489909::UBIGINT) & 4294967295"
+    return f"list_transform([list_transform([{a}], lambda p: {b.format('p')})[1]], lambda q: xor(q, q >> 16))[1]"
+
+
+_CHANCE = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in resample.CHANCES)
+
+
+@query("bootstrap_means", f"""WITH l AS (SELECT l_returnflag AS g, l_quantity::DOUBLE AS x, {_mix32('((l_orderkey * 8 + l_linenumber) & 4294967295)::UBIGINT')} AS k FROM lineitem),
+r AS (SELECT i AS replicate, {_mix32(f'(((i + 1) * 2654435769 + 11) & 4294967295)::UBIGINT')} AS salt FROM (SELECT unnest(range({REPLICATES})) AS i)),
+w AS (SELECT g, replicate, x, {_mix32('xor(k, salt)')} / 4294967296.0::DOUBLE AS u FROM l, r),
+m AS (SELECT g, replicate, sum(x * n) / sum(n) AS mean FROM (SELECT g, replicate, x, {_CHANCE} AS n FROM w) GROUP BY 1, 2)
+SELECT g AS "group", round(stddev_samp(mean), 9) AS se, round(quantile_cont(mean, 0.025), 9) AS lo, round(quantile_cont(mean, 0.975), 9) AS hi FROM m GROUP BY 1""")
+def _(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    got = resample.bootstrap(lines, F.col("l_quantity"), F.col("l_orderkey") * 8 + F.col("l_linenumber"), "l_returnflag", REPLICATES, seed=11)
+    return got.select("group", *(F.round(c, 9).alias(c) for c in ("se", "lo", "hi")))

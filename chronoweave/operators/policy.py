@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import PolicyConfig
+from ..functions.lineage import cut
 
 TILE = 1024  # signatures, and tasks, that are compared at once
+MOST_BITS = 8192  # bits of a signature
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -17,25 +24,104 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def best_matches(asked: list[np.ndarray], tasks: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asked set of small integers the task (a position, by least name of equal ones) with the greatest Jaccard similarity, and that; -1 and 0 where none shares anything.
+
+    Sets are compared as bits.  Up to MOST_BITS different integers the bits are
+    exact; beyond, integers share bits, so that common bits only bound what is
+    common from above, and tasks are looked at in order of that bound until it
+    falls below the best that was found.
+    """
+    vocabulary = max((int(x.max()) for x in [*asked, *tasks] if len(x)), default=-1) + 1
+    width = min(MOST_BITS, max(64, -(-vocabulary // 64) * 64))
+    exact = vocabulary <= width
+
+    def bits(sets: list[np.ndarray]) -> np.ndarray:
+        grid = np.zeros((len(sets), width), bool)
+        grid[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.int64)]) % width] = True
+        return np.packbits(grid, axis=1).view(np.uint64)
+
+    theirs, sizes, rank = bits(tasks), np.array([len(x) for x in tasks]), np.argsort(np.argsort(names, kind="stable"), kind="stable")
+    found, score = np.full(len(asked), -1), np.zeros(len(asked))
+    for i, (mine, own) in enumerate(zip(bits(asked), asked, strict=True)):
+        common = np.minimum(_bound(theirs, mine, sizes, len(own)), np.minimum(sizes, len(own)))
+        bound = common / np.maximum(sizes + len(own) - common, 1)
+        if exact:
+            j = np.lexsort((rank, -bound))[0] if len(bound) else -1
+            if j >= 0 and bound[j] > 0:
+                found[i], score[i] = j, bound[j]
+            continue
+        for j in np.lexsort((rank, -bound)):
+            if bound[j] <= 0 or bound[j] < score[i]:
+                break
+            both = len(np.intersect1d(own, tasks[j], assume_unique=True))
+            likeness = both / (sizes[j] + len(own) - both)
+            if likeness > score[i] or likeness == score[i] > 0 and rank[j] < rank[found[i]]:
+                found[i], score[i] = j, likeness
+    return found, score
+
+
+def _bound(theirs: np.ndarray, mine: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """At least what sets have in common whose elements may share bits: each common bit, and the elements that stand behind others' bits on both sides."""
+    both = np.bitwise_count(theirs & mine).sum(1, dtype=np.int64)
+    hidden = np.minimum(sizes - np.bitwise_count(theirs).sum(1, dtype=np.int64), size - int(np.bitwise_count(mine).sum()))
+    return both + hidden
+
+
 def decide(tasks: DataFrame, new: DataFrame, cfg: PolicyConfig | None = None) -> DataFrame:
     """(new_id, action, task_id, similarity) for new signatures (new_id, edge_id) against tasks (task_id, edge_id, reliability).
 
     The best task is wanted even below the threshold, so every signature asked
-    for is compared with every task: both sides are cut into runs of TILE, each
-    two runs are a task's work, and of a tile only the best of each signature
-    goes on.
+    for is compared with every task: equal signatures are one, both sides are
+    cut into runs of TILE, each two runs are a task's work on bits, and of a tile
+    only the best of each signature goes on.
     """
     cfg = cfg or PolicyConfig()
-    strong = tasks.where(F.col("reliability") + cfg.epsilon >= cfg.cutoff).groupBy("task_id").agg(F.collect_set("edge_id").alias("t"))
-    asked = new.groupBy("new_id").agg(F.collect_set("edge_id").alias("e"))
+    listed = lambda df, by: df.groupBy(by).agg(F.array_sort(F.collect_set(F.col("edge_id").cast("string"))).alias("e"))
+    strong = cut(listed(tasks.where(F.col("reliability") + cfg.epsilon >= cfg.cutoff), "task_id").groupBy("e").agg(F.min("task_id").alias("name")))
+    asked = cut(listed(new, "new_id"))
     across, down = (max(1, -(-x.count() // TILE)) for x in (strong, asked))
-    tile = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    tile = lambda n: F.pmod(F.xxhash64("e"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    met = strong.select("*", tile("task_id", across).alias("x"), every(down).alias("y")).join(asked.select("*", tile("new_id", down).alias("y"), every(across).alias("x")), ["x", "y"])
-    both = F.size(F.array_intersect("e", "t"))
-    scored = met.select("new_id", "task_id", (both / (F.size("e") + F.size("t") - both)).alias("similarity")).where("similarity > 0")
-    best = scored.groupBy("new_id").agg(F.min_by(F.struct("task_id", "similarity"), F.struct(-F.col("similarity"), F.col("task_id"))).alias("b"))
-    out = asked.select("new_id").join(best, "new_id", "left").select("new_id", "b.task_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
+    sides = strong.select(tile(across).alias("x"), every(down).alias("y"), F.lit(1).alias("side"), "e", "name")
+    sides = sides.unionByName(asked.select("e").distinct().select(every(across).alias("x"), tile(down).alias("y"), F.lit(0).alias("side"), "e", F.lit(None).cast(strong.schema["name"].dataType).alias("name")))
+    kind = strong.schema["name"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(x)], strict=True):
+                if lo < hi:
+                    if held and (x[lo], y[lo]) != at:
+                        yield from judged(pa.Table.from_batches(held))
+                        held = []
+                    at = (x[lo], y[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    def judged(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, lists = table["side"].to_numpy(), table["e"].combine_chunks()
+        coded = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        sets = [np.sort(coded[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(mine) or not len(theirs):
+            return
+        names = table["name"].combine_chunks().take(pa.array(theirs))
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        found, score = best_matches([sets[i] for i in mine], [sets[i] for i in theirs], rank)
+        some = found >= 0
+        yield pa.RecordBatch.from_arrays([lists.take(pa.array(mine[some])), names.take(pa.array(found[some])), pa.array(score[some])], ["e", "task_id", "similarity"])
+
+    scored = sides.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(compare, f"e array<string>, task_id {kind}, similarity double")
+    best = scored.groupBy("e").agg(F.min_by(F.struct("task_id", "similarity"), F.struct(-F.col("similarity"), F.col("task_id"))).alias("b"))
+    out = asked.join(best, "e", "left").select("new_id", "b.task_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
     reuse = F.col("task_id").isNotNull() & (F.col("similarity") >= cfg.similarity_threshold)
     return out.select("new_id", F.when(reuse, "REUSE").otherwise("ISOLATE").alias("action"), F.when(reuse, F.col("task_id")).alias("task_id"), "similarity")
 

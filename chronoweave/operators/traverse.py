@@ -12,6 +12,14 @@ from ..functions.lineage import cut
 from .grow import connected
 
 
+def within(edges: DataFrame, targets: DataFrame, cfg: TraverseConfig) -> DataFrame:
+    """Edges all of whose tails some target's horizon reaches; of those a search can take none is left out."""
+    if cfg.horizon <= 0:
+        return edges
+    first = targets.agg(F.min("t")).first()[0]
+    return edges.limit(0) if first is None else edges.where(F.forall("tail", lambda v: v["t"] >= first - cfg.horizon))
+
+
 def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: TraverseConfig | None = None, checked: bool = False) -> DataFrame:
     """(target, edges, score, length, label) of the best path of each target and label.
 
@@ -19,10 +27,12 @@ def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: Tra
     order of time, those it holds already don't.  A state whose vertex has no
     edge within the horizon ends as a path, the empty one included.  Ties of
     the beam go by the list of edges.  ``checked`` edges are known to have all
-    their tail vertices.
+    their tail vertices.  Edges with a tail beyond the horizon of every target
+    are left out before any of it.
     """
     cfg = cfg or TraverseConfig()
-    usable = edges if checked else connected(edges, vertices)
+    usable = within(edges, targets, cfg)
+    usable = usable if checked else connected(usable, vertices)
     usable = cut(usable.select(F.col("head.n").alias("hn"), F.col("head.t").alias("ht"), F.col("id").alias("edge"), F.array_sort(F.transform("tail", lambda v: F.struct(v["t"].alias("t"), v["n"].alias("n")))).alias("new"), "reliability"))
     target = F.struct("n", "t")
     beam = targets.select("n", "t").distinct().select(target.alias("target"), F.array(F.struct("t", "n")).alias("frontier"), F.expr("cast(array() as array<string>)").alias("edges"), F.lit(1.0).alias("score"))

@@ -4,9 +4,12 @@ State is two tables, vertices and edges, and one of label states.  A step reads
 the edges that were there and writes only what it changes: new vertices, the rows
 of new and changed edges, and the ids of those that go.  A Store keeps these
 changes as versions in a folder that all executors share and writes a whole state
-every so many, so the cost of a step follows its batch and not the graph.  A
-version is complete once its name stands in the log, so a failed step leaves the
-one before it in force.
+every so many.  Growth reads the vertices that the batch's heads can see, admission
+the edges of the batch's time, and search, mining and learning those that the
+targets' horizon reaches, as no head comes before its tails; whole states are
+written in order of time, so what lies beyond is not read.  Pruning, which may
+take any edge, reads ids and reliabilities of all.  A version is complete once its
+name stands in the log, so a failed step leaves the one before it in force.
 """
 
 from __future__ import annotations
@@ -79,6 +82,12 @@ class Engine:
         seen[f"n_{point}_checked"], seen[f"n_{point}_infeasible"] = got["n"], got["n"] - got["ok"]
         return (marked.where("__ok") if gate.mode == "hard" else marked).drop("__ok")
 
+    @staticmethod
+    def _between(df: DataFrame, t: Column, lo: int | None, hi: int | None) -> DataFrame:
+        """Rows with a time from lo to hi, where these are given."""
+        df = df if lo is None else df.where(t >= lo)
+        return df if hi is None else df.where(t <= hi)
+
     def step(self, state: State, events: DataFrame, targets: DataFrame | None = None, sign: int = 1, freeze: bool = False, now_t: int | None = None) -> Outcome:
         """All events are vertices before any of them is a head, so heads see tails of their own batch.
 
@@ -93,11 +102,14 @@ class Engine:
         size = events.agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).first()
         now_t = size["t"] if now_t is None and size["t"] is not None else now_t or 0
         seen |= {"n_events": size["n"], "n_vertices_new": heads.count()}
-        made = cut(grow.candidates(vertices, self.connectivity, cfg.grow, heads).select(*columns))
+        span = heads.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+        back = max(cfg.grow.delay_max, cfg.grow.refractory_rho, 0)
+        seen_from = self._between(vertices, F.col("t"), None if span["lo"] is None else span["lo"] - back, span["hi"])
+        made = cut(grow.candidates(seen_from, self.connectivity, cfg.grow, heads).select(*columns))
         seen["n_candidates"] = made.count()
         made = self._gated("grow", made, self.feasible(F.col("tail"), F.col("head")), seen)
         rules = cfg.rewrite.apply_ops if cfg.rewrite.enabled else ()
-        new = grow.admit(base, made).select(*columns)
+        new = grow.admit(self._between(base, F.col("head.t"), span["lo"], span["hi"]), made).select(*columns)
         new = cut(rewrite.as_rule(new) if "grow" in rules else new)
         seen["n_admitted"] = new.count()
         seen |= {"n_hyperpaths": 0, "n_promoted": 0, "n_edges_updated": 0, "n_pruned": 0}
@@ -107,24 +119,28 @@ class Engine:
         if targets is None:
             self._audited(new, None, None)
             return out
-        paths = cut(traverse.traverse(edges, vertices, targets, cfg.traverse))
+        # a path's edges, and what promotion may raise, have heads from the horizon's end to the last target
+        ends = targets.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+        reach = None if cfg.traverse.horizon <= 0 or ends["lo"] is None else ends["lo"] - cfg.traverse.horizon
+        near = self._between(edges, F.col("head.t"), reach, None)
+        paths = cut(traverse.traverse(near, vertices, targets, cfg.traverse))
         if cfg.gate.enabled and "backward" in cfg.gate.points:
-            parts = paths.select("target", "label", F.explode("edges").alias("id")).join(edges.select("id", self.feasible(F.col("tail"), F.col("head")).alias("ok")), "id")
+            parts = paths.select("target", "label", F.explode("edges").alias("id")).join(near.select("id", self.feasible(F.col("tail"), F.col("head")).alias("ok")), "id")
             judged = parts.groupBy("target", "label").agg(F.bool_and("ok").alias("ok"))
             joined = paths.join(judged, ["target", "label"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
             paths = self._gated("backward", joined, F.col("ok"), seen).drop("ok")
         seen["n_hyperpaths"] = paths.count()
         changed = new
         if cfg.mine.enabled:
-            promoted_rows, out.state.labels, out.promoted = self._mined(paths, edges, state.labels, now_t)
+            promoted_rows, out.state.labels, out.promoted = self._mined(paths, near, state.labels, now_t)
             seen["n_promoted"] = out.promoted.count()
             if cfg.audit.cards and seen["n_promoted"]:
-                logs.append_cards(cards.cards(out.promoted.drop("label").withColumnRenamed("structure", "label"), edges, cfg.card), cfg.audit.cards)
+                logs.append_cards(cards.cards(out.promoted.drop("label").withColumnRenamed("structure", "label"), near, cfg.card), cfg.audit.cards)
             changed = overlay(changed, promoted_rows)
-            edges = overlay(base, changed)
-        touched = cut(learn.evidence(paths).select("id").join(edges.select("id"), "id", "left_semi"))
+            near = overlay(self._between(base, F.col("head.t"), reach, None), self._between(changed, F.col("head.t"), reach, None))
+        touched = cut(learn.evidence(paths).select("id").join(near.select("id"), "id", "left_semi"))
         seen["n_edges_updated"] = touched.count()
-        learnt = cut(learn.update(edges.join(touched, "id", "left_semi").select(*columns), paths, sign, now_t, cfg.learn, freeze))
+        learnt = cut(learn.update(near.join(touched, "id", "left_semi").select(*columns), paths, sign, now_t, cfg.learn, freeze))
         self._audited(new, paths, learnt)
         changed = cut(overlay(changed, learnt))
         edges = overlay(base, changed)
@@ -167,6 +183,8 @@ class Store:
     A version is its step's changes; every ``whole_every`` versions, and with the
     first, the whole edges are written, and only versions from the last of these
     on are read.  Vertices only ever grow, so theirs are read of all versions.
+    Whole edges, and the vertices of each version, are written in order of time,
+    so the statistics of their files say which of them a range of times needs.
     """
 
     def __init__(self, spark: SparkSession, folder: str, whole_every: int = 16) -> None:
@@ -210,6 +228,9 @@ class Store:
         parts = {"vertices": outcome.fresh, "labels": outcome.state.labels, "changed": outcome.changed, "gone": outcome.gone}
         if full:
             parts["edges"] = outcome.state.edges
+        for name, time in (("vertices", "t"), ("edges", "head.t")):
+            if name in parts:
+                parts[name] = parts[name].repartitionByRange(F.col(time)).sortWithinPartitions(F.col(time))
         for name, part in parts.items():
             part.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
         self.spark.createDataFrame([(version, full, json.dumps(outcome.metrics, sort_keys=True))], "version bigint, whole boolean, metrics string").coalesce(1).write.mode("append").json(f"{self.folder}/log")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..config import AbstractionConfig
 from ..functions import ids
@@ -42,16 +43,22 @@ def higher_order(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | No
     )
 
 
+def _strongest(made: DataFrame) -> DataFrame:
+    """Of edges with one head and tails the most reliable, as if those of later paths raised that of the first."""
+    first = F.row_number().over(W.partitionBy("key_head", "key_tail").orderBy(F.desc("reliability"), "id"))
+    return edge_key(made).withColumn("__rank", first).where("__rank = 1").select(*made.columns)
+
+
 def promote(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | None = None, eps: float = 1e-6) -> DataFrame:
     """edges with the paths' higher-order edges: new ones inserted, known ones raised to the new reliability if above theirs."""
-    made = higher_order(paths, edges, cfg).select(*edges.columns)
+    made = _strongest(higher_order(paths, edges, cfg).select(*edges.columns))
     raised = edge_key(made).groupBy("key_head", "key_tail").agg(F.max("reliability").alias("to"))
     return raise_known(edges, raised, eps).unionByName(admit(edges, made))
 
 
 def promotions(paths: DataFrame, edges: DataFrame, cfg: AbstractionConfig | None = None, eps: float = 1e-6) -> DataFrame:
     """The rows of promote() that are new or not as in edges."""
-    made = higher_order(paths, edges, cfg).select(*edges.columns)
+    made = _strongest(higher_order(paths, edges, cfg).select(*edges.columns))
     raised = edge_key(made).groupBy("key_head", "key_tail").agg(F.max("reliability").alias("to"))
     up = edge_key(edges).join(raised, ["key_head", "key_tail"]).where(F.col("to") > F.col("reliability") + eps).withColumn("reliability", F.col("to"))
     return up.select(*edges.columns).unionByName(admit(edges, made))

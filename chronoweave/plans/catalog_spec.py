@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DecayConfig, WalkConfig
+from ..config import DecayConfig, EngineConfig, GrowConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
 from ..functions import ids
-from ..operators import decay, resample, sketch, walk, watch
-from .catalog import DAY, EV, HOUR, MINUTE, T1, UN, _events, _graph, _unary, query
-from .catalog_more import MIXED, _mixed, _targets
+from ..operators import abstraction, decay, resample, sketch, walk, watch
+from ..sources import audit
+from . import engine
+from .catalog import _TWO, DAY, EV, GROW, HOUR, MINUTE, T1, UN, _events, _graph, _neuron_records, _two_step, _unary, query
+from .catalog_more import _SHARES, MIXED, _mixed, _search, _targets
 
 OPEN, CLOSE = 10 * MINUTE, 2 * HOUR
 #: rates an hour, so that a month of events shows them
@@ -170,3 +172,48 @@ def _(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     got = resample.bootstrap(lines, F.col("l_quantity"), F.col("l_orderkey") * 8 + F.col("l_linenumber"), "l_returnflag", REPLICATES, seed=11)
     return got.select("group", *(F.round(c, 9).alias(c) for c in ("se", "lo", "hi")))
+
+
+@query("promoted_paths", f"""WITH {_TWO}, made AS (SELECT n || '@' || t || '&' || pre || '@' || pt || '#' || t AS id, max(greatest(0.1, least(1.0, least(ra, rb)))) AS r FROM two GROUP BY 1)
+SELECT coalesce(un.id, made.id) AS id, round(CASE WHEN un.id IS NULL THEN made.r WHEN made.r > un.r + 1e-6 THEN made.r ELSE un.r END, 9) AS reliability, CASE WHEN un.id IS NULL THEN 'abstraction' ELSE 'unary' END AS provenance FROM un FULL JOIN made USING (id)""")
+def _(spark, d):
+    """Paths of two edges promote to new edges, or raise the edge that is there already."""
+    edges, paths = _two_step(spark, d)
+    return abstraction.promote(paths, edges).select("id", F.round("reliability", 9).alias("reliability"), "provenance")
+
+
+@query("audit_broken", "WITH k AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT 'changed' AS log, false AS ok, n AS count, n // 2 AS bad_index FROM k UNION ALL SELECT 'missing', false, n - 1, n // 2 + 1 FROM k UNION ALL SELECT 'repeated', false, n + 1, NULL FROM k UNION ALL SELECT 'whole', true, n, NULL FROM k")
+def _(spark, d):
+    """A chain with a changed record, without one, with one that stands twice, and as it was written."""
+    log = audit.chained(_neuron_records(spark, d), ["n"]).select("idx", "line")
+    at = F.col("idx") == F.floor(F.lit(log.count()) / 2)
+    logs = {"changed": log.withColumn("line", F.when(at, F.replace("line", F.lit('"kind":"NEURON"'), F.lit('"kind":"NEUR0N"'))).otherwise(F.col("line"))), "missing": log.where(~at), "repeated": log.unionByName(log.where(at)), "whole": log}
+    out = [audit.verify(x).select(F.lit(name).alias("log"), "ok", "count", "bad_index") for name, x in logs.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+STRONG, MINED, PRUNED = 0.9, 0.7, 0.89999
+_STEP = f"""WITH RECURSIVE {_search(f'{STRONG}::DOUBLE', 4, 12)}{_SHARES},
+parts AS (SELECT tn, tt, label, weight, e.n, e.t, e.new FROM (SELECT tn, tt, label, weight, unnest(path) AS id FROM paths) JOIN en e USING (id)),
+shown AS (SELECT *, n || ':' || array_to_string(list_sort(list_transform(new, lambda x: x.n || ',' || (t - x.t))), ';') AS shape FROM parts),
+shaped AS (SELECT tn, tt, label, any_value(weight) AS weight, tn || '|' || array_to_string(list_sort(list(shape)), '/') AS structure, flatten(list(new)) AS tails, list({{'t': t, 'n': n}}) AS heads FROM shown GROUP BY 1, 2, 3),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure ORDER BY weight DESC, tn, tt, label) AS nth, sum(weight) OVER (PARTITION BY structure) AS total FROM shaped) WHERE nth = 1 AND total >= {MINED}),
+hoe AS (SELECT tn, tt, list_sort(list_transform(list_distinct(list_filter(tails, lambda x: NOT list_contains(heads, x))), lambda x: x.n || '@' || x.t)) AS tail FROM chosen),
+made AS (SELECT DISTINCT tn || '@' || tt || '&' || array_to_string(tail, ',') || '#' || tt AS id FROM hoe WHERE len(tail) > 0),
+every AS (SELECT id, CASE size WHEN 1 THEN 'unary' WHEN 2 THEN 'pair' ELSE 'triple' END AS provenance FROM en UNION ALL SELECT id, 'abstraction' FROM made WHERE id NOT IN (SELECT id FROM en)),
+learnt AS (SELECT id, provenance, CASE WHEN share > 0 THEN greatest(0.02, least(0.98, {STRONG}::DOUBLE * 0.9 + ({STRONG}::DOUBLE - share) * 0.1)) ELSE {STRONG}::DOUBLE END AS r, coalesce(share > 0, false) AS touched FROM every LEFT JOIN shares USING (id))"""
+
+
+@query("step_mined", _STEP + f""" SELECT id, provenance, round(r, 9) AS reliability, touched FROM learnt WHERE r >= {PRUNED}
+UNION ALL SELECT 'n_promoted', '', (SELECT count(*) FROM chosen), NULL UNION ALL SELECT 'n_edges_updated', '', (SELECT count(*) FROM shares WHERE share > 0), NULL UNION ALL SELECT 'n_pruned', '', (SELECT count(*) FROM learnt WHERE r < {PRUNED}), NULL""")
+def _(spark, d):
+    """The whole step over all events, with mining, promotion, learning from errors and pruning: the edges that it leaves, and its counters."""
+    events = _events(spark, d)
+    _, conn = _graph(spark, d)
+    cfg = EngineConfig(
+        grow=GrowConfig(**{**GROW.__dict__, "init_reliability": STRONG}), traverse=TraverseConfig(horizon=12 * HOUR, beam_size=4), learn=LearnConfig(prune_threshold=PRUNED), mine=MineConfig(enabled=True, theta=MINED, hold_k=1, promotion_cap=1_000_000)
+    )
+    out = engine.Engine(conn, cfg).step(engine.empty(spark), events, _targets(spark, d), sign=-1, now_t=T1)
+    rows = out.state.edges.select("id", "provenance", F.round("reliability", 9).alias("reliability"), F.col("last_update_t").isNotNull().alias("touched"))
+    counts = [(k, "", float(out.metrics[k]), None) for k in ("n_promoted", "n_edges_updated", "n_pruned")]
+    return rows.unionByName(spark.createDataFrame(counts, "id string, provenance string, reliability double, touched boolean"))

@@ -129,7 +129,7 @@ def verify(log: DataFrame) -> DataFrame:
     """One row (ok, count, bad_index) of lines (idx, line): whether hashes and links hold, and the first index where they don't."""
     stored, prev, own = _parts()
     seen = log.select("idx", stored.alias("hash"), prev.alias("prev"), own.alias("own"))
-    before = seen.select((F.col("idx") + 1).alias("idx"), F.col("hash").alias("link"))
+    before = seen.groupBy((F.col("idx") + 1).alias("idx")).agg(F.min("hash").alias("link"))
     linked = seen.join(before, "idx", "left")
     good = (F.col("hash") == F.col("own")) & F.when(F.col("idx") == 0, F.col("prev").isNull()).otherwise(F.col("link") == F.col("prev"))
     bad = ~F.coalesce(good, F.lit(False))

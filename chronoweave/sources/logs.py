@@ -2,11 +2,12 @@
 
 These are small driver-side files of one run.  Tables go through DataFrame
 writers: ``append_rows`` adds a DataFrame to a folder of JSON lines or CSV in
-parallel, and ``write_splits`` writes folds as tables.
+parallel, and ``write_split_tables`` writes folds as tables.
 """
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import json
 import os
@@ -220,19 +221,41 @@ def append_cards(cards: DataFrame, folder: str) -> bool:
     return True
 
 
+def split_sides(folds: DataFrame) -> DataFrame:
+    """(fold, side, id) of rows (id, fold): the fold's ids are its val side, and all other ids its train side."""
+    sets = folds.groupBy("id").agg(F.collect_set("fold").alias("own"))
+    numbers = folds.select("fold").distinct()
+    # folds are few, and ids are not
+    return sets.join(F.broadcast(numbers), F.lit(True)).select("fold", F.when(F.array_contains("own", F.col("fold")), "val").otherwise("train").alias("side"), "id")
+
+
+def write_split_tables(folds: DataFrame, path: str) -> None:
+    """split_sides() as JSON lines below path/fold=/side=, in parallel, over what stood there."""
+    split_sides(folds).write.mode("overwrite").partitionBy("fold", "side").json(path)
+
+
 def write_splits(folds: DataFrame, folder: str) -> list[str]:
     """fold_i_train.json and fold_i_val.json, sorted lists of ids: train is all ids without the fold's.
 
-    The lists are files by contract, so their ids come to the driver a fold at a time.
+    The lists are files by contract.  Ids come in order through the driver, once
+    for all files, and none of them is held.
     """
-    made = []
-    every = sorted(r[0] for r in folds.select("id").distinct().toLocalIterator())
-    for fold in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:
-        val = {r[0] for r in folds.where(F.col("fold") == fold).select("id").toLocalIterator()}
-        for side, ids in (("train", [i for i in every if i not in val]), ("val", [i for i in every if i in val])):
-            made.append(f"{folder}/fold_{fold}_{side}.json")
-            save_json(made[-1], ids)
-    return made
+    numbers = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    names = {(i, side): f"{folder}/fold_{i}_{side}.json" for i in numbers for side in ("train", "val")}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    with contextlib.ExitStack() as stack:
+        files = {k: stack.enter_context(open(f"{name}.part", "w", encoding="utf-8")) for k, name in names.items()}
+        empty = dict.fromkeys(files, True)
+        for row in folds.groupBy("id").agg(F.collect_set("fold").alias("own")).orderBy("id").toLocalIterator():
+            for i in numbers:
+                k = (i, "val" if i in row["own"] else "train")
+                files[k].write(("[\n  " if empty[k] else ",\n  ") + json.dumps(row["id"], ensure_ascii=False))
+                empty[k] = False
+        for k, out in files.items():
+            out.write("[]\n" if empty[k] else "\n]\n")
+    for name in names.values():
+        os.replace(f"{name}.part", name)
+    return list(names.values())
 
 
 def write_bundle(folder: str, files: Sequence[str], manifest: Mapping) -> tuple[str, str]:

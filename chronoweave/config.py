@@ -174,6 +174,27 @@ class EmbedConfig:
         _need(self.dim > 0 and self.iterations >= 0 and self.time_resolution > 0, "dim and time_resolution must be positive")
 
 
+@dataclass(frozen=True)
+class IsolationConfig:
+    """Three-way decisions, freezes that expire, and regions; times are in the units of events."""
+
+    reuse: float = 0.6
+    isolate: float = 0.3
+    protect_share: float = 0.05
+    protect_most: int = 50_000
+    hybrid_share: float = 0.5
+    ttl: int = 120_000_000
+    review: int = 30_000_000
+    review_alpha: float = 0.02
+    leak: float = 0.1
+    span_penalty: float = 0.5
+
+    def __post_init__(self) -> None:
+        _need(self.isolate <= self.reuse, "isolate must not be above reuse")
+        _need(self.ttl > 0 and self.review >= 0, "ttl must be positive and review not negative")
+        _need(0 <= self.leak <= 1 and 0 <= self.protect_share <= 1 and 0 <= self.hybrid_share <= 1, "shares lie from 0 to 1")
+
+
 @dataclass(frozen=True)
 class CardConfig:
     alpha0: float = 1.0

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DecayConfig, EngineConfig, GrowConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
+from ..config import DecayConfig, EngineConfig, GrowConfig, IsolationConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
 from ..functions import ids
-from ..operators import abstraction, decay, resample, sketch, walk, watch
+from ..operators import abstraction, decay, isolation, policy, resample, sketch, walk, watch
 from ..sources import audit
 from . import engine
-from .catalog import _TWO, DAY, EV, GROW, HOUR, MINUTE, T1, UN, _events, _graph, _neuron_records, _two_step, _unary, query
+from .catalog import ORACLE_SQL, _TASK, _TWO, DAY, EV, GROW, HOUR, MINUTE, T1, UN, _events, _graph, _neuron_records, _tasks, _two_step, _unary, query
 from .catalog_more import _SHARES, MIXED, _mixed, _search, _targets
 
 OPEN, CLOSE = 10 * MINUTE, 2 * HOUR
@@ -217,3 +217,46 @@ def _(spark, d):
     rows = out.state.edges.select("id", "provenance", F.round("reliability", 9).alias("reliability"), F.col("last_update_t").isNotNull().alias("touched"))
     counts = [(k, "", float(out.metrics[k]), None) for k in ("n_promoted", "n_edges_updated", "n_pruned")]
     return rows.unionByName(spark.createDataFrame(counts, "id string, provenance string, reliability double, touched boolean"))
+
+
+HELD = IsolationConfig(ttl=4 * HOUR, review=HOUR, leak=0.1)
+_HELD = UN + f""", fr AS (SELECT pre || '>' || n AS id, t AS start, t + {4 * HOUR} AS stop FROM un WHERE r >= 0.6), asked AS (SELECT pre || '>' || post AS id, t FROM vx JOIN conn ON post = n)"""
+
+
+@query("freeze_states", f"WITH {_HELD} SELECT a.id, a.t, CASE WHEN max(f.stop) > a.t THEN 'frozen' WHEN max(f.stop) + {HOUR} > a.t THEN 'review' ELSE 'open' END AS state FROM asked a LEFT JOIN fr f ON f.id = a.id AND f.start <= a.t AND f.stop + {HOUR} > a.t GROUP BY 1, 2")
+def _(spark, d):
+    """What each pattern may learn at each event of its head, when every reliable edge freezes its pattern for four hours."""
+    vertices, conn = _graph(spark, d)
+    pattern = lambda pre, n: F.concat(pre.cast("string"), F.lit(">"), n.cast("string"))
+    edges = _unary(spark, d).where("reliability >= 0.6")
+    frozen = edges.select(pattern(F.get("tail", F.lit(0))["n"], F.col("head.n")).alias("id"), F.col("head.t").alias("start"), (F.col("head.t") + HELD.ttl).alias("stop"))
+    asked = vertices.join(conn, vertices["n"] == conn["post"]).select(pattern(F.col("pre"), F.col("post")).alias("id"), "t")
+    return isolation.states(asked, frozen, HELD).select("id", "t", "state")
+
+
+@query("freezes_merged", f"WITH {_HELD}, o AS (SELECT DISTINCT id, start, stop FROM fr), g AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM o), i AS (SELECT *, sum(gap) OVER (PARTITION BY id ORDER BY start, stop) AS k FROM g) SELECT id, min(start) AS start, max(stop) AS stop FROM i GROUP BY id, k")
+def _(spark, d):
+    pre = F.get("tail", F.lit(0))["n"].cast("string")
+    edges = _unary(spark, d).where("reliability >= 0.6")
+    return isolation.merged(edges.select(F.concat(pre, F.lit(">"), F.col("head.n").cast("string")).alias("id"), F.col("head.t").alias("start"), (F.col("head.t") + HELD.ttl).alias("stop")))
+
+
+@query("region_admitted", f"WITH {UN}, s AS (SELECT id, n, n % 4 AS region, CASE WHEN n % 4 = pre % 4 THEN 1 ELSE 2 END AS span, r FROM un), q AS (SELECT *, floor(round(count(*) OVER (PARTITION BY n) * 0.1::DOUBLE, 6)) AS quota FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY n, span ORDER BY r - 0.5 * (span - 1) DESC, id) AS rk FROM q) SELECT id, region, span FROM k WHERE span = 1 OR rk <= quota")
+def _(spark, d):
+    """Neurons in four regions; a head neuron keeps the best of its edges across regions, up to a tenth of all."""
+    vertices, _ = _graph(spark, d)
+    return isolation.within_leak(_unary(spark, d), vertices.select("n", (F.col("n") % 4).alias("region")).distinct(), HELD).select("id", "region", "span")
+
+
+@query("task_freezes", f"""WITH {_TASK}, best AS ({ORACLE_SQL['jaccard_decide'].split('AS similarity FROM')[0].split(' SELECT nn.new_id')[0].replace(f'WITH {_TASK}, ', 'WITH ')} SELECT nn.new_id AS task_id, coalesce(sim, 0) AS sim FROM nn LEFT JOIN b ON b.new_id = nn.new_id),
+d AS (SELECT task_id, CASE WHEN sim >= 0.85 THEN 'REUSE' WHEN sim > 0.75 THEN 'HYBRID' ELSE 'ISOLATE' END AS mode FROM best),
+c AS (SELECT task_id, count(*) AS n, max(edge_id) AS most FROM tasks GROUP BY 1),
+k AS (SELECT t.task_id, edge_id, row_number() OVER (PARTITION BY t.task_id ORDER BY reliability * (edge_id::DOUBLE / nullif(most, 0)) DESC, edge_id) AS rk, ceil(round(n * CASE mode WHEN 'ISOLATE' THEN 0.3::DOUBLE WHEN 'HYBRID' THEN 0.3::DOUBLE * 0.5::DOUBLE ELSE 0 END, 6)) AS quota FROM tasks t JOIN d USING (task_id) JOIN c USING (task_id))
+SELECT task_id, edge_id AS id, {T1}::BIGINT AS start, {T1 + 4 * HOUR}::BIGINT AS stop FROM k WHERE rk <= quota""")
+def _(spark, d):
+    """Each asked customer's decision against the strong edges of all, and what it freezes of the customer's own edges; an edge's number stands for its uses."""
+    cfg = IsolationConfig(**{**HELD.__dict__, "protect_share": 0.3, "reuse": 0.85, "isolate": 0.75})
+    tasks, new = _tasks(spark, d)
+    decided = policy.decide(tasks, new).select(F.col("new_id").alias("task_id"), isolation.mode(F.col("similarity"), cfg).alias("mode"))
+    edges = tasks.select("task_id", F.col("edge_id").alias("id"), "reliability", F.col("edge_id").alias("uses"))
+    return isolation.freezes(decided, edges, T1, cfg).select("task_id", "id", "start", "stop")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import cut
+from .stage import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,4 +27,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        now = drop(cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()), now)

@@ -12,18 +12,24 @@ component.  The join is exact:
    groups.
 3. A group of some sets gives its pairs, and a pair stays that shares as many
    keys as a linked one must.  What shares fewer there, but links, shares a key
-   of a larger group.  A larger group is sorted by size and cut into tiles of
-   bounded size; a tile compares only sizes that can link, and hashed bitmap
-   signatures first: each bit is the parity of the n-grams hashed to it, so the
-   bits in which two signatures differ are at most the n-grams in which the sets
-   differ, which bounds the overlap from above.
+   of a larger group.  A larger group is parted into bands of sizes, of which
+   only the same and neighbouring ones can link, and each band into runs of
+   bounded size; two runs, or one with itself, are a tile.  A tile compares
+   hashed bitmap signatures first: each bit is the parity of the n-grams hashed
+   to it, so the bits in which two signatures differ are at most the n-grams in
+   which the sets differ, which bounds the overlap from above.
 4. What passes is decided by intersecting the exact sorted arrays.
 
-Of a large group, the first round tries each set with its best partner only;
-after the components of those links are known, the second tries every pair
-between different components that the bound lets pass.  So a group of near
-copies gives about as many pairs as it has sets, and no link between different
-components is lost.
+A tile keeps a forest: a pair that its links already connect isn't looked at, so
+it gives fewer links than it has sets.  The first round compares each run with
+itself only, by few keys of each set, which is linear in the group and joins near
+copies; runs are drawn anew for each key.  Signatures alone say which sets' arrays
+a tile needs.  After the components of those links are known, the second
+round compares, in groups that still have several, every set outside the
+group's largest component with all others of its band and the neighbouring ones.
+So no link between different components is lost, a group of near copies costs
+its size, and what remains quadratic is the number of sets of a group outside
+its largest component, times the group.
 
 Cases: null and blank texts have no n-grams, link with nothing and are their own
 component; a text of fewer words is one n-gram; repeated rows and equal sets
@@ -37,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -46,10 +52,14 @@ from . import textscan as ts
 from .components import components
 from .idfilter import bitmap, passes
 from .memory import tidy
-from .stage import cut, free_prefix
+from .stage import cut, drop, free_prefix
 
 SMALL_GROUP = 32  # sets of a group that gives all its pairs
-TILE = 1024  # sets on each side of a tile
+TILE = 1024  # sets of a run, about
+RUN_BYTES = 4 << 20  # and bytes of their arrays, about; a set beyond is a run of its own
+FIRST_KEYS = 3  # of a set's large groups, in the first round
+HOT = 4096  # documents of an n-gram whose group is known to be large before it is counted
+HOT_PARTS = 64  # parts over which such a group's rows are dealt
 FREQUENT = 200_000  # n-grams whose frequency the order knows
 LOCAL_FREQUENT = 32_768  # of these, how many a task reports of some millions that it reads
 SPARE = 50  # n-grams of a set for each key that it takes beyond the first
@@ -158,8 +168,11 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, sid, size): the first n-grams of each set in the common order; a task gives equal sets once."""
-    known, counts = frequent
+    """(key, part, sid, size): the first n-grams of each set in the common order; a task gives equal sets once.
+
+    part is 0, but for n-grams of HOT documents or more, whose rows have one of HOT_PARTS.
+    """
+    (known, counts), hot = frequent, HOT
 
     def work(ids, raw, offsets, state):
         if ids is None:
@@ -180,12 +193,14 @@ def _keys(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             rank = np.where(known[at] == hashes, counts[at], 0)
         order = np.lexsort((hashes, rank, text))
-        hashes, text = hashes[order], text[order]
+        hashes, text, rank = hashes[order], text[order], rank[order]
         first = np.searchsorted(text, text)
         keep = np.arange(len(text)) - first < (size - -(-percent * size // 100) + 1 + size // SPARE)[text]
-        yield pa.RecordBatch.from_pydict({"key": hashes[keep].view(np.int64), "sid": sid[text[keep]], "size": size[text[keep]].astype(np.int32)})
+        own = sid[text[keep]]
+        part = np.where(rank[keep] >= hot, 1 + ts.mix64(own.view(np.uint64)) % _U(HOT_PARTS), _U(0)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"key": hashes[keep].view(np.int64), "part": part, "sid": own, "size": size[text[keep]].astype(np.int32)})
 
-    return _scan(docs, work, "key long, sid long, size int")
+    return _scan(docs, work, "key long, part int, sid long, size int")
 
 
 def _arrays(docs: DataFrame, n: int, sids: DataFrame) -> DataFrame:
@@ -231,11 +246,7 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for xa, xb in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (xa, xb))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+            keep = [_linked(*(np.frombuffer(x.as_buffer(), np.uint64) for x in both), percent) for both in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
@@ -243,75 +254,158 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return cut(sides(["grams"], near).mapInArrow(tidy(decide), "a long, b long"))
 
 
-def _tiles(rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) between components of large groups, from rows (key, sid, component, size, bits).
-
-    Groups are sorted by size and cut into runs of TILE sets; each two runs, and
-    each with itself, are a tile.
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return bool(100 * both >= percent * (len(one) + len(two) - both))
+
+
+class _Near:
+    """What of a tile may link with one of its sets: of one run with itself what comes later, or of those marked first with the others."""
+
+    def __init__(self, first: np.ndarray, size: np.ndarray, bits: list[bytes], percent: int) -> None:
+        self.own = np.flatnonzero(first)
+        other = self.own if first.all() else np.flatnonzero(~first)
+        self.inner, self.size, self.bits, self.percent = first.all(), size, bits, percent
+        words = np.array([len(x) // 8 for x in bits])
+        self.groups = [(int(w), other[words[other] == w]) for w in np.unique(words[other])]
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, i: int, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of other components whose sizes and signatures let them link with set i, and the least number of n-grams in which each differs from it."""
+        mine, size = np.frombuffer(self.bits[i], np.uint64), self.size
+        found, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w, js in self.groups:
+            near = (comp[js] != comp[i]) & (np.minimum(size[js], size[i]) * 100 >= np.maximum(size[js], size[i]) * self.percent)
+            if self.inner:
+                near &= js > i
+            if not near.any():
+                continue
+            width = min(w, len(mine))
+            if (w, width) not in self.folded:
+                self.folded[w, width] = _fold(np.stack([np.frombuffer(self.bits[j], np.uint64) for j in js]), width)
+            apart = least_difference(_fold(mine, width), self.folded[w, width][near])
+            fits = apart <= most_difference(size[js[near]], size[i], self.percent)
+            found.append(js[near][fits])
+            least.append(apart[fits])
+        return np.concatenate(found), np.concatenate(least)
+
+
+def tile_links(first: np.ndarray, sid: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes], grams: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all sets of a tile that its links and components connect."""
+    near, comp, out = _Near(first, size, bits, percent), comp.copy(), []
+    for i in near.own:
+        js, apart = near.of(i, comp)
+        array = np.frombuffer(grams[i], np.uint64)
+        for j in js[np.argsort(apart / (size[js] + size[i]), kind="stable")]:
+            if comp[j] != comp[i] and _linked(array, np.frombuffer(grams[j], np.uint64), percent):
+                out.append((int(sid[i]), int(sid[j])))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def tile_candidates(first: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a tile have another that they may link with."""
+    near, out = _Near(first, size, bits, percent), np.zeros(len(size), bool)
+    for i in near.own:
+        js, _ = near.of(i, comp)
+        out[js] = True
+        out[i] |= len(js) > 0
+    return out
+
+
+_ROW = {"key": pa.int64(), "lo": pa.int64(), "hi": pa.int64(), "run": pa.int64(), "sid": pa.int64(), "component": pa.int64(), "size": pa.int32(), "bits": pa.binary()}
+
+
+def _tiles(rows: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside tiles, from rows (key, lo, hi, run, sid, component) and arrays (sid, size, bits, grams).
+
+    Signatures go to every tile of a set, its array only to those in which a
+    signature lets it link.
     """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "run", "sid", "component", "size", "bits")), strict=True):
-                if row[:3] != name:
-                    yield from pairs(held)
-                    name, held = row[:3], []
-                held.append(row[3:])
-        yield from pairs(held)
-
-    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(held) < 2:
-            return
-        run, sid, comp, size = (np.array([r[i] for r in held], np.int64) for i in range(4))
-        width = np.array([len(r[4]) // 8 for r in held])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        ends = run.min() != run.max()
-        best, partner = np.full(len(held), -1.0), np.full(len(held), -1)
-        for w in np.unique(width):
-            side = np.flatnonzero((width >= w) & (width <= w << wider))
-            bits = np.stack([_fold(np.frombuffer(held[i][4], np.uint64), w) for i in side])
-            for k, i in enumerate(side):
-                if width[i] != w:
-                    continue
-                other = np.arange(len(side)) != k
-                other &= (comp[side] != comp[i]) & ((width[side] > w) | (np.arange(len(side)) > k))
-                if ends:
-                    other &= run[side] != run[i]
-                other &= np.minimum(size[side], size[i]) * 100 >= np.maximum(size[side], size[i]) * percent
-                js = np.flatnonzero(other)
-                if not len(js):
-                    continue
-                least = least_difference(bits[k], bits[js])
-                fits = least <= most_difference(size[side[js]], size[i], percent)
-                js, least = side[js[fits]], least[fits]
-                if not len(js):
-                    continue
-                if not best_only:
-                    out.append((np.full(len(js), sid[i]), sid[js]))
-                    continue
-                likeness = 1.0 - least / (size[js] + size[i])
-                top = int(np.argmax(likeness))
-                if likeness[top] > best[i]:
-                    best[i], partner[i] = likeness[top], js[top]
-                better = likeness > best[js]
-                best[js[better]], partner[js[better]] = likeness[better], i
-        if best_only:
-            got = np.flatnonzero(partner >= 0)
-            out.append((sid[got], sid[partner[got]]))
-        if out:
-            one, two = (np.concatenate(x) for x in zip(*out, strict=True))
-            made = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": made[:, 0], "b": made[:, 1]})
-
-    # sizes that link are within 100 / percent of each other, and so widths within so many doublings
-    wider = (-(-100 // percent) - 1).bit_length()
-    inside = W.partitionBy("key")
-    cutup = rows.withColumn("run", ((F.row_number().over(inside.orderBy("size", "sid")) - 1) / TILE).cast("int")).withColumn("runs", F.ceil(F.count(F.lit(1)).over(inside) / TILE).cast("int"))
-    # with two runs or more, a run's inner pairs are compared in a tile of its own
-    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("runs") - 1), lambda x: F.struct(F.least(x, F.col("run")).alias("lo"), F.greatest(x, F.col("run")).alias("hi"))))
-    dealt = cutup.select("*", tile.alias("tile")).select("key", "tile.lo", "tile.hi", "run", "sid", "component", "size", "bits")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "sid").mapInArrow(tidy(compare), "a long, b long").distinct()
+    def by_tile(work, columns: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, held = None, []
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                    if row[:3] != name:
+                        yield from whole(name, held)
+                        name, held = row[:3], []
+                    held.append(row)
+            yield from whole(name, held)
+
+        def whole(name: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            run_, sid, comp, size = (np.array([r[i] for r in held], np.int64) for i in range(3, 7))
+            first = run_ == name[1]
+            if name[1] == name[2] or not first.all():
+                yield from work(held, first, sid, comp, size)
+
+        return tidy(run)
+
+    def candidates(held, first, sid, comp, size) -> Iterator[pa.RecordBatch]:
+        own = [held[i] for i in np.flatnonzero(tile_candidates(first, comp, size, [r[7] for r in held], percent))]
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), _ROW.values(), strict=True)], list(_ROW))
+
+    def links(held, first, sid, comp, size) -> Iterator[pa.RecordBatch]:
+        if made := tile_links(first, sid, comp, size, [r[7] for r in held], [r[8] for r in held], percent):
+            one, two = zip(*made, strict=True)
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(one, two), "b": np.maximum(one, two)})
+
+    dealt = lambda df: df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "sid")
+    signed = dealt(rows.join(arrays.select("sid", "size", "bits"), "sid")).select(*_ROW)
+    ddl = "key long, lo long, hi long, run long, sid long, component long, size int, bits binary"
+    found = cut(signed.mapInArrow(by_tile(candidates, list(_ROW)), ddl))
+    whole = dealt(found.join(arrays.select("sid", "grams"), "sid")).select(*_ROW, "grams")
+    return drop(cut(whole.mapInArrow(by_tile(links, [*_ROW, "grams"]), "a long, b long").distinct()), found)
+
+
+def _band(percent: int) -> Column:
+    """Sizes that can link have the same band or neighbouring ones; a group that fits a tile has one band."""
+    band = F.floor(F.log("size") / (np.log(100 / percent) * (1 + 1e-9))).cast("long") if percent < 100 else F.col("size").cast("long")
+    return F.when(F.col("members") > TILE, band).otherwise(F.lit(0).cast("long"))
+
+
+def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, runs): into how many runs the sets of each cell are parted."""
+    n, grams = F.count(F.lit(1)), F.sum("size")
+    return rows.groupBy(*by).agg(F.greatest(F.ceil(n / TILE), F.ceil(grams * 8 / RUN_BYTES)).cast("long").alias("runs"))
+
+
+def _run(kind: Column, band: Column, number: Column) -> Column:
+    """A run's name within its key."""
+    return F.shiftleft(kind.cast("long"), 62) + F.shiftleft(band.cast("long"), 32) + number
+
+
+def _within_runs(large: DataFrame, percent: int) -> DataFrame:
+    """large (key, sid, size, members) dealt to tiles of each run with itself, each set by FIRST_KEYS of its keys.
+
+    These have the least hashes, so sets that share most keys mostly take the same.
+    """
+    order = W.partitionBy("sid").orderBy(F.xxhash64("key"), "key")
+    banded = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_KEYS).drop("nth")
+    banded = banded.withColumn("band", _band(percent))
+    cells = _cells(banded, ["key", "band"])
+    number = F.pmod(F.xxhash64("sid", "key"), F.col("runs"))
+    run = banded.join(cells, ["key", "band"]).withColumn("run", _run(F.lit(0), F.col("band"), number))
+    return run.select("key", F.col("run").alias("lo"), F.col("run").alias("hi"), "run", "sid", F.col("sid").alias("component"))
+
+
+def _across(labelled: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """labelled (key, sid, size, members, component), of keys with several components, dealt to tiles that pair each set outside the key's largest component with all that it can link with; and the table that this reads."""
+    most = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    kind = F.when(F.col("members") > TILE, F.col("component") == F.col("main")).otherwise(F.lit(False)).cast("long")
+    rows = labelled.join(most.select("key", "main"), "key").select("key", "sid", "size", "component", kind.alias("kind"), _band(percent).alias("band"))
+    rows = cut(rows)
+    cells = _cells(rows, ["key", "kind", "band"]).groupBy("key").agg(F.collect_list(F.struct("kind", "band", "runs")).alias("cells"))
+    own = rows.join(cells, "key").withColumn("runs", F.filter("cells", lambda c: (c["kind"] == F.col("kind")) & (c["band"] == F.col("band")))[0]["runs"])
+    own = own.withColumn("run", _run(F.col("kind"), F.col("band"), F.pmod(F.xxhash64("sid", "key"), F.col("runs"))))
+    meets = F.filter("cells", lambda c: (F.abs(c["band"] - F.col("band")) <= 1) & (c["kind"] * F.col("kind") == 0))
+    named = F.flatten(F.transform(meets, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["runs"] - 1), lambda x: _run(c["kind"], c["band"], x))))
+    dealt = own.select("key", "run", "sid", "component", F.explode(named).alias("with"))
+    return dealt.select("key", F.least("run", "with").alias("lo"), F.greatest("run", "with").alias("hi"), "run", "sid", "component"), rows
 
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,32 +424,35 @@ def _known(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, na
     rows = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("sid"))
     found = linked_sets(docs, n, percent, _frequent(scanned))
     known = rows.where("n_shingles > 0").join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
-    return rows, cut(known.select(*names, F.coalesce("component", "sid").alias("component")))
+    return rows, drop(cut(known.select(*names, F.coalesce("component", "sid").alias("component"))), found)
 
 
 def linked_sets(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(node, component) of the sets that have a link to a different set."""
     if not 1 <= percent <= 100:
         raise ValueError("percent is from 1 to 100")
-    inside = W.partitionBy("key")
-    groups = _keys(docs, n, percent, frequent).withColumn("lowest", F.min("sid").over(inside)).withColumn("highest", F.max("sid").over(inside)).withColumn("members", F.count(F.lit(1)).over(inside))
-    groups = cut(groups.where("lowest <> highest").select("key", "sid", "size", "members"))
+    # a hot n-gram's group is large, so its rows need no count and are dealt in parts
+    inside = W.partitionBy("key", "part")
+    groups = _keys(docs, n, percent, frequent).withColumn("lowest", F.min("sid").over(inside)).withColumn("highest", F.max("sid").over(inside)).withColumn("members", F.when(F.col("part") > 0, max(SMALL_GROUP, TILE) + 1).otherwise(F.count(F.lit(1)).over(inside)))
+    groups = cut(groups.where("part > 0 OR lowest <> highest").select("key", "sid", "size", "members"))
     small = groups.where(F.col("members") <= SMALL_GROUP)
     one, two = (small.select("key", F.col("sid").alias(x), F.col("size").alias(f"size_{x}")) for x in "ab")
     close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
     pairs = one.join(two, "key").where("a < b").where(close)
     pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("size_a", "size_b")).alias("size")).where(F.expr(f"shared >= 1 + size div {SPARE}")).select("a", "b"))
-    large = cut(groups.where(F.col("members") > SMALL_GROUP).select("key", "sid").distinct())
+    large = cut(groups.where(F.col("members") > SMALL_GROUP).select("key", "sid", "size", "members").distinct())
+    drop(large, groups)
     arrays = _arrays(docs, n, pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(large.select("sid")))
-    signed = large.join(arrays.select("sid", "size", "bits"), "sid")
-    first = _tiles(signed.withColumn("component", F.col("sid")), percent, best_only=True)
-    links = _verified(pairs.unionByName(first).distinct(), arrays, percent)
-    found = cut(components(links))
+    linked = _verified(pairs, arrays, percent)
+    near = _tiles(_within_runs(large, percent), arrays, percent)
+    found = cut(components(linked.unionByName(near)))
+    drop(found, pairs, linked, near)
     labelled = large.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
-    rest = _tiles(labelled.join(mixed, "key").join(arrays.select("sid", "size", "bits"), "sid"), percent, best_only=False)
-    more = _verified(rest, arrays, percent)
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    dealt, rows = _across(labelled, percent)
+    more = _tiles(dealt, arrays, percent)
+    drop(more, rows, large, arrays)
+    out = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    return drop(out, found, more)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,11 +464,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     """
     own = free_prefix(docs)
     key, key_set, stays, times, sid, turn = (own + x for x in ("id", "set", "first", "rows", "sid", "turn"))
-    _, known = _known(docs, n, percent, id_col, text_col, ("doc_id", "sid"))
+    rows, known = _known(docs, n, percent, id_col, text_col, ("doc_id", "sid"))
     many = known.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("first")).where("n > 1").drop("n")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sid") == F.col("first.sid"))
-    listed = known.join(cut(many), "component").groupBy(F.col("doc_id").alias(key), F.col("sid").alias(key_set)).agg(F.first(same).alias(stays), F.count(F.lit(1)).alias(times))
-    listed = cut(listed)
+    many = cut(many)
+    listed = known.join(many, "component").groupBy(F.col("doc_id").alias(key), F.col("sid").alias(key_set)).agg(F.first(same).alias(stays), F.count(F.lit(1)).alias(times))
+    listed = drop(cut(listed), rows, known, many)
     # rows that the bitmap clears need no join, so most texts are not shuffled
     words, at, text_at = bitmap(listed.where(F.col(key).isNotNull()), key), docs.columns.index(id_col), docs.columns.index(text_col)
     names = docs.columns

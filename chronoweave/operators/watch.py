@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..functions.asof import first_within
 
 WATCHER = "edge string, n bigint, at bigint, open bigint, close bigint, weight double"
 PENDING, CONFIRMED, MISSED = "pending", "confirmed", "missed"
@@ -25,25 +26,10 @@ def watchers(events: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def outcomes(watching: DataFrame, events: DataFrame, watermark: int | None = None) -> DataFrame:
-    """watching (WATCHER) with status and resolved_at; the watermark is the last event's time unless given.
-
-    Time is cut into buckets as wide as the widest window, and an event stands
-    in its own bucket and the one before, so a watcher's bucket has all of its
-    window.  There all are sorted once, latest first, and a watcher takes the
-    last event that came by: a busy neuron costs a sort, not its watchers times
-    its events, and is spread over its buckets.
-    """
-    bounds = watching.agg(F.max(F.col("close") - F.col("open"))).first()[0]
-    width = max(1, (bounds or 0) + 1)
+    """watching (WATCHER) with status and resolved_at; the watermark is the last event's time unless given."""
     if watermark is None:
         watermark = events.agg(F.max("t")).first()[0]
-    bucket = lambda x: F.floor(x / width).cast("long")
-    none = F.lit(None)
-    heads = events.select("n", "t").distinct().select("n", "t", F.explode(F.array(bucket(F.col("t")), bucket(F.col("t")) - 1)).alias("bucket"))
-    rows = heads.select("n", "bucket", "t", F.lit(0).alias("kind"), F.col("t").alias("hit"), none.cast("string").alias("edge"), none.cast("bigint").alias("at"), none.cast("bigint").alias("close"), none.cast("double").alias("weight"))
-    rows = rows.unionByName(watching.select("n", bucket(F.col("open")).alias("bucket"), F.col("open").alias("t"), F.lit(1).alias("kind"), none.cast("bigint").alias("hit"), "edge", "at", "close", "weight"))
-    by = W.partitionBy("n", "bucket").orderBy(F.desc("t"), "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = rows.withColumn("hit", F.last("hit", ignorenulls=True).over(by)).where("kind = 1")
-    confirmed, over = F.coalesce(F.col("hit") <= F.col("close"), F.lit(False)), F.lit(watermark is not None) & (F.col("close") <= F.lit(watermark))
+    found = first_within(watching.select("edge", "n", "at", "open", "close", "weight"), events.select("n", "t"), ["n"])
+    confirmed, over = F.col("hit").isNotNull(), F.lit(watermark is not None) & (F.col("close") <= F.lit(watermark))
     status = F.when(confirmed, CONFIRMED).when(over, MISSED).otherwise(PENDING)
-    return found.select("edge", "n", "at", F.col("t").alias("open"), "close", "weight", status.alias("status"), F.when(confirmed, F.col("hit")).when(over, F.col("close")).alias("resolved_at"))
+    return found.select("edge", "n", "at", "open", "close", "weight", status.alias("status"), F.when(confirmed, F.col("hit")).when(over, F.col("close")).alias("resolved_at"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DecayConfig, EngineConfig, GrowConfig, IsolationConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
 from ..functions import ids
-from ..operators import abstraction, decay, isolation, policy, resample, sketch, walk, watch
+from ..operators import abstraction, decay, isolation, policy, resample, sketch, templates, walk, watch
 from ..sources import audit
 from . import engine
-from .catalog import ORACLE_SQL, _TASK, _TWO, DAY, EV, GROW, HOUR, MINUTE, T1, UN, _events, _graph, _neuron_records, _tasks, _two_step, _unary, query
+from .catalog import ORACLE_SQL, _TASK, _TWO, DAY, EV, GROW, HOUR, MINUTE, T0, T1, UN, _events, _graph, _neuron_records, _tasks, _two_step, _unary, query
 from .catalog_more import _SHARES, MIXED, _mixed, _search, _targets
 
 OPEN, CLOSE = 10 * MINUTE, 2 * HOUR
@@ -260,3 +260,28 @@ def _(spark, d):
     decided = policy.decide(tasks, new).select(F.col("new_id").alias("task_id"), isolation.mode(F.col("similarity"), cfg).alias("mode"))
     edges = tasks.select("task_id", F.col("edge_id").alias("id"), "reliability", F.col("edge_id").alias("uses"))
     return isolation.freezes(decided, edges, T1, cfg).select("task_id", "id", "start", "stop")
+
+
+#: funnels of a neuron's events: A grows by a step at T1, C is made of A and B
+TEMPLATES = [
+    ("A", 1, 1, 0, 0, "view", None, None), ("A", 1, 1, 0, 1, "click", MINUTE, 12 * HOUR),
+    ("A", 2, 1, T1, 0, "view", None, None), ("A", 2, 1, T1, 1, "click", MINUTE, 12 * HOUR), ("A", 2, 1, T1, 2, "purchase", 0, 24 * HOUR),
+    ("B", 1, 1, 0, 0, "click", None, None), ("B", 1, 1, 0, 1, "error", MINUTE, 24 * HOUR),
+    ("C", 1, 2, T0, 0, "T:A", None, None), ("C", 1, 2, T0, 1, "T:B", 0, 48 * HOUR),
+]
+
+
+def _step_sql(name: str, before: str, kind: str, lo: int, hi: int, source: str = "e") -> str:
+    return f"{name} AS (SELECT s.n, s.start, min(x.t) AS t FROM {before} s JOIN {source} x ON x.n = s.n AND x.kind = '{kind}' AND x.t BETWEEN s.t + {lo} AND s.t + {hi} GROUP BY 1, 2)"
+
+
+_FUNNELS = EV + f""", e AS (SELECT DISTINCT n, event_type AS kind, t FROM ev), v AS (SELECT n, t AS start, t FROM e WHERE kind = 'view'), c AS (SELECT n, t AS start, t FROM e WHERE kind = 'click'),
+{_step_sql('a1', '(SELECT * FROM v WHERE start < ' + str(T1) + ')', 'click', MINUTE, 12 * HOUR)}, {_step_sql('a2x', '(SELECT * FROM v WHERE start >= ' + str(T1) + ')', 'click', MINUTE, 12 * HOUR)}, {_step_sql('a2', 'a2x', 'purchase', 0, 24 * HOUR)},
+{_step_sql('b1', 'c', 'error', MINUTE, 24 * HOUR)}, low AS (SELECT 'A' AS template, 1 AS version, 1 AS level, * FROM a1 UNION ALL SELECT 'A', 2, 1, * FROM a2 UNION ALL SELECT 'B', 1, 1, * FROM b1),
+up AS (SELECT DISTINCT n, 'T:' || template AS kind, t FROM low), w AS (SELECT n, t AS start, t FROM up WHERE kind = 'T:A' AND t >= {T0}), {_step_sql('c1', 'w', 'T:B', 0, 48 * HOUR, 'up')}"""
+
+
+@query("template_matches", f"WITH {_FUNNELS} SELECT template, version, level, n, start, t AS stop FROM low UNION ALL SELECT 'C', 1, 2, * FROM c1")
+def _(spark, d):
+    events = _events(spark, d).select("n", F.col("event_type").alias("kind"), "t")
+    return templates.composed(events, spark.createDataFrame(TEMPLATES, templates.TEMPLATE)).select("template", "version", "level", "n", "start", "stop")

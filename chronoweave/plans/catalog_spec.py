@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecayConfig, EngineConfig, GrowConfig, IsolationConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
 from ..functions import ids
-from ..operators import abstraction, decay, isolation, policy, resample, sketch, templates, walk, watch
+from ..operators import abstraction, conflict, decay, isolation, policy, resample, sketch, templates, walk, watch
 from ..sources import audit
 from . import engine
 from .catalog import ORACLE_SQL, _TASK, _TWO, DAY, EV, GROW, HOUR, MINUTE, T0, T1, UN, _events, _graph, _neuron_records, _tasks, _two_step, _unary, query
@@ -285,3 +285,20 @@ up AS (SELECT DISTINCT n, 'T:' || template AS kind, t FROM low), w AS (SELECT n,
 def _(spark, d):
     events = _events(spark, d).select("n", F.col("event_type").alias("kind"), "t")
     return templates.composed(events, spark.createDataFrame(TEMPLATES, templates.TEMPLATE)).select("template", "version", "level", "n", "start", "stop")
+
+
+RHO = 3 * HOUR
+_RIVALS = MIXED + f""", sc AS (SELECT n, t, id, round(0.7::DOUBLE * (list_sum(list_transform(new, lambda x: 1.0::DOUBLE - abs(t - x.t - {(MINUTE + 6 * HOUR) // 2}) / {6 * HOUR - MINUTE}::DOUBLE)) / len(new)) + 0.3::DOUBLE * (1 - len(new) / 3), 9) AS s FROM en WHERE list_max(list_transform(new, lambda x: x.t)) - list_min(list_transform(new, lambda x: x.t)) <= {30 * MINUTE}),
+o AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY s DESC, t) AS k FROM (SELECT n, t, max(s) AS s FROM sc GROUP BY 1, 2)),
+g AS (SELECT DISTINCT n, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o
+  UNION ALL SELECT o.n, o.k, CASE WHEN len(list_filter(kept, lambda x: abs(x - o.t) <= {RHO})) > 0 THEN kept ELSE list_append(kept, o.t) END FROM g JOIN o ON o.n = g.n AND o.k = g.k + 1),
+kept AS (SELECT n, unnest(arg_max(kept, k)) AS t FROM g GROUP BY n)"""
+
+
+@query("rival_heads", f"WITH RECURSIVE {_RIVALS} SELECT id, s AS score FROM sc JOIN kept USING (n, t)")
+def _(spark, d):
+    """Coherent candidates of the heads that stay where heads of a neuron within three hours exclude each other."""
+    _, edges = _mixed(spark, d)
+    edges = edges.where(conflict.coherent(F.col("tail"), 30 * MINUTE))
+    score = conflict.priority(F.col("head.t"), F.col("tail"), MINUTE, 6 * HOUR, 3)
+    return conflict.admitted(edges, score, RHO).select("id", score.alias("score"))

@@ -108,15 +108,62 @@ def test_ngram_join_matches_brute_force(spark, docs, empty, monkeypatch):
         rows.append((100 + k, " ".join(w)))
     frame = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string").repartition(3)
     want = components_by_force(rows, 85)
-    for small, tile in ((32, 1024), (2, 8)):
+    for small, tile, hot, run_bytes in ((32, 1024, 4096, 1 << 22), (2, 8, 4096, 1 << 22), (2, 8, 3, 4000), (0, 1, 1, 1)):
         monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
         monkeypatch.setattr(ngram_join, "TILE", tile)
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "RUN_BYTES", run_bytes)
         assert Counter(map(tuple, ngram_join.similar_groups(frame).collect())) == want
     assert ngram_join.similar_groups(empty).count() == 0
     kept = sorted(r.doc_id for r in ngram_join.keep_one(docs).collect() if r.doc_id is not None)
     assert 1 in kept and 2 not in kept and 4 in kept and 5 in kept and 10 in kept
 
 
+def test_families_with_one_line_in_common(spark, monkeypatch):
+    """Groups of a frequent line that hold several components, bridged ones and single sets."""
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 6)
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    line, rows = " ".join(words_of(70, 12)), []
+    for f in range(5):
+        base = words_of(71 + f, 120)
+        for k in range(4 + 8 * (f == 0)):
+            w = list(base)
+            for j in range(k * 2):  # a chain: each is near the next, the ends aren't near each other
+                w[(j * 7) % 120] = f"x{f}y{j}"
+            rows.append((len(rows), " ".join([line, *w])))
+    rows += [(len(rows) + i, " ".join([line, *words_of(90 + i, 100 + 5 * i)])) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert Counter(map(tuple, ngram_join.similar_groups(frame).collect())) == components_by_force(rows, 85)
+
+
+def test_a_tile_gives_a_forest_of_all_its_links():
+    rng = np.random.default_rng(3)
+    for percent in (50, 85):
+        sets = []
+        for _ in range(6):
+            base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
+            for _ in range(8):
+                keep = base[rng.random(len(base)) < rng.uniform(0.7, 1.0)]
+                sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, int(rng.integers(0, 30)), dtype=np.uint64)])))
+        first = np.arange(len(sets)) % 3 > 0
+        for side in (first, np.ones(len(sets), bool)):
+            ids, comp = np.arange(len(sets)), np.arange(len(sets)) // 2 * 2  # some are in one component already
+            got = ngram_join.tile_links(side, ids, comp, np.array([len(x) for x in sets]), [ngram_join.signature(x).tobytes() for x in sets], [x.tobytes() for x in sets], percent)
+            pairs = [(i, j) for i in ids for j in ids if i < j and (side[i] != side[j] or side.all())]
+            true = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+            assert {(min(x), max(x)) for x in got} <= true and len(got) < len(sets)
+            assert roots(len(sets), [*got, *enumerate(comp.tolist())]) == roots(len(sets), [*true, *enumerate(comp.tolist())])
+
+
+def roots(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_keep_one_decides_by_row(spark, empty):
     one, two, three, four = (" ".join(words_of(90 + i, 80)) for i in range(4))
     rows = [(1, one), (1, one), (2, one), (None, one), (None, two), (None, two), (3, three), (4, three), (4, four), (5, ""), (5, ""), (None, None)]
@@ -125,6 +172,28 @@ def test_keep_one_decides_by_row(spark, empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+def crowded():
+    """Documents 100 and 200 share 60 words with every sixth changed; each of 20 others holds a run of five of them."""
+    passage = words_of(300, 60)
+    other = [f"z{i}" if i % 6 == 5 else w for i, w in enumerate(passage)]
+    rows = [(100, " ".join([*words_of(301, 40), *passage, *words_of(302, 40)])), (200, " ".join([*words_of(303, 40), *other, *words_of(304, 40)]))]
+    for i in range(20):
+        run = i % 10 * 6
+        rows.append((i * 7 + 1, " ".join([*words_of(310 + i, 60), *passage[run : run + 5], *words_of(340 + i, 60)])))
+    return rows
+
+
+def test_passages_are_found_in_a_crowd_and_however_rows_are_dealt(spark):
+    rows = crowded()
+    shared = words_of(400, 70)
+    rows += [(1000 + i, " ".join([*words_of(500 + i, 30), *shared[i % 9 :], *words_of(900 + i, 30)])) for i in range(300)]  # hot seeds
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [sorted(map(tuple, substring_dedup.find_passages(frame.repartition(n)).collect())) for n in (1, 4, 16, 100)]
+    assert all(x == found[0] for x in found)
+    assert [(r[2], r[3]) for r in found[0] if (r[0], r[4]) == (200, 100)] == [(40, 99)]
+    assert {r[0] for r in found[0]} == {200} | {1000 + i for i in range(1, 300)}
+
+
 def test_substring_dedup(docs, empty):
     found = substring_dedup.find_passages(docs).collect()
     spans = {(r.doc_id, r.anchor_doc): (r.start_word, r.end_word, r.anchor_start) for r in found}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DecayConfig, EngineConfig, GrowConfig, IsolationConfig, LearnConfig, MineConfig, TraverseConfig, WalkConfig
 from ..functions import ids
-from ..operators import abstraction, conflict, decay, isolation, policy, resample, sketch, templates, walk, watch
+from ..operators import abstraction, conflict, decay, isolation, policy, resample, similar, sketch, templates, walk, watch
 from ..sources import audit
 from . import engine
 from .catalog import ORACLE_SQL, _TASK, _TWO, DAY, EV, GROW, HOUR, MINUTE, T0, T1, UN, _events, _graph, _neuron_records, _tasks, _two_step, _unary, query
@@ -302,3 +302,12 @@ def _(spark, d):
     edges = edges.where(conflict.coherent(F.col("tail"), 30 * MINUTE))
     score = conflict.priority(F.col("head.t"), F.col("tail"), MINUTE, 6 * HOUR, 3)
     return conflict.admitted(edges, score, RHO).select("id", score.alias("score"))
+
+
+@query("vector_groups", """WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE len(embedding) > 0),
+u AS (SELECT id, list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)))) AS x FROM v),
+l AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id <> q.id AND len(p.x) = len(q.x) AND list_dot_product(p.x, q.x) >= 0.4),
+r AS (SELECT id AS node, id AS reached FROM u UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT e.vec_id AS id, coalesce(min(reached), e.vec_id) AS group_id FROM (SELECT DISTINCT vec_id FROM embeddings) e LEFT JOIN r ON r.node = e.vec_id GROUP BY e.vec_id""")
+def _(spark, d):
+    return similar.groups(spark.read.parquet(f"{d}/embeddings.parquet"), 0.4, 0.9999, id_col="vec_id", vector_col="embedding")

@@ -2,14 +2,16 @@
 
 A card's reliability is the distribution of the product of its edges' Beta
 posteriors.  The mean is exact, the product of posterior means; the interval is
-sampled, each edge from a generator seeded by the rule and the edge's place, so
-reruns agree on any number of tasks.
+sampled.  It depends on the edges' counts alone, so a task samples it once for
+each set of counts, not for each path, from generators seeded by the counts:
+reruns agree on any number of tasks, and so do paths with equal counts.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,20 +31,25 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:8], "little")
 
 
+KEPT = 1 << 16  # intervals that a task remembers
+
+
 def interval(cfg: CardConfig):
-    """Column function (rule id, alphas, betas) -> struct(sampled_mean, lo, hi) of the product of the Betas."""
+    """Column function (alphas, betas) -> struct(sampled_mean, lo, hi) of the product of the Betas, in any order."""
     tail = (1 - cfg.level) / 2
 
+    def sampled(pairs: tuple[tuple[float, float], ...]) -> tuple[float, float, float]:
+        product = np.ones(cfg.samples)
+        for k, (x, y) in enumerate(pairs):
+            product *= np.random.default_rng(_seed(pairs, k)).beta(x, y, cfg.samples)
+        lo, hi = np.quantile(product, [tail, 1 - tail])
+        return float(product.mean()), float(lo), float(hi)
+
     @F.pandas_udf("sampled_mean double, lo double, hi double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for names, alphas, betas in batches:
-            rows = []
-            for name, a, b in zip(names, alphas, betas, strict=True):
-                product = np.ones(cfg.samples)
-                for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                    product *= np.random.default_rng(_seed(name, k)).beta(x, y, cfg.samples)
-                lo, hi = np.quantile(product, [tail, 1 - tail])
-                rows.append((float(product.mean()), float(lo), float(hi)))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(KEPT)(sampled)
+        for alphas, betas in batches:
+            rows = [known(tuple(sorted(zip(a.tolist(), b.tolist(), strict=True)))) for a, b in zip(alphas, betas, strict=True)]
             yield pd.DataFrame(rows, columns=["sampled_mean", "lo", "hi"])
 
     return run
@@ -60,7 +67,7 @@ def cards(paths: DataFrame, edges: DataFrame, cfg: CardConfig | None = None) ->
     own = own.select("target", "label", F.col("p.id").alias("edges"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     mean = F.aggregate(F.zip_with("a", "b", lambda x, y: x / (x + y)), F.lit(1.0), lambda s, x: s * x)
     made = own.withColumn("rule_id", rule_id(F.col("label"), F.col("edges"))).withColumn("mean", mean)
-    made = made.withColumn("ci", interval(cfg)("rule_id", "a", "b"))
+    made = made.withColumn("ci", interval(cfg)("a", "b"))
     kind = F.when(F.col("mean") >= cfg.frozen_threshold, "Frozen").otherwise("Plastic")
     text = F.format_string("%s: reliability %.2f%% (%.2f%% to %.2f%%)", F.col("label"), F.col("mean") * 100, F.col("ci.lo") * 100, F.col("ci.hi") * 100)
     return made.select("rule_id", "label", "edges", "mean", "ci.lo", "ci.hi", kind.alias("kind"), text.alias("text"))
@@ -71,7 +78,6 @@ def beta_interval(edges: DataFrame, cfg: CardConfig | None = None) -> DataFrame:
     cfg = cfg or CardConfig()
     a, b = F.col("counts_success") + cfg.alpha0, F.col("counts_miss") + cfg.beta0
     pairs = edges.select("counts_success", "counts_miss").distinct()
-    name = F.concat_ws("/", "counts_success", "counts_miss")
-    ci = pairs.withColumn("ci", interval(cfg)(name, F.array(a), F.array(b)))
+    ci = pairs.withColumn("ci", interval(cfg)(F.array(a), F.array(b)))
     mean = ids.posterior_mean(F.col("counts_success"), F.col("counts_miss"), cfg.alpha0, cfg.beta0)
     return edges.join(ci, ["counts_success", "counts_miss"]).select("id", mean.alias("mean"), "ci.lo", "ci.hi")

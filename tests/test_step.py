@@ -112,6 +112,17 @@ def test_cards(spark):
     assert one.mean == pytest.approx(0.9) and one.lo < one.mean < one.hi
 
 
+def test_cards_of_equal_counts_share_their_interval(spark):
+    """An interval is sampled for each set of counts, not for each path."""
+    rows = [edge((2, 300 + i), [(1, 100)], 0.5) for i in range(6)]
+    edges = spark.createDataFrame(rows, ids.EDGE).withColumn("counts_success", F.when(F.col("head.t") % 2 == 0, 8).otherwise(3).cast("long"))
+    a, b = edges.alias("a"), edges.alias("b")
+    pair = F.array("a.id", "b.id")
+    paths = a.join(b, F.col("a.id") != F.col("b.id")).select(F.col("a.head").alias("target"), pair.alias("edges"), pair.cast("string").alias("label"))
+    got = cards.cards(paths, edges, CardConfig(samples=500)).collect()
+    assert len(got) == 30 and len({(round(r.mean, 9), r.lo, r.hi) for r in got}) == 3 and all(r.lo < r.mean < r.hi for r in got)
+
+
 def test_audit_chain(spark, tmp_path):
     path = str(tmp_path / "log.jsonl")
     one = audit.AuditLog(path).append("GROW", {"count": 2, "admitted": ["e1", "e2"]}, "2025-01-01T00:00:00Z")

@@ -85,6 +85,8 @@ def walk(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: WalkCon
     paths = done[0]
     for more in done[1:]:
         paths = paths.unionByName(more)
-    paths = paths.withColumn("length", F.size("edges")).withColumn("label", ids.path_label(F.col("edges"))).withColumn("score", F.col("score") * F.pow(F.lit(cfg.length_penalty_base), F.col("length")))
+    # a path has an edge a level at most; the JVM's pow() may miss the nearest double
+    penalty = F.get(F.array(*(F.lit(float(cfg.length_penalty_base**k)) for k in range(cfg.depth + 2))), F.size("edges"))
+    paths = paths.withColumn("length", F.size("edges")).withColumn("label", ids.path_label(F.col("edges"))).withColumn("score", F.col("score") * penalty)
     top = F.row_number().over(W.partitionBy("target", "label").orderBy(F.desc("score"), "edges"))
     return paths.withColumn("rank", top).where("rank = 1").select("target", "edges", "score", "length", "label")

@@ -67,3 +67,21 @@ def test_best_of_each_group(spark):
     got = ranking.best(rows, ["g"], [F.desc("v"), F.col("i")], 2, "i")
     assert got.columns == ["g", "i", "v"]
     assert sorted((r.g or "", r.i) for r in got.collect()) == [("", 2), ("", 3), ("a", 6), ("a", 13), ("b", 1)]
+
+
+def test_scores_round_as_sql_rounds_them(spark):
+    """Products whose tenth decimal is a 5: what SQL sees is the double, which may lie below."""
+    import duckdb
+
+    values = [r * 0.98**k for r in (0.2734375, 0.328125, 0.109375, 0.065625, 0.046875, 0.2343750) for k in range(6)] + [-0.2573571875, 0.0, 0.9999999995]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.x for r in rows.select("v", ids.rounded(F.col("v"), 9).alias("x")).collect()}
+    assert all(got[v] == duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in values)
+    assert any(got[r.v] != r.x for r in rows.select("v", F.round("v", 9).alias("x")).collect())
+
+
+def test_length_penalty_is_the_nearest_double(spark):
+    edges = spark.createDataFrame([((f"e{i}"), (1, 10 - i), [(1, 9 - i)], 1.0) for i in range(4)], "id string, head struct<n:bigint,t:bigint>, tail array<struct<n:bigint,t:bigint>>, reliability double")
+    vertices = spark.createDataFrame([(1, t) for t in range(1, 11)], "n bigint, t bigint")
+    got = walk.walk(edges, vertices, spark.createDataFrame([(1, 10)], "n bigint, t bigint"), WalkConfig(horizon=100, depth=6, length_penalty_base=0.98)).collect()
+    assert [(r.length, r.score) for r in got] == [(4, 0.98**4)]

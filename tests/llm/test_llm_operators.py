@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import chat_windows, license_scans, mixing, ngram_join, packing, progressive_jpeg, quality_rules, substring_dedup, token_counts, url_filters
 from chronoweave.llm import textscan as ts
@@ -327,6 +328,20 @@ def test_quality_rules(docs, empty):
     assert quality_rules.judge(empty, np.zeros(16), 0.0).count() == 0
 
 
+def test_quality_threshold_and_counts_over_all_labelled_rows(spark):
+    """More good rows than were sampled before, and the threshold of scores that never come to the driver."""
+    n = 20_500
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    counts = quality_rules.summed(quality_rules.labelled(rows, rows.select("doc_id", F.lit(1).alias("quality"))).where("good"), 1 << 12)
+    assert counts.sum() == n
+    twice = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, quality_rules.labelled(rows, twice).collect())) == [(False, "w2"), (True, "w1")]
+    rng = np.random.default_rng(3)
+    for good, bad in ((rng.normal(0.3, 0.3, 400), rng.normal(-0.3, 0.3, 300)), (np.round(rng.normal(0, 1, 50), 1), np.round(rng.normal(0, 1, 50), 1)), (np.array([0.2, 0.1]), np.zeros(0)), (np.zeros(0), np.array([0.1]))):
+        frame = spark.createDataFrame([*((True, float(x)) for x in good), *((False, float(x)) for x in bad)], "good boolean, score double").repartition(3)
+        assert quality_rules.threshold_of(frame) == quality_rules.best_threshold(good, bad)
+
+
 def test_quality_threshold_leaves_own_ngrams_out(spark):
     rng = np.random.default_rng(8)
     clean, junk = words_of(80, 3000), words_of(81, 400)

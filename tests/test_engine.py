@@ -37,3 +37,15 @@ def test_path_embeddings_cover_every_head(spark):
     want = edges.alias("a").join(edges.alias("b"), F.expr("b.head = a.tail"))
     got = catalog.QUERIES["path_embeddings"](spark, TEST_DIR).cache()
     assert got.count() == want.count() and got.select("t").distinct().count() == want.selectExpr("a.head.t").distinct().count()
+
+
+def test_edges_around_a_vertex_are_those_of_the_whole_graph(spark):
+    """The heads that may hold a vertex give its edges, and one pass finds both sides."""
+    from chronoweave.operators import grow
+    from chronoweave.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    every = catalog._unary(spark, d).cache()
+    for n, t in every.orderBy("id").select("head.n", "head.t").limit(2).collect() + every.orderBy("id").selectExpr("tail[0].n", "tail[0].t").limit(2).collect():
+        got = sorted(map(tuple, grow.incident(catalog._unary(spark, d, t), n, t).select("side", "id").collect()))
+        assert got == sorted([("out", r.id) for r in grow.outgoing(every, n, t).collect()] + [("in", r.id) for r in grow.incoming(every, n, t).collect()]) and got

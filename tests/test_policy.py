@@ -49,3 +49,19 @@ def test_decide_in_tiles(spark, monkeypatch, tile):
         assert got[i] == ("REUSE" if reuse else "ISOLATE", task if reuse else None, likeness)
     assert {r.action for r in policy.decide(frame.limit(0), new).collect()} == {"ISOLATE"}
     assert policy.decide(frame, new.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("tasks_at_once,asked_at_once,block", [(1 << 16, 1 << 14, 1 << 20), (7, 3, 64)])
+def test_signatures_travel_as_bits(spark, monkeypatch, tasks_at_once, asked_at_once, block):
+    """Where every edge has a bit of its own, no tile holds lists of edges, and the best of equal ones has the least name."""
+    monkeypatch.setattr(policy, "TASKS", tasks_at_once)
+    monkeypatch.setattr(policy, "ASKED", asked_at_once)
+    monkeypatch.setattr(policy, "BLOCK", block)
+    monkeypatch.setattr(policy, "best_matches", lambda *_: pytest.fail("compared as lists"))
+    rng = random.Random(4)
+    tasks = {i: set(rng.sample(range(70), rng.randrange(1, 30))) for i in range(60)} | {90: {1, 2}, 80: {1, 2}, 85: {1, 2, 3, 4}}
+    asked = {i: set(rng.sample(range(75), rng.randrange(1, 30))) for i in range(20)} | {70: {1, 2}, 71: {2, 1}, 72: {777}, 73: {1, 2, 777}}
+    frame = spark.createDataFrame([(t, e, 0.9) for t, es in tasks.items() for e in es], "task_id bigint, edge_id bigint, reliability double")
+    new = spark.createDataFrame([(i, e) for i, es in asked.items() for e in es], "new_id bigint, edge_id bigint")
+    got = {r.new_id: (r.task_id, r.similarity) for r in policy.decide(frame, new, PolicyConfig(similarity_threshold=0.0)).collect()}
+    assert got == brute(asked, tasks)

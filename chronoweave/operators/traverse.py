@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..config import TraverseConfig
 from ..functions import ids
-from ..functions.lineage import cut
+from ..functions.lineage import bucketed, cut
 from .grow import connected
 
 
@@ -28,17 +28,21 @@ def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: Tra
     edge within the horizon ends as a path, the empty one included.  Ties of
     the beam go by the list of edges.  ``checked`` edges are known to have all
     their tail vertices.  Edges with a tail beyond the horizon of every target
-    are left out before any of it.
+    are left out before any of it; the others are dealt by their heads once, not
+    a level.
     """
     cfg = cfg or TraverseConfig()
     usable = within(edges, targets, cfg)
     usable = usable if checked else connected(usable, vertices)
-    usable = cut(usable.select(F.col("head.n").alias("hn"), F.col("head.t").alias("ht"), F.col("id").alias("edge"), F.array_sort(F.transform("tail", lambda v: F.struct(v["t"].alias("t"), v["n"].alias("n")))).alias("new"), "reliability"))
+    usable, table = bucketed(usable.select(F.col("head.n").alias("hn"), F.col("head.t").alias("ht"), F.col("id").alias("edge"), F.array_sort(F.transform("tail", lambda v: F.struct(v["t"].alias("t"), v["n"].alias("n")))).alias("new"), "reliability"), "hn", "ht")
     target = F.struct("n", "t")
     beam = targets.select("n", "t").distinct().select(target.alias("target"), F.array(F.struct("t", "n")).alias("frontier"), F.expr("cast(array() as array<string>)").alias("edges"), F.lit(1.0).alias("score"))
     beam, done = cut(beam), []
     levels = max(1, 8 * cfg.beam_size) if cfg.beam_size > 0 else 0
     order = W.partitionBy("target", "ends").orderBy(F.desc("score"), "edges")
+    # paths of one label have one length, so they end in one level
+    final = F.col("score") * F.pow(F.lit(cfg.length_penalty_base), F.size("edges"))
+    best = W.partitionBy("target", "ends", "label").orderBy(F.desc("final"), "edges")
     for _ in range(levels):
         at = beam.withColumn("v", F.element_at("frontier", -1))
         fits = (F.col("v.n") == F.col("hn")) & (F.col("v.t") == F.col("ht"))
@@ -52,16 +56,17 @@ def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: Tra
             (F.col("score") * F.coalesce("reliability", F.lit(1.0))).alias("score"),
             F.col("edge").isNull().alias("ends"),
         )
-        step = cut(grown.withColumn("rank", F.row_number().over(order)).where(F.col("ends") | (F.col("rank") <= cfg.beam_size)).drop("rank"))
-        done.append(step.where("ends").select("target", "edges", "score"))
+        kept = grown.withColumn("rank", F.row_number().over(order)).where(F.col("ends") | (F.col("rank") <= cfg.beam_size))
+        kept = kept.withColumn("label", F.when(F.col("ends"), ids.path_label(F.col("edges")))).withColumn("final", final)
+        step = cut(kept.withColumn("rank", F.row_number().over(best)).where(~F.col("ends") | (F.col("rank") == 1)).drop("rank", "label", "final"))
+        done.append(step.where("ends").select("target", "edges", final.alias("score")))
         beam = step.where("not ends").select("target", "frontier", "edges", "score")
         if beam.isEmpty():
             break
+    edges.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, as those of cut()
     if not done:
         return beam.limit(0).select("target", "edges", "score", F.size("edges").alias("length"), ids.path_label(F.col("edges")).alias("label"))
     paths = done[0]
     for more in done[1:]:
         paths = paths.unionByName(more)
-    paths = paths.withColumn("length", F.size("edges")).withColumn("label", ids.path_label(F.col("edges"))).withColumn("score", F.col("score") * F.pow(F.lit(cfg.length_penalty_base), F.col("length")))
-    best = F.row_number().over(W.partitionBy("target", "label").orderBy(F.desc("score"), "edges"))
-    return paths.withColumn("rank", best).where("rank = 1").select("target", "edges", "score", "length", "label")
+    return paths.select("target", "edges", "score", F.size("edges").alias("length"), ids.path_label(F.col("edges")).alias("label"))

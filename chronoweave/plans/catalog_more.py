@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import CardConfig, EngineConfig, GateConfig, LearnConfig, RewriteConfig, TraverseConfig
 from ..functions import ids
+from ..functions.lineage import cut
 from ..operators import abstraction, artifacts, encoders, evaluate, grow, learn, metrics, policy, rewrite, stats, transforms, traverse
 from ..sources import tables
 from ..streaming import buffer
@@ -68,7 +69,8 @@ def _targets(spark: SparkSession, d: str) -> DataFrame:
 
 def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     vertices, edges = _mixed(spark, d)
-    return vertices, edges, traverse.traverse(edges, vertices, _targets(spark, d), TraverseConfig(horizon=12 * HOUR, beam_size=4))
+    edges = cut(edges)  # read by the search and again by what follows it
+    return vertices, edges, traverse.traverse(edges, vertices, _targets(spark, d), TraverseConfig(horizon=12 * HOUR, beam_size=4), checked=True)
 
 
 @query("traverse_multi", f"WITH RECURSIVE {MULTI} SELECT tn AS n, tt AS t, label, len(path) AS length, round(score * pow(0.98::DOUBLE, len(path)), 9) AS score FROM best")

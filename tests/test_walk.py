@@ -85,3 +85,33 @@ def test_length_penalty_is_the_nearest_double(spark):
     vertices = spark.createDataFrame([(1, t) for t in range(1, 11)], "n bigint, t bigint")
     got = walk.walk(edges, vertices, spark.createDataFrame([(1, 10)], "n bigint, t bigint"), WalkConfig(horizon=100, depth=6, length_penalty_base=0.98)).collect()
     assert [(r.length, r.score) for r in got] == [(4, 0.98**4)]
+
+
+def test_search_shuffles_its_edges_once(spark, monkeypatch):
+    """Edges are dealt by their heads before the levels, which only shuffle states; of paths of one label the best stays."""
+    from pyspark.sql import functions as F
+
+    from chronoweave.config import TraverseConfig
+    from chronoweave.operators import traverse
+    from chronoweave.sources import tables
+
+    plans, cut = [], traverse.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(traverse, "cut", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = tables.layered_edges(spark, 3, 3).withColumn("id", F.concat_ws(">", F.col("tail")[0]["n"], F.col("head.n")))
+        targets = spark.createDataFrame([(9, 300)], "n bigint, t bigint")
+        found = traverse.traverse(edges, targets, targets, TraverseConfig(horizon=1000, beam_size=27), checked=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == 27 and {r.length for r in found} == {3}
+    assert len({r.label for r in found}) == 27 and all(abs(r.score - (0.9 * 0.98) ** 3) < 1e-12 for r in found)
+    levels = plans[1:]
+    assert levels and all(p.count("Exchange hashpartitioning(") == 2 for p in levels)  # states by vertex and by target
+    assert not spark.catalog.listTables()

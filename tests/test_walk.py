@@ -115,3 +115,22 @@ def test_search_shuffles_its_edges_once(spark, monkeypatch):
     levels = plans[1:]
     assert levels and all(p.count("Exchange hashpartitioning(") == 2 for p in levels)  # states by vertex and by target
     assert not spark.catalog.listTables()
+
+
+def test_promoted_edges_are_not_shuffled_again(spark):
+    """Parts of paths are dealt by target, as the heads' rho is, so what is made of them meets it where it lies."""
+    from chronoweave.functions import ids
+    from chronoweave.operators import abstraction
+
+    edges = spark.createDataFrame([("a", (2, 20), [(1, 10)], 0.5, 7), ("b", (1, 10), [(0, 5)], 0.8, 3)], "id string, head struct<n:bigint,t:bigint>, tail array<struct<n:bigint,t:bigint>>, reliability double, rho bigint")
+    paths = spark.createDataFrame([((2, 20), ["a", "b"], 1.0, 2, "a|b")], f"target {ids.EDGE.split('head ')[1].split(', tail')[0]}, edges array<string>, score double, length int, label string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = abstraction.higher_order(paths, edges)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        rows = made.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 4
+    assert [(r.head.n, [(v.n, v.t) for v in r.tail], r.rho, r.reliability) for r in rows] == [(2, [(0, 5)], 7, 0.5)]

@@ -8,6 +8,12 @@ vectors however many there are, and the bands so that two at the very threshold
 become candidates with the wanted chance; closer ones do more often, and a group
 needs only a chain of links.
 
+Where the bits tell little, as at low thresholds, bands without end would cost
+more than all pairs do, and grow as fast.  There vectors are compared in blocks,
+and the groups are exact: all with a bounded number of anchors first, then those
+that the anchors' largest group of their dimension didn't take with all.  What is
+left out lies within that one group.
+
 Equal directions are one vector.  A bucket of any size is parted into runs, of
 which each two are a tile, so no task holds a bucket; a tile gives links that
 connect what its links connect, not all pairs.
@@ -29,6 +35,10 @@ from ..functions.lineage import cut, drop
 RUN = 1024  # vectors of a run, about
 LEAST_BITS, MOST_BITS = 4, 62
 IN_BUCKET = 64  # unrelated vectors in a bucket, about
+BLOCK = 8192  # vectors of a block where all are compared, about
+ANCHORS = 8192  # of each dimension, about
+ROW_PAIRS = 3000  # pairs compared in a block in the time that a vector takes in a band, about
+SLICE = 1 << 22  # products of a tile at once
 
 
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -83,54 +93,90 @@ def tile_links(first: np.ndarray, ids: np.ndarray, x: np.ndarray, threshold: flo
     """Links that connect what the tile's close pairs connect: of all its vectors, or of those marked first with the others."""
     own = np.flatnonzero(first)
     other = own if first.all() else np.flatnonzero(~first)
-    close = x[own] @ x[other].T >= threshold
-    comp, out = np.arange(len(ids)), []
-    for i, row in zip(own, close, strict=True):
-        for j in other[row & (comp[other] != comp[i])]:
-            if comp[j] != comp[i]:
-                out.append((int(ids[i]), int(ids[j])))
-                comp[comp == comp[j]] = comp[i]
+    there, comp, out = x[other].T, np.arange(len(ids)), []
+    step = max(1, SLICE // max(1, len(other)))
+    for lo in range(0, len(own), step):
+        close = x[own[lo : lo + step]] @ there >= threshold
+        for k in np.flatnonzero(close.any(1)):
+            i = own[lo + k]
+            for j in other[close[k]]:
+                if comp[j] != comp[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    comp[comp == comp[j]] = comp[i]
     return out
 
 
-def links(rows: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of close rows (id, dim, x) that share one of buckets (dim, band, code, id)."""
-    key = ["dim", "band", "code"]
-    sizes = buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = F.ceil(F.col("n") / RUN).cast("int")
-    own = buckets.join(sizes, key).withColumn("run", F.pmod(F.xxhash64("id", "band"), runs).cast("int"))
-    tile = F.explode(F.transform(F.sequence(F.lit(0), runs - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("lo"), F.greatest(r, F.col("run")).alias("hi"))))
-    dealt = own.select(*key, "id", "run", tile.alias("tile")).select(*key, "tile.lo", "tile.hi", "run", "id").join(rows.select("id", "x"), "id")
+def _judged(dealt: DataFrame, key: list[str], threshold: float) -> DataFrame:
+    """(a, b) of tiles of rows (*key, first, id, x): of those marked first with the others, or of all where all are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*key, "lo", "hi", "run", "id", "x")), strict=True):
-                if row[:5] != name:
-                    yield from judged(name, held)
-                    name, held = row[:5], []
-                held.append(row[5:])
-        yield from judged(name, held)
-
-    def judged(name: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for row in zip(*(batch.column(c).to_pylist() for c in (*key, "first", "alone", "id", "x")), strict=True):
+                if row[: len(key)] != name:
+                    yield from judged(held)
+                    name, held = row[: len(key)], []
+                held.append(row[len(key) :])
+        yield from judged(held)
+
+    def judged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        first = np.array([r[0] for r in held]) == name[3]
-        if name[3] != name[4] and first.all():
+        first = np.array([r[0] for r in held])
+        if first.all() and not held[0][1]:
             return
-        made = tile_links(first, np.array([r[1] for r in held]), np.stack([np.frombuffer(r[2], np.float64) for r in held]), threshold)
+        made = tile_links(first, np.array([r[2] for r in held]), np.stack([np.frombuffer(r[3], np.float64) for r in held]), threshold)
         if made:
             a, b = zip(*made, strict=True)
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    order = [*key, "lo", "hi"]
-    return dealt.repartition(*order).sortWithinPartitions(*order, "id").select(*order, "run", "id", "x").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key, "id").select(*key, "first", "alone", "id", "x").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def links(rows: DataFrame, buckets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of close rows (id, dim, x) that share one of buckets (dim, band, code, id)."""
+    key = ["dim", "band", "code"]
+    sizes = buckets.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    runs = F.ceil(F.col("n") / RUN).cast("int")
+    own = buckets.join(sizes, key).withColumn("run", F.pmod(F.xxhash64("id", "band"), runs).cast("int"))
+    tile = F.explode(F.transform(F.sequence(F.lit(0), runs - 1), lambda r: F.struct(F.least(r, F.col("run")).alias("lo"), F.greatest(r, F.col("run")).alias("hi"))))
+    dealt = own.select(*key, "id", "run", tile.alias("tile")).select(*key, "tile.lo", "tile.hi", (F.col("run") == F.col("tile.lo")).alias("first"), (F.col("tile.lo") == F.col("tile.hi")).alias("alone"), "id").join(rows.select("id", "x"), "id")
+    return _judged(dealt, [*key, "lo", "hi"], threshold)
+
+
+def crossed(some: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of close rows (id, dim, x) of which one is in some (id, dim, x), in tiles of a block of each."""
+    blocks = lambda df, name: df.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = F.broadcast(blocks(some, "los").join(blocks(rows, "his"), "dim"))
+    in_block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = some.join(sizes, "dim").select("dim", in_block("los", 1).alias("lo"), each("his").alias("hi"), F.lit(True).alias("first"), "id", "x")
+    two = rows.join(sizes, "dim").select("dim", each("los").alias("lo"), in_block("his", 2).alias("hi"), F.lit(False).alias("first"), "id", "x")
+    return _judged(one.unionByName(two).withColumn("alone", F.lit(False)), ["dim", "lo", "hi"], threshold)
+
+
+def every_link(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) that connect what all close rows (id, dim, x) connect."""
+    sizes = F.broadcast(rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")))
+    anchors = rows.join(sizes, "dim").where(F.pmod(F.xxhash64("id", F.lit(0)), F.ceil(F.col("n") / ANCHORS)) == 0).select(*rows.columns)
+    near = cut(crossed(anchors, rows, threshold))
+    found = cut(components(near).join(rows.select(F.col("id").alias("node"), "dim"), "node"))
+    largest = found.groupBy("dim", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max_by("component", F.struct("n", "component")).alias("component"))
+    inside = found.join(F.broadcast(largest), ["dim", "component"], "left_semi").select(F.col("node").alias("id"))
+    left = cut(rows.join(inside, "id", "left_anti").select(*rows.columns))
+    made = cut(crossed(left, rows, threshold).unionByName(near).distinct())
+    return drop(made, near, found, left)
+
+
+def in_bands(n: int, bands: int) -> bool:
+    """Whether bands cost n vectors less than all pairs do."""
+    return bands * ROW_PAIRS < n / 2
 
 
 def groups(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95, seed: int = 0, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """(id, group_id) of every id: the smallest id that close vectors lead to, its own where there is none.
 
-    ``recall`` is the chance for two vectors at the threshold.  Vectors of
+    ``recall`` is the least chance for two vectors at the threshold.  Vectors of
     different lengths are never close; one without a direction is its own group.
     An id that stands for several vectors joins all of their groups.
     """
@@ -138,12 +184,16 @@ def groups(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.95, see
     whole = cut(every.groupBy("dim", "x").agg(F.min("id").alias("rep")))
     # a number of their own, as an id may stand for several
     rows = cut(whole.select(F.xxhash64("dim", "x").alias("id"), "dim", "x", "rep"))
-    bits, bands = plan(rows.count(), threshold, recall)
-    buckets = cut(banded(rows, bits, bands, seed))
-    near = cut(links(rows, buckets, threshold))
+    n = rows.count()
+    bits, bands = plan(n, threshold, recall)
+    if in_bands(n, bands):
+        buckets = cut(banded(rows, bits, bands, seed))
+        near = drop(cut(links(rows, buckets, threshold)), buckets)
+    else:
+        near = every_link(rows, threshold)
     named = near.join(rows.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(rows.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     equal = every.join(whole, ["dim", "x"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     found = cut(components(named.unionByName(equal)))
-    drop(found, near, buckets, rows, whole, every)
+    drop(found, near, rows, whole, every)
     ids = vectors.select(F.col(id_col).cast("bigint").alias("id")).distinct()
     return ids.join(found, ids["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("group_id"))

@@ -80,3 +80,27 @@ def test_odd_vectors(spark):
     # 12 stands for two vectors, and so joins the groups of 4 and 10
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 4, 11: 4, 12: 4, None: None}
     assert similar.groups(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("run", [1024, 16])
+def test_groups_in_bands_are_those_of_brute_force(spark, monkeypatch, run):
+    monkeypatch.setattr(similar, "RUN", run)
+    monkeypatch.setattr(similar, "ROW_PAIRS", 0)
+    rows = some_vectors(1, 30, 8)
+    want, _ = by_force(rows, 0.9)
+    assert {r.id: r.group_id for r in similar.groups(spark.createDataFrame(rows, VEC).repartition(5), 0.9, 0.999).collect()} == want
+
+
+def test_low_thresholds_compare_blocks_and_miss_nothing(spark, monkeypatch):
+    """Bands would take thousands of rows a vector, and at half the recall miss half of the single pairs."""
+    assert not similar.in_bands(600_000, similar.plan(600_000, 0.4, 0.9999)[1]) and similar.in_bands(10**6, similar.plan(10**6, 0.9, 0.95)[1])
+    monkeypatch.setattr(similar, "BLOCK", 50)
+    monkeypatch.setattr(similar, "ANCHORS", 40)
+    monkeypatch.setattr(similar, "SLICE", 300)
+    rng = np.random.default_rng(7)
+    rows = [(3 * i + 1, rng.standard_normal(24).tolist()) for i in range(500)]
+    want, close = by_force(rows, 0.5)
+    sizes = sorted(list(want.values()).count(g) for g in set(want.values()))
+    assert sizes[-1] > 100 and sizes[0] == 1 and 2 in sizes
+    got = {r.id: r.group_id for r in similar.groups(spark.createDataFrame(rows, VEC).repartition(5), 0.5, 0.5).collect()}
+    assert got == want

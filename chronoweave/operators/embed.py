@@ -74,6 +74,9 @@ def embed(parts: Column, cfg: EmbedConfig | None = None) -> Column:
 
 
 def embed_paths(paths: DataFrame, edges: DataFrame, cfg: EmbedConfig | None = None) -> DataFrame:
-    """(target, label, embedding) of each path; edges that are gone add nothing."""
+    """(target, label, embedding) of each path; edges that are gone add nothing, and paths with their ``parts`` aren't joined with edges."""
+    if "parts" in paths.columns:
+        shown = F.transform("parts", lambda e: F.struct(e["head"].alias("head"), e["tail"].alias("tail"), e["reliability"].alias("reliability")))
+        return paths.select("target", "label", embed(shown, cfg).alias("embedding"))
     keyed = paths.select("target", "label", F.explode_outer("edges").alias("id")).join(edges.select("id", F.struct("head", "tail", "reliability").alias("part")), "id", "left")
     return keyed.groupBy("target", "label").agg(F.collect_list("part").alias("parts")).select("target", "label", embed(F.col("parts"), cfg).alias("embedding"))

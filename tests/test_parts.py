@@ -42,3 +42,12 @@ def test_embeddings_by_parts(two):
     shown = lambda df: {r.label: r.embedding for r in df.collect()}
     assert shown(embed.embed_paths(held, None, cfg)) == shown(embed.embed_paths(paths, edges, cfg))
     assert held.where(F.size("parts") == 0).count() == 1
+
+
+def test_a_path_keeps_its_label_without_its_first_edge(two):
+    """The label travels with the first edge; that edge may be gone from the edges."""
+    edges, paths, _ = two
+    left = edges.where("id not like '1@200%' and not (head.n = 1 and size(tail) = 2)")
+    got = {r.hoe_label: r for r in abstraction.higher_order(paths, left).collect()}
+    assert {k: [tuple(v) for v in r.tail] for k, r in got.items()} == {"a": [(4, 70)], "b": [(5, 60)], "c": [(5, 60)]}
+    assert all(len(r.hoe_from_edges) == 1 for r in got.values()) and got["a"].reliability == pytest.approx(0.3)

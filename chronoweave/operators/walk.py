@@ -46,13 +46,20 @@ def usable(edges: DataFrame, cfg: WalkConfig) -> DataFrame:
     return best(rows, ["hn", "ht"], [F.desc("reliability"), F.col("edge")], cfg.incoming_cap, "edge")
 
 
-def walk(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: WalkConfig | None = None, checked: bool = False) -> DataFrame:
+def _fits(cfg: WalkConfig) -> Column:
+    """Whether a candidate enters a state's vertex v and starts within the target's horizon."""
+    fits = (F.col("v.n") == F.col("hn")) & (F.col("v.t") == F.col("ht"))
+    return fits & (F.col("target.t") - F.get(F.col("new"), F.lit(0))["t"] <= cfg.horizon) if cfg.horizon > 0 else fits
+
+
+def walk(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: WalkConfig | None = None, checked: bool = False, closing: bool = False) -> DataFrame:
     """(target, edges, score, length, label) of the best drawn path of each target and label.
 
     A state expands the latest-added vertex of its frontier, as in traverse();
     one whose vertex has no candidate within the horizon ends as a path, and what
-    is open after ``depth`` levels is given up.  ``checked`` edges are known to
-    have all their tail vertices.
+    is open after ``depth`` levels is given up; ``closing`` looks at the states
+    that the last level grew once more, and those that end there are paths too.
+    ``checked`` edges are known to have all their tail vertices.
     """
     cfg = cfg or WalkConfig()
     given = cut(usable(edges if checked else connected(edges, vertices), cfg))
@@ -63,12 +70,9 @@ def walk(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: WalkCon
     order = W.partitionBy("target", "ends").orderBy(F.desc("score"), "edges")
     for _ in range(cfg.depth + 1):
         at = beam.withColumn("v", F.element_at("frontier", -1))
-        fits = (F.col("v.n") == F.col("hn")) & (F.col("v.t") == F.col("ht"))
-        if cfg.horizon > 0:
-            fits &= F.col("target.t") - F.get(F.col("new"), F.lit(0))["t"] <= cfg.horizon
         u = uniform(F.lit(str(cfg.seed)), ids.vertex_id(F.col("target")), F.array_join("edges", ","), F.col("edge"))
         chance = score(F.col("target.t") - F.col("ht"), cfg) / cfg.temperature + gumbel(u)
-        tried = at.join(given, fits, "left").withColumn("ends", F.col("edge").isNull()).withColumn("draw", F.when(~F.col("ends"), chance))
+        tried = at.join(given, _fits(cfg), "left").withColumn("ends", F.col("edge").isNull()).withColumn("draw", F.when(~F.col("ends"), chance))
         taken = tried.withColumn("turn", F.row_number().over(drawn)).where(F.col("ends") | (F.col("turn") <= cfg.branch))
         grown = taken.select(
             "target",
@@ -82,6 +86,10 @@ def walk(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: WalkCon
         beam = step.where("not ends").select("target", "frontier", "edges", "score")
         if beam.isEmpty():
             break
+    else:
+        if closing:
+            at = beam.withColumn("v", F.element_at("frontier", -1))
+            done.append(cut(at.join(given, _fits(cfg), "left_anti").select("target", "edges", "score")))
     paths = done[0]
     for more in done[1:]:
         paths = paths.unionByName(more)

@@ -87,6 +87,15 @@ def test_length_penalty_is_the_nearest_double(spark):
     assert [(r.length, r.score) for r in got] == [(4, 0.98**4)]
 
 
+def test_states_of_the_last_level_that_end_are_paths(spark):
+    """The last level grows paths of depth + 1 edges: the one that ends there counts, the one that could go on doesn't."""
+    shape = "id string, head struct<n:bigint,t:bigint>, tail array<struct<n:bigint,t:bigint>>, reliability double"
+    rows = [(f"e{n}.{i}", (n, 10 - i), [(n, 9 - i)], 1.0) for n, length in ((1, 3), (2, 4)) for i in range(length)]
+    edges, targets = spark.createDataFrame(rows, shape), spark.createDataFrame([(1, 10), (2, 10)], "n bigint, t bigint")
+    found = lambda **more: [(r.target.n, r.length) for r in walk.walk(edges, targets, targets, WalkConfig(horizon=100, depth=2), checked=True, **more).collect()]
+    assert found(closing=True) == [(1, 3)] and found() == []
+
+
 def test_search_shuffles_its_edges_once(spark, monkeypatch):
     """Edges are dealt by their heads before the levels, which only shuffle states; of paths of one label the best stays."""
     from pyspark.sql import functions as F

@@ -58,13 +58,11 @@ def interval(cfg: CardConfig):
 def cards(paths: DataFrame, edges: DataFrame, cfg: CardConfig | None = None) -> DataFrame:
     """(rule_id, label, edges, mean, lo, hi, kind, text) of each path with edges that exist.
 
-    kind is Frozen at a mean of frozen_threshold or more, else Plastic.
+    kind is Frozen at a mean of frozen_threshold or more, else Plastic.  Paths
+    that carry their edges as ``parts`` are not joined with edges.
     """
     cfg = cfg or CardConfig()
-    parts = paths.select("target", "label", F.posexplode("edges").alias("pos", "id")).join(edges.select("id", "counts_success", "counts_miss"), "id")
-    a, b = F.col("counts_success") + cfg.alpha0, F.col("counts_miss") + cfg.beta0
-    own = parts.groupBy("target", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "id", a.alias("a"), b.alias("b")))).alias("p"))
-    own = own.select("target", "label", F.col("p.id").alias("edges"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    own = _held(paths, cfg) if "parts" in paths.columns else _gathered(paths, edges, cfg)
     mean = F.aggregate(F.zip_with("a", "b", lambda x, y: x / (x + y)), F.lit(1.0), lambda s, x: s * x)
     made = own.withColumn("rule_id", rule_id(F.col("label"), F.col("edges"))).withColumn("mean", mean)
     made = made.withColumn("ci", interval(cfg)("a", "b"))
@@ -73,6 +71,21 @@ def cards(paths: DataFrame, edges: DataFrame, cfg: CardConfig | None = None) ->
     return made.select("rule_id", "label", "edges", "mean", "ci.lo", "ci.hi", kind.alias("kind"), text.alias("text"))
 
 
+def _gathered(paths: DataFrame, edges: DataFrame, cfg: CardConfig) -> DataFrame:
+    """(label, edges, a, b) of paths, by their edges' ids."""
+    parts = paths.select("target", "label", F.posexplode("edges").alias("pos", "id")).join(edges.select("id", "counts_success", "counts_miss"), "id")
+    a, b = F.col("counts_success") + cfg.alpha0, F.col("counts_miss") + cfg.beta0
+    own = parts.groupBy("target", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "id", a.alias("a"), b.alias("b")))).alias("p"))
+    return own.select("label", F.col("p.id").alias("edges"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+
+
+def _held(paths: DataFrame, cfg: CardConfig) -> DataFrame:
+    """The same of paths with parts, row by row."""
+    of = lambda value: F.transform("parts", value)
+    a, b = of(lambda e: e["counts_success"] + cfg.alpha0), of(lambda e: e["counts_miss"] + cfg.beta0)
+    return paths.where("size(parts) > 0").select("label", of(lambda e: e["id"]).alias("edges"), a.alias("a"), b.alias("b"))
+
+
 def beta_interval(edges: DataFrame, cfg: CardConfig | None = None) -> DataFrame:
     """(id, mean, lo, hi) of each edge; sampled once for each distinct pair of counts, not for each edge."""
     cfg = cfg or CardConfig()

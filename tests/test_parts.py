@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.config import AbstractionConfig, EmbedConfig
+from chronoweave.config import AbstractionConfig, CardConfig, EmbedConfig
 from chronoweave.functions import ids
-from chronoweave.operators import abstraction, embed
+from chronoweave.operators import abstraction, cards, embed
 
 
 def edge(head, tails, r, rho):
@@ -51,3 +51,11 @@ def test_a_path_keeps_its_label_without_its_first_edge(two):
     got = {r.hoe_label: r for r in abstraction.higher_order(paths, left).collect()}
     assert {k: [tuple(v) for v in r.tail] for k, r in got.items()} == {"a": [(4, 70)], "b": [(5, 60)], "c": [(5, 60)]}
     assert all(len(r.hoe_from_edges) == 1 for r in got.values()) and got["a"].reliability == pytest.approx(0.3)
+
+
+def test_cards_by_parts(two):
+    edges, paths, held = two
+    cfg = CardConfig(samples=200)
+    want = sorted(map(tuple, cards.cards(paths, edges, cfg).collect()))
+    made = cards.cards(held, None, cfg)  # nothing is left to join
+    assert sorted(map(tuple, made.collect())) == want and len(want) == 3

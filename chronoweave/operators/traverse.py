@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..config import TraverseConfig
 from ..functions import ids
-from ..functions.lineage import bucketed, cut
+from ..functions.lineage import bucketed, cut, drop
 from .grow import connected
 
 
@@ -63,7 +63,8 @@ def traverse(edges: DataFrame, vertices: DataFrame, targets: DataFrame, cfg: Tra
         beam = step.where("not ends").select("target", "frontier", "edges", "score")
         if beam.isEmpty():
             break
-    edges.sparkSession.sql(f"DROP TABLE {table}")  # its files stay, as those of cut()
+    drop(beam, usable)
+    edges.sparkSession.sql(f"DROP TABLE {table}")
     if not done:
         return beam.limit(0).select("target", "edges", "score", F.size("edges").alias("length"), ids.path_label(F.col("edges")).alias("label"))
     paths = done[0]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import ids
-from ..functions.lineage import cut
+from ..functions.lineage import cut, drop
 from ..operators import abstraction, cards, grow, learn, mine, rewrite, traverse
 from ..sources import audit, logs
 
@@ -111,6 +111,7 @@ class Engine:
         rules = cfg.rewrite.apply_ops if cfg.rewrite.enabled else ()
         new = grow.admit(self._between(base, F.col("head.t"), span["lo"], span["hi"]), made).select(*columns)
         new = cut(rewrite.as_rule(new) if "grow" in rules else new)
+        drop(new, made)
         seen["n_admitted"] = new.count()
         seen |= {"n_hyperpaths": 0, "n_promoted": 0, "n_edges_updated": 0, "n_pruned": 0}
         edges = base.unionByName(new)
@@ -123,7 +124,10 @@ class Engine:
         ends = targets.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
         reach = None if cfg.traverse.horizon <= 0 or ends["lo"] is None else ends["lo"] - cfg.traverse.horizon
         near = self._between(edges, F.col("head.t"), reach, None)
-        paths = cut(traverse.traverse(near, vertices, targets, cfg.traverse))
+        # new edges' tails are vertices that growth saw
+        known = grow.connected(traverse.within(self._between(base, F.col("head.t"), reach, None), targets, cfg.traverse), vertices)
+        usable = known.unionByName(traverse.within(self._between(new, F.col("head.t"), reach, None), targets, cfg.traverse))
+        paths = cut(traverse.traverse(usable, vertices, targets, cfg.traverse, checked=True))
         if cfg.gate.enabled and "backward" in cfg.gate.points:
             parts = paths.select("target", "label", F.explode("edges").alias("id")).join(near.select("id", self.feasible(F.col("tail"), F.col("head")).alias("ok")), "id")
             judged = parts.groupBy("target", "label").agg(F.bool_and("ok").alias("ok"))
@@ -167,7 +171,7 @@ class Engine:
         capped = up.orderBy(F.desc("weight"), "label").limit(cfg.promotion_cap)
         # the concrete path that stands for a label: the best, then the smallest
         best = shaped.join(capped.select(F.col("label").alias("structure")), "structure").groupBy("structure").agg(F.min_by(F.struct("target", "label", "edges", "score", "length"), F.struct(-F.col("score"), "target", "label")).alias("p"))
-        chosen = cut(best.select("p.*", "structure"))
+        chosen = drop(cut(best.select("p.*", "structure")), shaped)
         return cut(abstraction.promotions(chosen.drop("structure"), edges, self.cfg.abstraction)), after, chosen
 
     def _audited(self, admitted: DataFrame, paths: DataFrame | None, updated: DataFrame | None) -> None:

@@ -59,3 +59,21 @@ def test_cards_by_parts(two):
     want = sorted(map(tuple, cards.cards(paths, edges, cfg).collect()))
     made = cards.cards(held, None, cfg)  # nothing is left to join
     assert sorted(map(tuple, made.collect())) == want and len(want) == 3
+
+
+def test_labelled_paths_are_gathered_once(spark, two):
+    """A path's own columns come back with its structure from the one shuffle that gathers its edges."""
+    edges, paths, _ = two
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = abstraction.label_paths(paths, edges)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 3  # parts by id, edges by id, paths
+    assert made.columns == [*paths.columns, "structure"]
+    got = {r.label: r for r in made.collect()}
+    assert {x: tuple(r)[:-1] for x, r in got.items()} == {r.label: tuple(r) for r in paths.collect()}
+    assert got["d"].structure == "HEAD:2|EDGES:[]" and got["c"].structure == "HEAD:1|EDGES:[('1', (('5', 40),))]"
+    assert got["a"].structure == "HEAD:1|EDGES:[('1', (('2', 10), ('3', 20))),('2', (('4', 20),))]"
